@@ -97,6 +97,7 @@ class ByteBpe:
         self.bytes_of = _column(dict(zip(ranks.values(), ranks)))
         self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
+        self.space = regex.compile(r"\s+")
         self.text_of = _column({v: b"%d " % v for v in ranks.values()})
 
     def segments(self, text: str) -> list[str]:
@@ -107,7 +108,8 @@ class ByteBpe:
         for p in pre_tokenize(self.pattern, text):
             run.append(p)
             size += len(p)
-            if size >= CHUNK:
+            # not behind white space: without what follows, its lookahead would merge two matches
+            if size >= CHUNK and not self.space.fullmatch(p):
                 out.append("".join(run))
                 run, size = [], 0
         return [*out, "".join(run)] if run else out
