@@ -116,7 +116,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of the text; each segment begins and ends at pre-token boundaries, so its pieces are those of the text."""
-        found = [self.core.encode_to_numpy(s, disallowed_special=()) for s in self.segments(text)]
+        found = [np.array(self.core.encode_ordinary(s), np.uint32) for s in self.segments(text)]
         return np.concatenate(found) if found else np.empty(0, np.uint32)
 
     def decode(self, ids: np.ndarray) -> bytes:
