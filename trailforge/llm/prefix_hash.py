@@ -37,9 +37,13 @@ _M, _S = np.uint64(P31), np.uint64(31)
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
-    x = (x & _M) + (x >> _S)
-    x = (x & _M) + (x >> _S)
-    return np.where(x == _M, np.uint64(0), x)
+    """x modulo 2^31 - 1 for x below 2^62; x, which is used up, has to be a temporary."""
+    for _ in range(2):
+        high = x >> _S
+        x &= _M
+        x += high
+    x *= x != _M
+    return x
 
 
 class Powers:
@@ -68,8 +72,13 @@ class Prefixes:
         self.p = []
         for pw in _POWERS:
             pw.upto(self.n + 1)
-            sums = np.cumsum(_mod(self.codes * pw.up[: self.n]), dtype=np.uint64)
-            self.p.append(np.concatenate([np.zeros(1, np.uint64), _mod(sums)]))
+            terms = self.codes * pw.up[: self.n]  # below 2^52; one fold leaves less than 2^32
+            high = terms >> _S
+            terms &= _M
+            terms += high
+            sums = np.zeros(self.n + 1, np.uint64)
+            np.cumsum(terms, out=sums[1:])
+            self.p.append(_mod(sums))
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         """Hashes of the code points in [a, b), wherever they stand."""
