@@ -31,13 +31,12 @@ BLOOM_BLOCKS = 1 << 14  # of 64 bytes: one MiB
 _BITS = 8
 
 
-def _places(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block of each key, and its bits inside the block as an array (keys, _BITS)."""
+def _places(hashes: np.ndarray, blocks: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Block of each key, and the k-th of its bits inside the block."""
     h = hashes.astype(np.uint64)
     block = (h >> np.uint64(32)) % np.uint64(blocks)
     g = mix(h)
-    bits = (g[:, None] >> (np.arange(_BITS, dtype=np.uint64) * np.uint64(8))) & np.uint64(255)
-    return block, bits + np.uint64(256) * (g[:, None] & np.uint64(1))
+    return block, (g >> np.uint64(7 * k)) & np.uint64(511)
 
 
 class BlockedBloom:
@@ -46,14 +45,21 @@ class BlockedBloom:
         self.bits = np.zeros(blocks * 64, np.uint8) if data is None else np.frombuffer(data, np.uint8).copy()
 
     def add(self, hashes: np.ndarray) -> None:
-        block, bits = _places(hashes, self.blocks)
-        at = (block[:, None] * np.uint64(512) + bits).ravel()
-        np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        for k in range(_BITS):
+            block, bits = _places(hashes, self.blocks, k)
+            at = block * np.uint64(512) + bits
+            np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
     def may_hold(self, hashes: np.ndarray) -> np.ndarray:
-        block, bits = _places(hashes, self.blocks)
-        at = block[:, None] * np.uint64(512) + bits
-        return ((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(1)
+        """False only for keys that were not added. One bit is looked up for all keys, the others for those left."""
+        left = np.arange(len(hashes))
+        for k in range(_BITS):
+            block, bits = _places(hashes[left], self.blocks, k)
+            at = block * np.uint64(512) + bits
+            left = left[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        out = np.zeros(len(hashes), bool)
+        out[left] = True
+        return out
 
     @staticmethod
     def of(keys: DataFrame, column: str, blocks: int = BLOOM_BLOCKS) -> BlockedBloom:
