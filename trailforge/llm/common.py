@@ -97,6 +97,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def factors(n: int) -> np.ndarray:
+    """n odd multipliers without a linear relation among them, for hashes of word sequences."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def crc_mod(n: int):
     """crc32 of the id as text, modulo n; a null id has no remainder and so matches none."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n

@@ -15,6 +15,7 @@ kinds every score is 0.5. Only doc_id and text, doc_id and quality are read.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ _DIGIT = bytes(range(48, 58))
 _SPACE = b" \t\r\x0b\x0c"
 _PROSE = b".,;:'\"()?-"
 _SYMBOL = bytes(c for c in range(33, 127) if c not in _UPPER + _LOWER + _DIGIT + _PROSE)
-OWN = 13
+OWN = 14
 
 
 def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +56,7 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
         rows.append((
             min(n, 2000) ** 0.5 / 20, n == 0, upper / m, lower / m, digit / m, symbol / m, prose / m, min(n - upper - lower - digit - symbol - prose - space, n) / m,
             (n - space) / max(k, 1) / 10 if k else 0.0, len(set(ws)) / k if k else 1.0, min(symbol / max(k, 1), 4.0), (count[x] > 1) * 1.0 if n else 0.0, x[-1:] in (b".", b"!", b"?"),
+            sum(map(operator.eq, ws, ws[1:])) / k if k else 0.0,
         ))
     own = np.array(rows, np.float64)
     edge = np.zeros((1, OWN))

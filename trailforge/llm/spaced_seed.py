@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix, small_batches, stored, strings, table
+from .common import WordHash, factors, mix, small_batches, stored, strings, table
 from .url_filter import BlockedBloom
 
 SPAN = 11
@@ -46,8 +46,8 @@ def seed_hashes(h: np.ndarray, offsets: tuple[int, ...], tag: int) -> np.ndarray
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.full(n, tag * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64)
-    for k, o in enumerate(offsets):
-        out += h[o : o + n] * np.uint64((0xC2B2AE3D27D4EB4F * (2 * k + 1)) & (1 << 64) - 1)
+    for c, o in zip(factors(len(offsets)), offsets):
+        out += h[o : o + n] * c
     return mix(out)
 
 
