@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -194,22 +193,50 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return x.where(100 * F.col("i") >= 80 * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
 
-def _cross_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+def _cross_pairs(comp: np.ndarray, node: np.ndarray, size: np.ndarray, sk: np.ndarray) -> np.ndarray:
     """Of the sets of a signature: pairs in different components that may be similar by their sketches."""
-    comp, node, size = pdf["label"].to_numpy(), pdf["node"].to_numpy(), pdf["n"].to_numpy()
-    sk = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(-1, SKETCH_WORDS)
     out = []
-    for i in range(0, len(pdf), BLOCK):
-        for j in range(i, len(pdf), BLOCK):
+    for i in range(0, len(node), BLOCK):
+        for j in range(i, len(node), BLOCK):
             a, b = slice(i, i + BLOCK), slice(j, j + BLOCK)
             ok = (comp[a, None] != comp[None, b]) & (node[a, None] < node[None, b] if i == j else True)
-            both = size[a, None] + size[None, b]
             x, y = np.nonzero(ok)
             apart = np.bitwise_count(sk[a][x] ^ sk[b][y]).sum(1, dtype=np.int64)
-            keep = 9 * apart <= both[x, y]
+            keep = 9 * apart <= (size[a][x] + size[b][y])
             out.append(np.stack([node[a][x[keep]], node[b][y[keep]]], 1))
-    p = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-    return pd.DataFrame({"a": p.min(1), "b": p.max(1)})
+    p = np.concatenate(out)
+    return np.unique(np.sort(p, 1), axis=0)
+
+
+def cross_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) from (sig, node, label, n, sketch): one signature after the other, in rows sorted by it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, done = [], None, []
+
+        def close() -> None:
+            if len(held) > 1:
+                comp, node, size = (np.array([h[k] for h in held], np.int64) for k in range(3))
+                done.append(_cross_pairs(comp, node, size, np.frombuffer(b"".join([h[3] for h in held]), np.uint64).reshape(-1, SKETCH_WORDS)))
+
+        def flush() -> pa.RecordBatch:
+            p = np.concatenate(done) if done else np.empty((0, 2), np.int64)
+            done.clear()
+            p = np.unique(p, axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+        for b in batches:
+            for sig, *row in zip(*(b.column(c).to_pylist() for c in ("sig", "label", "node", "n", "sketch"))):
+                if sig != at:
+                    close()
+                    held, at = [], sig
+                held.append(row)
+            if sum(map(len, done)) > 50_000:
+                yield flush()
+        close()
+        yield flush()
+
+    return rows.select("sig", "label", "node", "n", "sketch").repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, blooms: int = 1 << 14) -> DataFrame:
@@ -222,14 +249,16 @@ def near_duplicates(docs: DataFrame, blooms: int = 1 << 14) -> DataFrame:
     sets = all_docs.where("members IS NOT NULL").groupBy("node").agg(F.first("members").alias("members"), F.first("sketch").alias("sketch"))
     sets = sets.join(groups.select("node").distinct(), "node", "left_semi")
 
-    star = groups.withColumn("a", F.min("node").over(W.partitionBy("sig"))).where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    centred = groups.withColumn("a", F.min("node").over(W.partitionBy("sig"))).where("a <> node")
+    star = centred.select("a", F.col("node").alias("b")).distinct()
     links = stored(spark, verified(star, sets), "links")
     label = components(links)
-    named = groups.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # the smallest set of each signature has been compared with all others; left are pairs among the others
+    named = centred.select("sig", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     w = W.partitionBy("sig")
     split = named.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo <> hi").select("sig", "node", "label")
     light = sets.select("node", F.size("members").cast("long").alias("n"), "sketch")
-    rest = split.join(light, "node").groupBy("sig").applyInPandas(_cross_pairs, "a long, b long").distinct()
+    rest = cross_pairs(split.join(light, "node"))
     rest = rest.join(star, ["a", "b"], "left_anti")
     links = stored(spark, links.unionByName(verified(rest, sets)), "links")
     return with_components(all_docs.select("doc_id", "n_shingles", "node"), links)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op6_byte_bpe
+from .ef_trie import op1_ef_trie
 from .licence import ORACLE as LICENCE_SQL
 from .licence import op9_licence
 from .line_crf import op4_line_crf
@@ -20,6 +21,6 @@ from .wavelet import op8_wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_prefix_hash, op3_partenum, op4_line_crf, op5_url_filter, op6_byte_bpe, op7_pii, op8_wavelet, op9_licence, op10_spaced_seed)
+    for f in (op1_ef_trie, op2_prefix_hash, op3_partenum, op4_line_crf, op5_url_filter, op6_byte_bpe, op7_pii, op8_wavelet, op9_licence, op10_spaced_seed)
 }
 ORACLE: dict[str, str] = {"op5_url_filter": URL_SQL, "op9_licence": LICENCE_SQL}
