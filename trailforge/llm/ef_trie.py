@@ -128,11 +128,13 @@ class EliasFano:
         i = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - h + 1, 0)
         end = np.minimum(self._select(h, False) - h, self.n)
         low = x & np.uint64((1 << self.width) - 1)
+        # among the elements with the same high part, ascending in their low bits: binary search
         live = np.flatnonzero((i < end) & ~beyond)
         while len(live):
-            less = Bits.get(self.low, i[live], self.width) < low[live]
-            live = live[less]
-            i[live] += 1
+            mid = (i[live] + end[live]) >> 1
+            less = Bits.get(self.low, mid, self.width) < low[live]
+            i[live[less]] = mid[less] + 1
+            end[live[~less]] = mid[~less]
             live = live[i[live] < end[live]]
         return np.where(beyond, self.n, i)
 
@@ -498,7 +500,7 @@ def answer(rows: list[tuple], where: Shards) -> Iterator[tuple]:
         f.write(data)
         f.flush()
         del data, tri, bi
-        trie = Trie(np.memmap(f, np.uint8, mode="r"))
+        trie = Trie(np.memmap(f, np.uint8, mode="r").view(np.ndarray))
         for row, (hs, c1, _, dv, u, w, _, run, doc, *_) in zip(rows, got):
             v = np.cumsum(dv.astype(np.int64))
             p = np.log10(trie.probability(hs, v, u.astype(np.int64), w.astype(np.int64), where.base(c1.astype(np.int64))))
