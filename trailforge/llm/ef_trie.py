@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, crc_mod, mix, small_batches, stored, table, words
+from .common import WordHash, crc_mod, mix, release_shuffles, small_batches, stored, table, words
 
 #: Tokens in a chunk, tokens in a shard, word entries in a bucket.
 CHUNK_TOKENS = 1_500_000
@@ -297,6 +297,15 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _by_frequency(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, the most frequent first so that their numbers pack well, and the number of each element."""
+    vocab, at, c = np.unique(h, return_inverse=True, return_counts=True)
+    order = np.argsort(-c, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return vocab[order], rank[at]
+
+
 def _least(x: np.ndarray) -> np.ndarray:
     top = int(x.max()) if len(x) else 0
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
@@ -313,7 +322,7 @@ CHUNKS = "chunk long, n_tokens long, n_words long, n_train long, blob binary"
 
 
 def tokenised(docs: DataFrame, held_out) -> DataFrame:
-    """Chunks of documents: ids, held-out flags, lengths, vocabulary (ascending hashes) and tokens as indices into it."""
+    """Chunks of documents: ids, held-out flags, lengths, vocabulary (hashes, the most frequent first) and tokens as indices into it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wh = WordHash()
@@ -324,7 +333,7 @@ def tokenised(docs: DataFrame, held_out) -> DataFrame:
         size = 0
 
         def close() -> pa.RecordBatch:
-            vocab, at = np.unique(np.concatenate(toks), return_inverse=True)
+            vocab, at = _by_frequency(np.concatenate(toks))
             none = np.array([x is None for x in ids])
             blob = pack(np.array([x or 0 for x in ids], np.int64), none, np.array(held, bool), np.array(lens, np.uint32), vocab, _least(at))
             chunk = int.from_bytes(os.urandom(7), "little")
@@ -370,7 +379,7 @@ def word_totals(chunks: DataFrame, buckets: int) -> DataFrame:
             got = [(r[0], unpack(r[4])) for r in rows]
             every, at = np.unique(np.concatenate([g[0] for _, g in got]), return_inverse=True)
             c = np.bincount(at, weights=np.concatenate([g[1] for _, g in got]), minlength=len(every)).astype(np.int64)
-            out = [(ch, rows[0][1], 0, 0, pack(g[0], _least(c[np.searchsorted(every, g[0])]))) for ch, g in got]
+            out = [(ch, rows[0][1], 0, 0, pack(_least(c[np.searchsorted(every, g[0])]))) for ch, g in got]
             out[0] = (out[0][0], out[0][1], int((c > 0).sum()), int(c.sum()), out[0][4])
             yield _rows(TOTALS, out)
 
@@ -398,8 +407,8 @@ GRAMS = "chunk long, shard int, blob binary"
 class Shards:
     """Where trigrams are kept."""
 
-    def __init__(self, shards: int, words: int, tokens: int, docs: int):
-        self.n, self.words, self.tokens, self.docs = shards, words, tokens, docs
+    def __init__(self, shards: int, words: int, tokens: int, docs: int, buckets: int):
+        self.n, self.words, self.tokens, self.docs, self.buckets = shards, words, tokens, docs, buckets
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return (c + 0.1) / (self.tokens + 0.1 * (self.words + 1))
@@ -409,13 +418,13 @@ class Shards:
         return np.minimum(1 + 2 * c.astype(np.int64) // SHARD_TOKENS, self.n)
 
 
-def grams_of(blob: bytes, totals: list[bytes], where: Shards, chunk: int) -> Iterator[tuple]:
+def grams_of(blob: bytes, totals: list[tuple[int, bytes]], where: Shards, chunk: int) -> Iterator[tuple]:
     """The rows that a chunk sends: its documents' figures (shard -1) and a block for every shard."""
     ids, none, held, lens, vocab, at = unpack(blob)
-    parts = [unpack(t) for t in totals]
+    bucket = mix(vocab) % np.uint64(where.buckets)
     counts = np.zeros(len(vocab), np.int64)
-    for hs, c in parts:
-        counts[np.searchsorted(vocab, hs)] = c
+    for k, t in totals:
+        counts[bucket == k] = unpack(t)[0]
     lens = lens.astype(np.int64)
     n, k = len(lens), len(vocab) + 2
     bos, end = len(vocab), len(vocab) + 1
@@ -519,14 +528,16 @@ def score(docs: DataFrame, held_out, shard_tokens: int = SHARD_TOKENS) -> DataFr
     chunks = stored(spark, tokenised(docs, held_out), "chunks")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows are blocks of some MB from here on
     size = chunks.agg(F.sum("n_tokens").alias("t"), F.sum("n_words").alias("w"), F.sum("n_train").alias("d")).first()
-    totals = stored(spark, word_totals(chunks, max(1, -(-(size.w or 0) // BUCKET_WORDS))), "totals")
+    buckets = max(1, -(-(size.w or 0) // BUCKET_WORDS))
+    totals = stored(spark, word_totals(chunks, buckets), "totals")
+    release_shuffles(spark)
     seen = totals.agg(F.sum("words").alias("w"), F.sum("tokens").alias("t")).first()
     n_docs = size.d or 0
-    where = Shards(max(1, -(-(size.t or 0) // shard_tokens)), (seen.w or 0) + (n_docs > 0), (seen.t or 0) + n_docs, n_docs)
+    where = Shards(max(1, -(-(size.t or 0) // shard_tokens)), (seen.w or 0) + (n_docs > 0), (seen.t or 0) + n_docs, n_docs, buckets)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "chunk"):
-            for row in grams_of(rows[0][2], [r[2] for r in rows[1:]], where, rows[0][0]):
+            for row in grams_of(rows[0][2], [(r[1], r[2]) for r in rows[1:]], where, rows[0][0]):
                 yield _rows(GRAMS, [row])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
