@@ -1,8 +1,497 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the trajectory engine and their SQL."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import predicate as P
+from ..functions import stats, text
+from ..functions.commands import classify_command, split_compound
+from ..operators import cluster, completion, pairing, reports, rules, score
+from ..operators import events as ev_ops
+from . import demo
+from .demo import CTE, LABELS, PREDICATES, TRUTH, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+Z = stats.Z95
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- pairing -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {CTE} SELECT model, round(avg(CASE WHEN outcome = 'pass' THEN 1.0 ELSE 0.0 END), 6) AS rate FROM pool GROUP BY model")
+def resolve_rates(spark, sf):
+    return pairing.resolve_rates(demo.pool(spark, sf)).select("model", F.round("rate", 6).alias("rate"))
+
+
+_TIERS = f"""{CTE}, rates AS (SELECT model, avg(CASE WHEN outcome = 'pass' THEN 1.0 ELSE 0.0 END) AS rate, min(pos) AS first_pos FROM pool GROUP BY model),
+tiers AS (SELECT *, ntile(3) OVER (ORDER BY rate, first_pos) AS t FROM rates)"""
+
+
+@query(f"WITH {_TIERS} SELECT model, ['weak', 'mid', 'strong'][t] AS tier FROM tiers")
+def ability_tiers(spark, sf):
+    return pairing.ability_tiers(pairing.resolve_rates(demo.pool(spark, sf))).select("model", "tier")
+
+
+@query(f"WITH {CTE} SELECT instance_id FROM pool GROUP BY instance_id HAVING bool_or(outcome = 'pass') AND bool_or(outcome = 'fail')")
+def frontier(spark, sf):
+    return pairing.frontier(demo.pool(spark, sf))
+
+
+@query(f"""WITH {_TIERS}, runs AS (SELECT pool.*, rate, t FROM pool JOIN tiers USING (model)),
+both_ AS (SELECT f.instance_id, f.traj_id AS fail_traj_id, p.traj_id AS pass_traj_id, f.t AS ft, p.t AS pt, p.rate - f.rate AS gap,
+  row_number() OVER (PARTITION BY f.instance_id ORDER BY p.rate - f.rate DESC, f.traj_id, p.traj_id) AS rn
+  FROM runs f JOIN runs p ON f.instance_id = p.instance_id AND p.rate > f.rate WHERE f.outcome = 'fail' AND p.outcome = 'pass')
+SELECT instance_id || '::' || fail_traj_id || '::' || pass_traj_id AS pair_id, fail_traj_id, pass_traj_id, ['weak', 'mid', 'strong'][ft] AS fail_tier, ['weak', 'mid', 'strong'][pt] AS pass_tier, round(gap, 4) AS capability_gap FROM both_ WHERE rn <= 4""")
+def topk_pairs(spark, sf):
+    return pairing.select_pairs(demo.pool(spark, sf)).select("pair_id", "fail_traj_id", "pass_traj_id", "fail_tier", "pass_tier", "capability_gap")
+
+
+@query(f"""WITH {_TIERS}, runs AS (SELECT pool.*, rate FROM pool JOIN tiers USING (model)),
+front AS (SELECT instance_id FROM pool GROUP BY 1 HAVING bool_or(outcome = 'pass') AND bool_or(outcome = 'fail')),
+pr AS (SELECT f.instance_id, row_number() OVER (PARTITION BY f.instance_id) AS rn FROM runs f JOIN runs p ON f.instance_id = p.instance_id AND p.rate > f.rate WHERE f.outcome = 'fail' AND p.outcome = 'pass')
+SELECT (SELECT count(DISTINCT instance_id) FROM pool) AS n_instances, (SELECT count(*) FROM front) AS n_frontier,
+ (SELECT count(*) FROM front WHERE instance_id NOT IN (SELECT instance_id FROM pr)) AS n_no_gap, (SELECT count(*) FROM pr WHERE rn <= 4) AS n_pairs""")
+def pairing_stats(spark, sf):
+    p = demo.pool(spark, sf)
+    return pairing.pairing_stats(p, pairing.select_pairs(p))
+
+
+@query(f"WITH {CTE} SELECT DISTINCT instance_id FROM pool WHERE instance_id IN (SELECT CAST(o_orderkey AS BIGINT) FROM orders WHERE o_orderkey % 7 = 0)")
+def leakage(spark, sf):
+    ids = table(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").cast("long").alias("instance_id"))
+    return pairing.leaks(demo.pool(spark, sf), ids)
+
+
+@query()
+def fork_prefix(spark, sf):
+    """Alignment by matching blocks has no SQL form; tested against cases by hand."""
+    p = demo.pool(spark, sf)
+    e = demo.events(spark, sf).select("traj_id", "i", F.col("i").alias("step_idx"), "action_type", F.lit("").alias("target"))
+    return pairing.localize_forks(pairing.select_pairs(p), e)
+
+
+# ---- predicates ----------------------------------------------------------------------------------------------
+
+
+def _predicate_query(name: str) -> None:
+    def run(spark, sf):
+        done = P.evaluate(demo.pool(spark, sf).select("traj_id"), demo.events(spark, sf), {name: PREDICATES[name]})
+        return done.select("traj_id", F.col(name).alias("holds"))
+
+    run.__name__ = "pred" + name[1:]
+    query(f"WITH {CTE}, {LABELS} SELECT traj_id, {name} AS holds FROM lab")(run)
+
+
+for _name in PREDICATES:
+    _predicate_query(_name)
+
+
+@query(f"WITH {CTE}, {LABELS} SELECT name, round(rate, 6) AS rate FROM (SELECT " + ", ".join(f"avg(CAST({n} AS INT)) AS {n}" for n in PREDICATES) + f" FROM lab) UNPIVOT (rate FOR name IN ({', '.join(PREDICATES)}))")
+def occurrence_rate(spark, sf):
+    return P.occurrence_rate(demo.pool(spark, sf), demo.events(spark, sf), PREDICATES).select("name", F.round("rate", 6).alias("rate"))
+
+
+@query(f"WITH {CTE} SELECT traj_id, min(i) FILTER (action_type = 'purchase') AS first_i, max(i) FILTER (action_type = 'purchase') AS last_i, count(*) FILTER (action_type = 'purchase') AS n FROM ev GROUP BY traj_id")
+def first_event(spark, sf):
+    f = P.features(demo.events(spark, sf), [P.Pattern("purchase")])
+    return f.select("traj_id", F.col("f0.lo").cast("long").alias("first_i"), F.col("f0.hi").cast("long").alias("last_i"), F.col("f0.n").alias("n"))
+
+
+# ---- scoring -------------------------------------------------------------------------------------------------
+
+_STRATA = f"""{CTE}, {LABELS}, st AS (SELECT instance_id, count(*) FILTER (p_before AND outcome = 'pass') AS a, count(*) FILTER (p_before) AS n1,
+  count(*) FILTER (NOT p_before AND outcome = 'pass') AS c, count(*) FILTER (NOT p_before) AS n0 FROM pool JOIN lab USING (traj_id) GROUP BY instance_id)"""
+_MH = f"""{_STRATA}, f AS (SELECT CAST(a AS DOUBLE) a, CAST(n1 AS DOUBLE) n1, CAST(c AS DOUBLE) c, CAST(n0 AS DOUBLE) n0, CAST(n1 + n0 AS DOUBLE) n FROM st WHERE n1 > 0 AND n0 > 0),
+s AS (SELECT sum(n1*n0/n) w, sum((a*n0-c*n1)/n) d, sum((n1*n1*c-n0*n0*a+n1*n0*(n0-n1)/2)/(n*n)) p, sum((a*(n0-c)+c*(n1-a))/(2*n)) q, count(*) AS used FROM f),
+mh AS (SELECT d/w AS lift, sqrt(greatest((d/w*p+q)/(w*w), 0)) AS se, used FROM s)"""
+
+
+def _labeled(spark, sf):
+    done = P.evaluate(demo.pool(spark, sf), demo.events(spark, sf), {"fires": PREDICATES["p_before"]})
+    return done.withColumn("passed", F.col("outcome") == "pass").withColumn("rule", F.lit("p_before"))
+
+
+@query(f"WITH {_STRATA} SELECT 'p_before' AS rule, * FROM st")
+def mh_strata(spark, sf):
+    return score.strata(_labeled(spark, sf), ["rule"])
+
+
+@query(f"WITH {_MH} SELECT round(lift, 6) AS lift, round(se, 6) AS se, used AS n_strata_used, round(lift / se, 4) AS z FROM mh")
+def mh_lift(spark, sf):
+    m = score.stratified_lift(_labeled(spark, sf), ["rule"])
+    return m.select(F.round("lift", 6).alias("lift"), F.round("se", 6).alias("se"), "n_strata_used", F.round(F.try_divide("lift", "se"), 4).alias("z"))
+
+
+@query(f"WITH {_MH} SELECT round(lift - {Z} * se, 6) AS ci_low, round(lift + {Z} * se, 6) AS ci_high FROM mh")
+def lift_ci(spark, sf):
+    m = score.stratified_lift(_labeled(spark, sf), ["rule"])
+    return m.select(F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
+
+
+def flagship(spark, sf):
+    return mh_lift(spark, sf)
+
+
+def _rule_table(spark, sf):
+    p = pairing.select_pairs(demo.pool(spark, sf))
+    one = p.groupBy("repo").agg(F.sort_array(F.collect_list("pair_id")).alias("ids"))
+    texts = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("predicate")) for n, t in [*PREDICATES.items(), ("none", None), ("bad", "exists(")]])
+    x = one.select("repo", F.explode(texts).alias("t"), F.slice("ids", 1, 3).alias("source_pair_ids"))
+    return p, x.select(F.concat_ws(":", "repo", "t.name").alias("rule_id"), "repo", "t.predicate", "source_pair_ids")
+
+
+_HOLD = f"""{_TIERS}, runs AS (SELECT pool.*, rate FROM pool JOIN tiers USING (model)),
+pr AS (SELECT f.instance_id || '::' || f.traj_id || '::' || p.traj_id AS pair_id, f.repo, f.traj_id AS ft, p.traj_id AS pt, row_number() OVER (PARTITION BY f.instance_id ORDER BY p.rate - f.rate DESC, f.traj_id, p.traj_id) AS rn
+  FROM runs f JOIN runs p ON f.instance_id = p.instance_id AND p.rate > f.rate WHERE f.outcome = 'fail' AND p.outcome = 'pass'),
+src AS (SELECT repo, ft, pt, row_number() OVER (PARTITION BY repo ORDER BY pair_id) AS k FROM pr WHERE rn <= 4),
+mixed AS (SELECT instance_id FROM pool GROUP BY 1 HAVING bool_or(outcome = 'pass') AND bool_or(outcome = 'fail')),
+hold AS (SELECT traj_id, instance_id, repo, outcome FROM pool WHERE instance_id IN (SELECT * FROM mixed)
+  AND NOT EXISTS (SELECT 1 FROM src WHERE k <= 3 AND src.repo = pool.repo AND traj_id IN (ft, pt)))"""
+
+
+@query(f"WITH {_HOLD} SELECT repo || ':p_before' AS rule_id, traj_id, instance_id, outcome = 'pass' AS passed FROM hold WHERE repo IN (SELECT repo FROM src)")
+def holdout_anti(spark, sf):
+    p, r = _rule_table(spark, sf)
+    return score.holdout(r.where("rule_id LIKE '%:p_before'"), demo.pool(spark, sf), p)
+
+
+@query(f"""WITH {_HOLD}, {LABELS}, st AS (SELECT repo, instance_id, count(*) FILTER (p_before AND outcome = 'pass')::DOUBLE a, count(*) FILTER (p_before)::DOUBLE n1,
+  count(*) FILTER (NOT p_before AND outcome = 'pass')::DOUBLE c, count(*) FILTER (NOT p_before)::DOUBLE n0 FROM hold JOIN lab USING (traj_id) GROUP BY ALL),
+s AS (SELECT repo, sum(n1*n0/(n1+n0)) w, sum((a*n0-c*n1)/(n1+n0)) d, sum((n1*n1*c-n0*n0*a+n1*n0*(n0-n1)/2)/((n1+n0)*(n1+n0))) p, sum((a*(n0-c)+c*(n1-a))/(2*(n1+n0))) q FROM st WHERE n1 > 0 AND n0 > 0 GROUP BY repo),
+m AS (SELECT repo, d/w AS lift, sqrt(greatest((d/w*p+q)/(w*w), 0)) AS se FROM s)
+SELECT repo || ':p_before' AS rule_id, 'scored' AS status, CAST(NULL AS VARCHAR) AS reason, round(lift, 4) AS lift, round(lift/se, 4) AS z FROM m
+UNION ALL SELECT DISTINCT repo || ':none', 'fallback', 'no_predicate', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM src""")
+def score_rules(spark, sf):
+    p, r = _rule_table(spark, sf)
+    done = score.score_rules(r.where("rule_id LIKE '%:p_before' OR rule_id LIKE '%:none'"), demo.pool(spark, sf), p, demo.events(spark, sf))
+    return done.select("rule_id", "validation.status", "validation.reason", "validation.lift", "validation.z")
+
+
+# ---- clustering ----------------------------------------------------------------------------------------------
+
+
+def _fired(spark, sf):
+    return P.fires(demo.pool(spark, sf), demo.events(spark, sf), {n: t for n, t in PREDICATES.items()})
+
+
+def _n(spark, sf):
+    return demo.pool(spark, sf).count()
+
+
+_FIRES = f"{CTE}, {LABELS}, fired AS (" + " UNION ALL ".join(f"SELECT '{n}' AS rule_id, traj_id FROM lab WHERE {n}" for n in PREDICATES) + "), np AS (SELECT count(*) AS n FROM pool)"
+_PHI = f"""{_FIRES}, cnt AS (SELECT rule_id, count(*) AS k FROM fired GROUP BY 1), met AS (SELECT x.rule_id a, y.rule_id b, count(*) n11 FROM fired x JOIN fired y ON x.traj_id = y.traj_id AND x.rule_id < y.rule_id GROUP BY ALL),
+ph AS (SELECT x.rule_id AS a, y.rule_id AS b, (n * coalesce(n11, 0)::DOUBLE - x.k::DOUBLE * y.k) / nullif(sqrt(x.k::DOUBLE * (n - x.k) * y.k::DOUBLE * (n - y.k)), 0) AS phi FROM cnt x JOIN cnt y ON x.rule_id < y.rule_id CROSS JOIN np LEFT JOIN met ON met.a = x.rule_id AND met.b = y.rule_id)"""
+
+
+@query(f"WITH {_FIRES} SELECT rule_id, count(*) AS fires FROM fired GROUP BY 1")
+def fire_counts(spark, sf):
+    return cluster.fire_counts(_fired(spark, sf))
+
+
+@query(f"WITH {_FIRES} SELECT rule_id, count(*) AS fires FROM fired, np GROUP BY rule_id, n HAVING count(*) BETWEEN 20 AND n - 20")
+def powered_filter(spark, sf):
+    return cluster.powered(cluster.fire_counts(_fired(spark, sf)), _n(spark, sf), 20)
+
+
+@query(f"WITH {_PHI} SELECT a, b, round(phi, 6) AS phi FROM ph")
+def phi_pairs(spark, sf):
+    return cluster.phi_pairs(_fired(spark, sf), _n(spark, sf)).select("a", "b", F.round("phi", 6).alias("phi"))
+
+
+@query(f"WITH {_PHI} SELECT CAST(least(floor((phi + 1) / 0.05), 39) AS INT) AS bin, count(*) AS n FROM ph WHERE phi IS NOT NULL GROUP BY 1")
+def phi_hist(spark, sf):
+    return cluster.phi_histogram(cluster.phi_pairs(_fired(spark, sf), _n(spark, sf)))
+
+
+@query()
+def complete_linkage(spark, sf):
+    """Hierarchical clustering has no SQL form; tested against brute force."""
+    got = cluster.cluster_rules(cluster.phi_pairs(_fired(spark, sf), _n(spark, sf)), list(PREDICATES), 0.2)
+    return spark.createDataFrame(sorted(got.items()), "rule_id string, cluster int")
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+
+
+_UNIT = "e AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT id, label, v, sqrt(list_dot_product(v, v)) AS n FROM e)"
+_KNN = f"""{_UNIT}, d AS (SELECT x.id AS a, y.id AS b, 1 - list_dot_product(x.v, y.v) / (x.n * y.n) AS distance FROM u x JOIN u y ON x.id <> y.id),
+near AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rn FROM d),
+nn AS (SELECT least(a, b) AS a, greatest(a, b) AS b, least(min(distance), 1.0) AS distance FROM near WHERE rn <= 5 GROUP BY ALL)"""
+
+
+@query(f"WITH {_KNN} SELECT a, b, round(distance, 6) AS distance FROM nn")
+def knn_cosine(spark, sf):
+    return cluster.knn(_vectors(spark, sf), 5).select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+@query(f"""WITH {_KNN}, bo AS (SELECT a AS rule, b AS other, distance FROM nn UNION ALL SELECT b, a, distance FROM nn),
+k AS (SELECT rule, label AS cluster, other, distance, row_number() OVER (PARTITION BY rule, label ORDER BY distance, other) AS rn FROM bo JOIN u ON u.id = other AND other % 5 <> 0 WHERE rule % 5 = 0),
+g AS (SELECT rule, cluster, min(distance) AS distance, string_agg(other::VARCHAR, ',' ORDER BY rn) AS members FROM k WHERE rn <= 3 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY distance, cluster) AS place FROM g) SELECT rule, cluster, CAST(place AS INT) AS place, members FROM o WHERE place <= 6""")
+def assign_groups(spark, sf):
+    v = _vectors(spark, sf)
+    none = v.where("id % 5 = 0").select(F.col("id").alias("rule_id"))
+    known = v.where("id % 5 <> 0").select(F.col("id").alias("rule_id"), F.col("label").alias("cluster"))
+    c = cluster.assignment_choices(none, cluster.knn(v, 5), known)
+    return c.select("rule", "cluster", F.col("place").cast("int").alias("place"), F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
+_MEMBERS = "m AS (SELECT o_custkey % 20 AS component, round(o_totalprice / 1000, 4) AS lift, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE round((o_orderkey % 90 + 1) / 20.0, 4)::DOUBLE END AS z FROM orders)"
+
+
+def _members(spark, sf):
+    o = table(spark, sf, "orders")
+    z = F.when(F.col("o_orderkey") % 5 != 0, F.round((F.col("o_orderkey") % 90 + 1) / 20.0, 4).cast("double"))
+    return o.select((F.col("o_custkey") % 20).alias("component"), F.round(F.col("o_totalprice") / 1000, 4).alias("lift"), z.alias("z"))
+
+
+@query(f"""WITH {_MEMBERS}, e AS (SELECT component, lift, 1 / pow(lift / z, 2) AS w FROM m WHERE z IS NOT NULL AND abs(lift / z) > 1e-9), s AS (SELECT component, count(*) AS n, sum(w) w, sum(w * lift) wl FROM e GROUP BY 1)
+SELECT component, n AS n_scored, round(wl / w, 4) AS pooled_lift, round(wl / w * sqrt(w), 3) AS pooled_z FROM s""")
+def pool_q(spark, sf):
+    """The p-value of Q is checked by tests, as DuckDB has no chi-square tail."""
+    return cluster.pool_and_q(_members(spark, sf), ["component"]).select("component", "n_scored", "pooled_lift", "pooled_z")
+
+
+@query("""WITH c AS (SELECT o_custkey % 50 AS component, count(*) AS size, count(DISTINCT o_orderpriority) AS n_repos, sum(o_orderkey % 9) AS support_total FROM orders GROUP BY 1)
+SELECT component, size, n_repos, support_total FROM c WHERE n_repos >= 2""")
+def components_multi(spark, sf):
+    o = table(spark, sf, "orders")
+    m = o.select(F.col("o_orderkey").alias("rule_id"), (F.col("o_custkey") % 50).alias("component"), F.col("o_orderpriority").alias("repo"), (F.col("o_orderkey") % 9).alias("support"))
+    none = m.select(F.col("rule_id").alias("a"), F.col("rule_id").alias("b"), F.lit(0.0).alias("phi")).where("a < 0")
+    c = cluster.strategies(cluster.component_table(m, none))
+    return c.select("component", "size", F.size("repos").cast("long").alias("n_repos"), F.col("support_total").cast("decimal(38,0)").alias("support_total"))
+
+
+@query("""WITH c AS (SELECT o_custkey % 30 AS g, o_orderpriority AS p, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY ALL), t AS (SELECT g, count(*) AS m FROM (SELECT o_custkey % 30 AS g FROM orders) GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, f) AS rn FROM c) SELECT g AS component, p AS predicate, n || '/' || m AS agreement FROM r JOIN t USING (g) WHERE rn = 1""")
+def majority_predicate(spark, sf):
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 30).alias("component"), F.col("o_orderpriority").alias("predicate"), F.col("o_orderkey").alias("pos"))
+    return cluster.majority_predicate(o, ["component"])
+
+
+# ---- rules ---------------------------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT p_brand AS bucket, lower(p_type) AS fold, p_type AS title, p_name AS body, p_size AS support, p_partkey AS pos FROM part),
+g AS (SELECT bucket, fold, arg_min(title, pos) AS title, sum(support) AS support, min(pos) AS first FROM r GROUP BY ALL), b AS (SELECT bucket, fold, body, row_number() OVER (PARTITION BY bucket, fold ORDER BY length(body) DESC, pos) AS rn FROM r)
+SELECT bucket || ':lookup:' || (row_number() OVER (PARTITION BY g.bucket ORDER BY support DESC, first) - 1) AS rule_id, title, body, support::BIGINT AS support FROM g JOIN b USING (bucket, fold) WHERE rn = 1""")
+def title_fold(spark, sf):
+    p = table(spark, sf, "part")
+    r = p.select(F.col("p_brand").alias("bucket"), F.lit("lookup").alias("category"), F.col("p_type").alias("title"), F.col("p_name").alias("body"), F.col("p_size").cast("long").alias("support"), F.array(F.col("p_partkey").cast("string")).alias("source_pair_ids"), F.lit(None).cast("string").alias("predicate"), F.col("p_partkey").alias("pos"))
+    return rules.fold_titles(r).select("rule_id", "title", "body", "support")
+
+
+@query("SELECT o_orderkey, floor((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) / 32)::BIGINT AS batch FROM orders")
+def batches(spark, sf):
+    return rules.batches(table(spark, sf, "orders"), ["o_orderpriority"], "o_orderkey").select("o_orderkey", "batch")
+
+
+_LOG = """log AS (SELECT doc_id AS rule_id, doc_id AS pos, quality, toxic FROM labels)"""
+
+
+def _log(spark, sf):
+    lab = table(spark, sf, "labels")
+    dec = F.create_map(F.lit("quality"), F.col("quality").cast("string"), F.lit("toxic"), F.col("toxic").cast("string"))
+    return lab.select(F.col("doc_id").alias("rule_id"), F.col("doc_id").alias("pos"), dec.alias("decision"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("boolean").alias("keep"))
+
+
+@query("SELECT doc_id AS rule_id FROM labels WHERE quality = 1")
+def judge_keep(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("rule_id"))
+    return rules.kept_rules(docs, rules.judged(_log(spark, sf), ("quality",)))
+
+
+@query("SELECT doc_id AS rule_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def judge_resume(spark, sf):
+    return rules.to_judge(table(spark, sf, "documents").select(F.col("doc_id").alias("rule_id")), _log(spark, sf))
+
+
+_SHARED = """tok AS (SELECT {id} AS id, list_filter(regexp_extract_all(lower(text), '[A-Za-z_][A-Za-z0-9_.]*|\\S'), lambda t: t NOT IN ({stop})) AS t FROM {table})"""
+
+
+def _audit_sql() -> str:
+    stop = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+    tok = "regexp_extract_all(lower(text), '[A-Za-z_][A-Za-z0-9_.]*|[^\\s\\x0b]')"
+    grams = "SELECT id, unnest(list_transform(range(1, len(t) - 4), lambda k: array_to_string(t[k:k + 5], ' '))) AS g FROM {0} WHERE len(t) >= 6"
+    return f"""WITH d AS (SELECT doc_id AS id, list_filter({tok}, lambda t: t NOT IN ({stop})) AS t FROM documents), b AS (SELECT item_id AS id, list_filter({tok}, lambda t: t NOT IN ({stop})) AS t FROM benchmark),
+dg AS (SELECT DISTINCT * FROM ({grams.format("d")})), bg AS (SELECT DISTINCT * FROM ({grams.format("b")}))
+SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_hits, min(d.g) AS first_hit FROM dg d JOIN bg b ON d.g = b.g GROUP BY ALL"""
+
+
+@query(_audit_sql())
+def ngram_audit(spark, sf):
+    """The audit of rules against patches, on documents against benchmark items; joined on the n-grams themselves."""
+    def grams(df, id_):
+        return df.select(F.col(id_), F.explode(text.ngrams(text.tokens(F.col("text")), 6)).alias("g"))
+
+    d, b = grams(table(spark, sf, "documents"), "doc_id"), grams(table(spark, sf, "benchmark"), "item_id")
+    return d.join(b, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.min("g").alias("first_hit"))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_name AS rule, CASE WHEN p_size % 3 = 0 THEN 'action' WHEN p_size % 3 = 1 THEN 'fact' ELSE 'other' END AS kind FROM part)
+SELECT p_partkey, CASE WHEN kind = 'other' THEN 'bad_kind' WHEN kind = 'action' THEN 'predicate_missing' ELSE 'fact_unanchored' END AS reason FROM c""")
+def guard_reason(spark, sf):
+    p = table(spark, sf, "part")
+    kind = F.when(F.col("p_size") % 3 == 0, "action").when(F.col("p_size") % 3 == 1, "fact").otherwise("other")
+    c = p.select("p_partkey", kind.alias("kind"), F.lit("lookup").alias("category"), F.col("p_name").alias("rule"), F.lit(None).cast("string").alias("predicate"))
+    return rules.guard(c).select("p_partkey", "reason")
+
+
+# ---- texts and messages --------------------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)
+SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'observation' WHEN nxt = 'user' THEN 'action' ELSE 'thought' END AS kind FROM n WHERE role IN ('user', 'assistant')""")
+def next_role(spark, sf):
+    return ev_ops.next_role_steps(table(spark, sf, "conversations"), "conv_id", "turn", "role", "user").select("conv_id", "turn", "kind")
+
+
+def _steps(spark, sf):
+    return table(spark, sf, "conversations").select(F.col("conv_id").alias("traj_id"), F.col("turn").cast("int").alias("step_idx"), F.col("role").alias("kind"), F.col("text").alias("content"))
+
+
+def _excerpt_sql(start: int, budget: int) -> str:
+    return f"""WITH l AS (SELECT conv_id, turn, '[' || turn || ' ' || role || '] ' || CASE WHEN length(trim(text)) > 800 THEN substring(trim(text), 1, 800) || '…' ELSE trim(text) END AS line FROM conversations WHERE turn >= {start}),
+u AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM l)
+SELECT conv_id AS traj_id, coalesce(string_agg(line, chr(10) ORDER BY turn) FILTER (used <= {budget}), '') || CASE WHEN max(used) > {budget} THEN chr(10) || '... (truncated)' ELSE '' END AS excerpt FROM u GROUP BY conv_id"""
+
+
+@query(_excerpt_sql(0, 600))
+def excerpt_budget(spark, sf):
+    return ev_ops.excerpt(_steps(spark, sf), 600)
+
+
+@query(_excerpt_sql(1, 400))
+def step_window(spark, sf):
+    return ev_ops.steps_window(_steps(spark, sf), 1, 400)
+
+
+@query("""SELECT o_orderkey, 'support ' || o_custkey || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ', z ' || printf('%+.2f', (o_orderkey % 100)::DOUBLE - 50) END || CASE WHEN o_orderkey % 2 = 0 THEN ', HET' ELSE '' END AS tag FROM orders""")
+def evidence_tag(spark, sf):
+    o = table(spark, sf, "orders")
+    z = F.when(F.col("o_orderkey") % 3 != 0, (F.col("o_orderkey") % 100).cast("double") - 50)
+    return o.select("o_orderkey", text.evidence_tag(F.col("o_custkey"), z, F.col("o_orderkey") % 2 == 0).alias("tag"))
+
+
+@query("""SELECT c_custkey, regexp_replace(c_name || '__x-' || c_custkey, '-[^-]*$', '') AS slug, regexp_replace(regexp_replace(c_name || '__x-' || c_custkey, '-[^-]*$', ''), '__', '/') AS repo, regexp_replace(c_name || '::a b', '[^A-Za-z0-9_.-]+', '_', 'g') AS safe FROM customer""")
+def repo_slug(spark, sf):
+    iid = F.concat("c_name", F.lit("__x-"), F.col("c_custkey").cast("string"))
+    return table(spark, sf, "customer").select("c_custkey", text.repo_slug(iid).alias("slug"), text.repo_of(iid).alias("repo"), text.safe_name(F.concat("c_name", F.lit("::a b"))).alias("safe"))
+
+
+@query(r"""SELECT page_id, 'read' || chr(1) || substring(replace(replace(split_part(lower(trim(url)), '/', -1), '''', ''), '"', ''), 1, 24) AS key FROM pages""")
+def anchor_key(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.anchor_key(F.lit("read"), F.col("url")).alias("key"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS line FROM documents")
+def one_line(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.one_line(F.col("text")).alias("line"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+def json_recover(spark, sf):
+    noisy = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nbye"))
+    return table(spark, sf, "events").select("event_id", F.try_variant_get(text.json_object_of(noisy), "$.k", "int").alias("k"))
+
+
+@query()
+def command_events(spark, sf):
+    """Shell commands made from parts' names; the classification is tested against cases by hand."""
+    cmd = F.concat(F.lit("cd /src && grep -rn '"), "p_name", F.lit("' lib/a.py; sed -i s/a/b/ lib/b.py && pytest tests/test_"), F.col("p_size").cast("string"), F.lit(".py"))
+    s = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("traj_id"), F.lit(0).alias("step_idx"), F.lit("action").alias("kind"), cmd.alias("command"))
+    return ev_ops.extract_events(s)
+
+
+# ---- reports -------------------------------------------------------------------------------------------------
+
+_ARMS = "ids AS (SELECT c_custkey AS id FROM customer), a AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderpriority LIKE '1%'), b AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderpriority LIKE '2%')"
+
+
+def _arms(spark, sf):
+    o = table(spark, sf, "orders")
+    ids = table(spark, sf, "customer").select(F.col("c_custkey").alias("instance_id"))
+    arm = lambda p: o.where(F.col("o_orderpriority").like(p)).select(F.col("o_custkey").alias("instance_id"))
+    return ids, arm("1%"), arm("2%")
+
+
+@query(f"""WITH {_ARMS}, n AS (SELECT (SELECT count(*) FROM b WHERE id NOT IN (SELECT id FROM a)) AS b, (SELECT count(*) FROM a WHERE id NOT IN (SELECT id FROM b)) AS c),
+lf AS (SELECT k, sum(CASE WHEN k > 1 THEN ln(k) ELSE 0 END) OVER (ORDER BY k) AS f FROM range(0, 2000000) r(k)),
+t AS (SELECT b, c, sum(exp(fn.f - fk.f - fr.f - (b + c) * ln(2))) AS tail FROM n JOIN lf fk ON fk.k <= least(b, c) JOIN lf fn ON fn.k = b + c JOIN lf fr ON fr.k = b + c - fk.k GROUP BY ALL)
+SELECT b, c, round(least(1.0, 2 * tail), 6) AS p FROM t""")
+def mcnemar(spark, sf):
+    return reports.compare_arms(*_arms(spark, sf)).select("b", "c", F.round("p", 6).alias("p"))
+
+
+@query(f"WITH {_ARMS} SELECT (SELECT count(*) FROM ids) AS n, round((SELECT count(*) FROM a)::DOUBLE / (SELECT count(*) FROM ids), 6) AS pass_base, round((SELECT count(*) FROM b)::DOUBLE / (SELECT count(*) FROM ids), 6) AS pass_new")
+def arm_diff(spark, sf):
+    return reports.compare_arms(*_arms(spark, sf)).select("n", F.round("pass_base", 6).alias("pass_base"), F.round("pass_new", 6).alias("pass_new"))
+
+
+@query("SELECT c_custkey AS instance_id, coalesce(max(o_totalprice), 0.0) AS reward FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def max_reward(spark, sf):
+    ids = table(spark, sf, "customer").select(F.col("c_custkey").alias("instance_id"))
+    return reports.best_reward(ids, table(spark, sf, "orders").select(F.col("o_custkey").alias("instance_id"), F.col("o_totalprice").alias("reward")))
+
+
+@query("""WITH s AS (SELECT o_custkey AS i, l_partkey AS r, min(l_orderkey * 10 + l_linenumber) AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY p) AS pos FROM s) SELECT i AS instance_id, string_agg('- **' || p_type || '** — ' || p_name, chr(10) ORDER BY pos) AS block FROM k JOIN part ON p_partkey = r WHERE pos <= 5 GROUP BY i""")
+def render_block(spark, sf):
+    rules_ = table(spark, sf, "part").select(F.col("p_partkey").alias("rule_id"), F.col("p_type").alias("title"), F.col("p_name").alias("body"))
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    item = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("p"), F.col("l_partkey").alias("rule_id"), F.lit("").alias("reason"))
+    sel = li.groupBy(F.col("o_custkey").alias("instance_id")).agg(F.sort_array(F.collect_list(item)).alias("selected"))
+    return reports.skill_blocks(reports.sanitized_selection(sel, rules_, 5), rules_)
+
+
+@query("""WITH t AS (SELECT n_name AS bucket, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) SELECT bucket, n, '---' AS head FROM t""")
+def pack_files(spark, sf):
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    r = c.select(F.col("n_name").alias("repo"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("title"), F.col("c_custkey").alias("support"), F.col("c_acctbal").alias("z"), F.col("c_mktsegment").alias("body"))
+    files = reports.skill_files(reports.residual_bullets(r))
+    return files.select("bucket", F.regexp_extract("text", r"n_rules: (\d+)", 1).cast("long").alias("n"), F.substring("text", 1, 3).alias("head"))
+
+
+@query("""SELECT n_name || '/skill/' || (row_number() OVER (PARTITION BY n_name ORDER BY c_acctbal DESC, c_custkey) - 1) AS rule_id, c_name AS title, c_custkey::INT AS support FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def skill_round_trip(spark, sf):
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    r = c.select(F.col("n_name").alias("repo"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("title"), F.col("c_custkey").alias("support"), F.col("c_acctbal").alias("z"), F.col("c_mktsegment").alias("body"))
+    lines = reports.skill_files(reports.residual_bullets(r)).select("bucket", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return reports.parse_skill_lines(lines).select("rule_id", "title", "support")
+
+
+@query("SELECT o_orderstatus AS stage, o_orderpriority AS sub, CASE WHEN o_totalprice > 100000 THEN 'ok' ELSE 'error' END AS outcome, count(*) AS n FROM orders GROUP BY ALL")
+def outcome_counts(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("stage"), F.col("o_orderpriority").alias("sub"), F.when(F.col("o_totalprice") > 100000, "ok").otherwise("error").alias("outcome"))
+    return reports.outcome_counts(o)
+
+
+@query("SELECT s_suppkey, coalesce(s_nationkey::DOUBLE / nullif(s_suppkey % 4, 0), 0.0) AS pair_yield FROM supplier")
+def stage_yield(spark, sf):
+    s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 4).alias("n_in"), F.col("s_nationkey").alias("n_out"))
+    return reports.stage_yield(s).select("s_suppkey", "pair_yield")
+
+
+@query("SELECT conv_id, turn, sha256('m' || chr(31) || role || chr(31) || text) AS prompt_key, turn % 2 = 0 AS answered FROM conversations")
+def replay_join(spark, sf):
+    c = table(spark, sf, "conversations")
+    req = c.select("conv_id", "turn", F.lit("m").alias("model"), F.col("role").alias("system"), F.col("text").alias("user"))
+    done = req.where("turn % 2 = 0").select(completion.prompt_key(F.col("model"), F.col("system"), F.col("user")).alias("prompt_key"), F.lit("ok").alias("text")).distinct()
+    return completion.replay(req, done).select("conv_id", "turn", "prompt_key", F.col("text").isNotNull().alias("answered"))
