@@ -16,6 +16,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,8 +163,6 @@ def java_safe(regex: str) -> bool:
 
 
 def _python_search(regex: str):
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def search(s: pd.Series) -> pd.Series:
         return s.str.contains(re.compile(regex, re.IGNORECASE))

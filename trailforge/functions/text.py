@@ -41,9 +41,13 @@ def tokens(text: Column) -> Column:
 
 
 def ngrams(toks: Column, n: int) -> Column:
-    """Distinct n-grams, joined by spaces."""
-    every = F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.array_join(F.slice(toks, i, n), " "))
-    return F.when(F.size(toks) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+    """Distinct n-grams, joined by spaces. The tokens are bound once, not worked out again for every n-gram."""
+
+    def of(t: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(F.array(toks), of))
 
 
 def overlap_hits(a: Column, b: Column, n: int) -> Column:

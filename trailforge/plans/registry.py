@@ -269,14 +269,14 @@ def pool_q(spark, sf):
     return cluster.pool_and_q(_members(spark, sf), ["component"]).select("component", "n_scored", "pooled_lift", "pooled_z")
 
 
-@query("""WITH c AS (SELECT o_custkey % 50 AS component, count(*) AS size, count(DISTINCT o_orderpriority) AS n_repos, sum(o_orderkey % 9) AS support_total FROM orders GROUP BY 1)
+@query("""WITH c AS (SELECT o_custkey % 50 AS component, count(*) AS size, count(DISTINCT o_orderpriority) AS n_repos, sum(o_orderkey % 9)::BIGINT AS support_total FROM orders GROUP BY 1)
 SELECT component, size, n_repos, support_total FROM c WHERE n_repos >= 2""")
 def components_multi(spark, sf):
     o = table(spark, sf, "orders")
     m = o.select(F.col("o_orderkey").alias("rule_id"), (F.col("o_custkey") % 50).alias("component"), F.col("o_orderpriority").alias("repo"), (F.col("o_orderkey") % 9).alias("support"))
     none = m.select(F.col("rule_id").alias("a"), F.col("rule_id").alias("b"), F.lit(0.0).alias("phi")).where("a < 0")
     c = cluster.strategies(cluster.component_table(m, none))
-    return c.select("component", "size", F.size("repos").cast("long").alias("n_repos"), F.col("support_total").cast("decimal(38,0)").alias("support_total"))
+    return c.select("component", "size", F.size("repos").cast("long").alias("n_repos"), "support_total")
 
 
 @query("""WITH c AS (SELECT o_custkey % 30 AS g, o_orderpriority AS p, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY ALL), t AS (SELECT g, count(*) AS m FROM (SELECT o_custkey % 30 AS g FROM orders) GROUP BY 1),
@@ -303,9 +303,6 @@ def batches(spark, sf):
     return rules.batches(table(spark, sf, "orders"), ["o_orderpriority"], "o_orderkey").select("o_orderkey", "batch")
 
 
-_LOG = """log AS (SELECT doc_id AS rule_id, doc_id AS pos, quality, toxic FROM labels)"""
-
-
 def _log(spark, sf):
     lab = table(spark, sf, "labels")
     dec = F.create_map(F.lit("quality"), F.col("quality").cast("string"), F.lit("toxic"), F.col("toxic").cast("string"))
@@ -323,9 +320,6 @@ def judge_resume(spark, sf):
     return rules.to_judge(table(spark, sf, "documents").select(F.col("doc_id").alias("rule_id")), _log(spark, sf))
 
 
-_SHARED = """tok AS (SELECT {id} AS id, list_filter(regexp_extract_all(lower(text), '[A-Za-z_][A-Za-z0-9_.]*|\\S'), lambda t: t NOT IN ({stop})) AS t FROM {table})"""
-
-
 def _audit_sql() -> str:
     stop = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
     tok = "regexp_extract_all(lower(text), '[A-Za-z_][A-Za-z0-9_.]*|[^\\s\\x0b]')"
@@ -452,7 +446,7 @@ def max_reward(spark, sf):
 
 
 @query("""WITH s AS (SELECT o_custkey AS i, l_partkey AS r, min(l_orderkey * 10 + l_linenumber) AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY p) AS pos FROM s) SELECT i AS instance_id, string_agg('- **' || p_type || '** — ' || p_name, chr(10) ORDER BY pos) AS block FROM k JOIN part ON p_partkey = r WHERE pos <= 5 GROUP BY i""")
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY p, r) AS pos FROM s) SELECT i AS instance_id, string_agg('- **' || p_type || '** — ' || p_name, chr(10) ORDER BY pos) AS block FROM k JOIN part ON p_partkey = r WHERE pos <= 5 GROUP BY i""")
 def render_block(spark, sf):
     rules_ = table(spark, sf, "part").select(F.col("p_partkey").alias("rule_id"), F.col("p_type").alias("title"), F.col("p_name").alias("body"))
     li = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
