@@ -15,31 +15,33 @@ their place (nulls first, ties by text); an empty table gives no shards and no r
 
 from __future__ import annotations
 
-import re
+import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, strings, table
+from .common import shared_dir, small_batches, table
 
 BLOCK = 512
 #: Text bytes a shard shall hold.
 SHARD_BYTES = 12 << 20
 _MAGIC = b"WMX1"
-#: Words whose ids a worker remembers before it starts afresh.
-CACHE_IDS = 500_000
+#: Words whose ids a worker remembers, twice over, before it forgets those not seen of late.
+CACHE_IDS = 400_000
+#: Text bytes, and words, that are handled together.
+BLOCK_BYTES = 8 << 20
+RUN = 64
 MARK = "\x01"
-#: White space for str.split() but not for the vocabulary's pre-tokeniser.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Beyond here lower-casing before the library's own normaliser might not commute with it.
-_WIDE = re.compile("[^\x00-\u024f]")
+STOPS = {",", "."}
 
 
 class Plane:
@@ -158,62 +160,102 @@ class WaveletMatrix:
         return seq
 
 
+def _plain(c: str) -> bool:
+    """Whether a character is still letters or digits alone after normalising; a mark would join what follows."""
+    return c.isalnum() and (c.isascii() or unicodedata.normalize("NFC", c).lower().isalnum())
+
+
 class WordTokenizer:
-    """ids of a text, from the ids of its words.
+    """ids of texts, from the ids of their distinct words.
 
     The vocabulary's pre-tokeniser never matches across white space and its normaliser works on single
-    characters, so the ids of a text are those of its words in turn. Words met before come from memory; new
-    ones go to the library many at a time, with a control character between them whose single id parts the
-    result again. Ids take two bytes each.
+    characters, so the ids of a text are those of its words in turn. Texts are cut at ASCII white space and their
+    words numbered on the Arrow side; words met before come from memory, new ones go to the library many at a time.
+    A run of words that hold letters only is parted again by the ids that end a word; if their number is not that of the
+    words, and for words with other characters, a control character with an id of its own stands between the words.
+    Ids take two bytes each.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already fill the cores
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        if self.tok.get_vocab_size() > 1 << 16:
+        vocab = self.tok.get_vocab()
+        if max(vocab.values()) >= 1 << 16:
             raise ValueError("ids of more than two bytes")
-        self.cache: dict[str, bytes] = {}
-        self.mark = self.tok.encode(MARK, add_special_tokens=False).ids
+        suffix = self.tok.model.end_of_word_suffix
+        self.last = np.zeros(1 << 16, bool)
+        if suffix:
+            self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.mark = self._ids(MARK)
         if len(self.mark) != 1:
             raise ValueError("the vocabulary lacks a single id for the mark")
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
     def learn(self, new: list[str]) -> None:
-        """Put the ids of new words into the cache; a comma or full stop at a word's end is a word of its own."""
-        stems = {w: w[:-1] if len(w) > 1 and w[-1] in ",." and w[-2].isalnum() else w for w in new}
-        todo = list({x for w, x in stems.items()} - self.cache.keys() | {",", "."} - self.cache.keys())
-        for i in range(0, len(todo), 4096):
-            part = todo[i : i + 4096]
-            ids = np.array(self.tok.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, "<u2")
-            ends = np.flatnonzero(ids == self.mark[0])
-            if len(ends) != len(part) - 1:  # a word holds the mark itself
-                self.cache.update((w, self.whole(w)) for w in part)
-                continue
-            self.cache.update(zip(part, (x.tobytes() for x in _parts(ids, ends))))
-        self.cache.update((w, self.cache[x] + self.cache[w[-1]]) for w, x in stems.items() if x is not w)
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        cut = [None if _ODD_SPACE.search(t) else (t if _WIDE.search(t) else t.lower()).split() for t in texts]
-        known = {w for ws in cut if ws for w in ws}
-        new = list(known - self.cache.keys())
-        if len(self.cache) + len(new) > CACHE_IDS:
-            self.cache.clear()
-            new = list(known)
-        self.learn(new)
-        last, get = np.array([end], "<u2").tobytes(), self.cache.__getitem__
-        joined = (self.whole(t) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, cut))
-        return [np.frombuffer(x + last, "<u2") for x in joined]
-
-
-def _parts(ids: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
-    at = 0
-    for e in [*ends.tolist(), len(ids)]:
-        yield ids[at:e]
-        at = e + 1
+        """Put the ids of new words into memory; a comma or full stop at a word's end is a word of its own."""
+        stems = {w: w[:-1] for w in new if w[-1:] in STOPS and _plain(w[-2:-1])}
+        todo = {stems.get(w, w) for w in new}
+        if stems:
+            todo |= STOPS
+        todo = [w for w in todo if w not in self.young]
+        letters = [w for w in todo if w.isalpha()]
+        others = [w for w in todo if not w.isalpha()]
+        for i in range(0, len(letters), RUN):
+            part = letters[i : i + RUN]
+            ids = self._ids(" ".join(part))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                self._keep(part, ids, ends, ends)
+            else:
+                others += part
+        for i in range(0, len(others), RUN):
+            part = others[i : i + RUN]
+            ids = self._ids(f" {MARK} ".join(part))
+            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
+            if len(ends) == len(part):
+                self._keep(part, ids, ends, ends + 1)
+            else:  # a word holds the mark itself
+                self.young.update((w, self._ids(w).tobytes()) for w in part)
+        get = self.young
+        get.update((w, get[x] + get[w[-1]]) for w, x in stems.items())
+
+    def _keep(self, part: list[str], ids: np.ndarray, ends: np.ndarray, following: np.ndarray) -> None:
+        raw, at = ids.tobytes(), [0, *(2 * following).tolist()]
+        self.young.update((w, raw[a:e]) for w, a, e in zip(part, at, (2 * ends).tolist()))
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """ids of distinct words. Words not asked for since the memory last filled up are forgotten."""
+        new = [w for w in words if w not in self.young]
+        if len(self.young) + len(new) > CACHE_IDS:
+            self.young, self.old = {}, self.young
+            new = words
+        again = {w: self.old[w] for w in new if w in self.old}
+        self.young.update(again)
+        self.learn([w for w in new if w not in again])
+        return list(map(self.young.__getitem__, words))
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by the end id; their number for each text)."""
+        if not len(texts):
+            return np.empty(0, "<u2"), np.empty(0, np.int64)
+        cut = pc.ascii_split_whitespace(texts)
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        coded = cut.flatten().dictionary_encode()
+        parts = [*self.of_words(coded.dictionary.to_pylist()), np.array([end], "<u2").tobytes()]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
+        begin, ids = np.cumsum(size) - size, np.frombuffer(b"".join(parts), "<u2")
+        seq = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], len(parts) - 1)
+        n = size[seq]
+        shift = begin[seq] - (np.cumsum(n) - n)
+        return ids[np.repeat(shift, n) + np.arange(n.sum())], np.add.reduceat(n, bounds[:-1] + np.arange(len(texts)))
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -235,12 +277,21 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, shard_bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
-        ids, docs_, lens = [], [], []
+        ids, lens, docs_, held = [], [], [], []
+
+        def close() -> None:
+            if held:
+                got, n = tok.encode(pa.concat_arrays(held), end_id)
+                ids.append(got)
+                lens.extend(n.tolist())
+                held.clear()
+
         for b in batches:
             docs_ += b.column("doc_id").to_pylist()
-            for x in tok.encode(strings(b), end_id):
-                lens.append(len(x))
-                ids.append(x)
+            held.append(b.column("text"))
+            if sum(x.nbytes for x in held) >= BLOCK_BYTES:
+                close()
+        close()
         if docs_:
             blob = WaveletMatrix.encode(np.concatenate(ids))
             cols = [pa.array([docs_], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([sum(lens)], pa.int64()), pa.array([blob], pa.binary())]
