@@ -12,9 +12,10 @@ others the t - 1 most frequent ones can be left out (linked sets share t, so the
 away what common passages produce. No cap is involved and no link can be lost.
 
 Sets that meet in a signature are first compared with the smallest of them, exactly, and joined into components.
-Where a signature still holds several components, all of its cross-component pairs are looked at through
-512-bit parity sketches: the number of differing bits is a lower bound of the number of differing elements, and only
-pairs within the bound are compared exactly. Equal sets are one node throughout, so copies are never expanded.
+Where a signature still holds several components, its sets are dealt into blocks, and pairs of blocks are searched
+for links between components: 512-bit parity sketches first, as the number of differing bits is a lower bound of the
+number of differing elements, then exactly. Components met are joined on the way, so each pair of blocks yields fewer
+links than it has sets. Equal sets are one node throughout, so copies are never expanded.
 
 Defined results: null and empty texts have no shingles and link with nothing; fewer than five words make one
 shingle; repeated ids or rows are copies of each other; rows with a null doc_id take part, and the smallest
@@ -40,8 +41,10 @@ WIDTH = 5
 SKETCH_WORDS = 8
 #: Nodes whose sets a task remembers having sent, to send copies once.
 SENT = 500_000
-#: Sets of a signature that are compared with each other at a time.
+#: Sets that one set is compared with at a time.
 BLOCK = 512
+#: Sets of a signature in a block; larger signatures are cut into several.
+GROUP = 2048
 
 
 def bands(upto: int) -> list[tuple[int, int]]:
@@ -132,12 +135,15 @@ def shared_signatures(docs: DataFrame) -> DataFrame:
     """(sig, node): what is left of the signatures after single ones and each set's most frequent ones are gone."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wh = WordHash()
+        wh, sent = WordHash(), set()
         for b in batches:
             node, code, sigs = [], [], []
             for s in shingle_sets(strings(b), wh):
-                if len(s):
-                    me = node_of(s)
+                me = node_of(s) if len(s) else None
+                if me is not None and me not in sent:  # copies within a task are sent once
+                    if len(sent) >= SENT:
+                        sent.clear()
+                    sent.add(me)
                     for band in own_bands(len(s)):
                         t, sig = signatures(s, band)
                         node.append(me)
@@ -193,50 +199,90 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return x.where(100 * F.col("i") >= 80 * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
 
-def _cross_pairs(comp: np.ndarray, node: np.ndarray, size: np.ndarray, sk: np.ndarray) -> np.ndarray:
-    """Of the sets of a signature: pairs in different components that may be similar by their sketches."""
-    out = []
-    for i in range(0, len(node), BLOCK):
-        for j in range(i, len(node), BLOCK):
-            a, b = slice(i, i + BLOCK), slice(j, j + BLOCK)
-            ok = (comp[a, None] != comp[None, b]) & (node[a, None] < node[None, b] if i == j else True)
-            x, y = np.nonzero(ok)
-            apart = np.bitwise_count(sk[a][x] ^ sk[b][y]).sum(1, dtype=np.int64)
-            keep = 9 * apart <= (size[a][x] + size[b][y])
-            out.append(np.stack([node[a][x[keep]], node[b][y[keep]]], 1))
-    p = np.concatenate(out)
-    return np.unique(np.sort(p, 1), axis=0)
+class Forest:
+    """Disjoint sets over the places 0..n-1, some of them joined from the start."""
+
+    def __init__(self, label: np.ndarray):
+        self.root = np.unique(label, return_inverse=True)[1]
+
+    def join(self, x: int, y: np.ndarray) -> None:
+        self.root[np.isin(self.root, self.root[y])] = self.root[x]
+
+
+def _similar(x: np.ndarray, ys: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets ys have a Jaccard similarity of 0.8 or more with x."""
+    size = np.array([len(y) for y in ys])
+    flat = np.concatenate(ys)
+    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+    both = np.add.reduceat((x[at] == flat).astype(np.int64), np.cumsum(size) - size)
+    return 100 * both >= 80 * (len(x) + size - both)
+
+
+def _links(side: np.ndarray, label: np.ndarray, node: np.ndarray, sets: list[np.ndarray], sk: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the components among the sets of a signature; between sides 0 and 1 only, if both occur.
+
+    A pair is compared only while its sets are in different components, so there are fewer links than sets.
+    """
+    size, forest, out = np.array([len(s) for s in sets]), Forest(label), []
+    rows = np.flatnonzero(side == side[0])
+    cols = np.flatnonzero(side != side[0])
+    alone = not len(cols)
+    for x in rows.tolist():
+        others = rows[rows > x] if alone else cols
+        for j in range(0, len(others), BLOCK):
+            ys = others[j : j + BLOCK]
+            ys = ys[forest.root[ys] != forest.root[x]]
+            apart = np.bitwise_count(sk[ys] ^ sk[x]).sum(1, dtype=np.int64)
+            ys = ys[9 * apart <= size[ys] + size[x]]
+            if not len(ys):
+                continue
+            ys = ys[_similar(sets[x], [sets[y] for y in ys.tolist()])]
+            _, first = np.unique(forest.root[ys], return_index=True)
+            out += [(int(node[x]), int(node[y])) for y in ys[first].tolist()]
+            forest.join(x, ys)
+    return out
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) from (sig, node, label, n, sketch): one signature after the other, in rows sorted by it."""
+def cross_links(rows: DataFrame) -> DataFrame:
+    """(a, b) from (sig, node, label, blocks, members, sketch): links between components that meet in a signature.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, done = [], None, []
+    The sets of a signature are dealt into its number of blocks, of about GROUP each, and each pair of blocks is one key of the shuffle, so a
+    task holds two blocks at most.
+    """
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("h", mine).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("sig", F.least("h", "k").alias("i"), F.greatest("h", "k").alias("j"), "h", "label", "node", "members", "sketch")
 
-        def close() -> None:
-            if len(held) > 1:
-                comp, node, size = (np.array([h[k] for h in held], np.int64) for k in range(3))
-                done.append(_cross_pairs(comp, node, size, np.frombuffer(b"".join([h[3] for h in held]), np.uint64).reshape(-1, SKETCH_WORDS)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
 
-        def flush() -> pa.RecordBatch:
-            p = np.concatenate(done) if done else np.empty((0, 2), np.int64)
-            done.clear()
-            p = np.unique(p, axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+        def close() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            side, label, node = (np.array([r[k] for r in held], np.int64) for k in range(3))
+            if at[1] != at[2] and (side == side[0]).all():
+                return []
+            return _links(side, label, node, [r[3] for r in held], np.frombuffer(b"".join([r[4] for r in held]), np.uint64).reshape(-1, SKETCH_WORDS))
 
         for b in batches:
-            for sig, *row in zip(*(b.column(c).to_pylist() for c in ("sig", "label", "node", "n", "sketch"))):
-                if sig != at:
-                    close()
-                    held, at = [], sig
-                held.append(row)
-            if sum(map(len, done)) > 50_000:
-                yield flush()
-        close()
-        yield flush()
+            found = []
+            keys = zip(*(b.column(c).to_pylist() for c in ("sig", "i", "j")))
+            off, flat = b.column("members").offsets.to_numpy(), b.column("members").values.to_numpy().view(np.uint64)
+            rest = zip(*(b.column(c).to_pylist() for c in ("h", "label", "node")), zip(off[:-1].tolist(), off[1:].tolist()), b.column("sketch").to_pylist())
+            for key, (h, label, node, (lo, hi), sk) in zip(keys, rest):
+                if key != at:
+                    found += close()
+                    held, at = [], key
+                held.append((h, label, node, flat[lo:hi].copy(), sk))
+            yield _pairs(found)
+        yield _pairs(close())
+
+    return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
 
-    return rows.select("sig", "label", "node", "n", "sketch").repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long").distinct()
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    p = np.sort(np.array(found, np.int64).reshape(-1, 2), 1)
+    return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, blooms: int = 1 << 14) -> DataFrame:
@@ -256,11 +302,10 @@ def near_duplicates(docs: DataFrame, blooms: int = 1 << 14) -> DataFrame:
     # the smallest set of each signature has been compared with all others; left are pairs among the others
     named = centred.select("sig", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     w = W.partitionBy("sig")
-    split = named.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo <> hi").select("sig", "node", "label")
-    light = sets.select("node", F.size("members").cast("long").alias("n"), "sketch")
-    rest = cross_pairs(split.join(light, "node"))
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    links = stored(spark, links.unionByName(verified(rest, sets)), "links")
+    split = named.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w))
+    split = split.withColumn("blocks", F.ceil(F.count("*").over(w) / GROUP).cast("int")).where("lo <> hi").select("sig", "node", "label", "blocks")
+    rest = cross_links(split.join(sets, "node"))
+    links = stored(spark, links.unionByName(rest), "links")
     return with_components(all_docs.select("doc_id", "n_shingles", "node"), links)
 
 
