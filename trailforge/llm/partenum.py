@@ -13,9 +13,9 @@ away what common passages produce. No cap is involved and no link can be lost.
 
 Sets that meet in a signature are first compared with the smallest of them, exactly, and joined into components.
 Where a signature still holds several components, its sets are dealt into blocks, and pairs of blocks are searched
-for links between components: 512-bit parity sketches first, as the number of differing bits is a lower bound of the
-number of differing elements, then exactly. Components met are joined on the way, so each pair of blocks yields fewer
-links than it has sets. Equal sets are one node throughout, so copies are never expanded.
+for sets that may be linked across components: 512-bit parity sketches, as the number of differing bits is a lower bound
+of the number of differing elements. Those sets then meet again, with their elements, and are compared exactly;
+components met are joined on the way, so each pair of blocks yields fewer links than it has sets. Equal sets are one node throughout, so copies are never expanded.
 
 Defined results: null and empty texts have no shingles and link with nothing; fewer than five words make one
 shingle; repeated ids or rows are copies of each other; rows with a null doc_id take part, and the smallest
@@ -243,41 +243,92 @@ def _links(side: np.ndarray, label: np.ndarray, node: np.ndarray, sets: list[np.
     return out
 
 
-def cross_links(rows: DataFrame) -> DataFrame:
-    """(a, b) from (sig, node, label, blocks, members, sketch): links between components that meet in a signature.
+def _contested(side: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarray, sk: np.ndarray) -> np.ndarray:
+    """Places of the sets that may, by their sketches, be linked with a set of another component."""
+    hit = np.zeros(len(node), bool)
+    rows = np.flatnonzero(side == side[0])
+    cols = np.flatnonzero(side != side[0])
+    alone = not len(cols)
+    for x in rows.tolist():
+        others = rows[rows > x] if alone else cols
+        others = others[label[others] != label[x]]
+        for j in range(0, len(others), BLOCK):
+            ys = others[j : j + BLOCK]
+            apart = np.bitwise_count(sk[ys] ^ sk[x]).sum(1, dtype=np.int64)
+            ys = ys[9 * apart <= size[ys] + size[x]]
+            hit[ys] = True
+            hit[x] |= len(ys) > 0
+    return np.flatnonzero(hit)
+
+
+def contested(rows: DataFrame) -> DataFrame:
+    """(group, side, label, node) from (sig, node, label, blocks, n, sketch): sets to compare exactly.
 
-    The sets of a signature are dealt into its number of blocks, of about GROUP each, and each pair of blocks is one key of the shuffle, so a
-    task holds two blocks at most.
+    The sets of a signature are dealt into its number of blocks, of about GROUP each, and each pair of blocks is one key of
+    the shuffle, so a task holds two blocks at most. Signatures that leave the same sets give one group.
     """
     mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
     dealt = rows.withColumn("h", mine).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("sig", F.least("h", "k").alias("i"), F.greatest("h", "k").alias("j"), "h", "label", "node", "members", "sketch")
+    dealt = dealt.select("sig", F.least("h", "k").alias("i"), F.greatest("h", "k").alias("j"), "h", "label", "node", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
 
-        def close() -> list[tuple[int, int]]:
+        def close() -> list[tuple[int, int, int, int]]:
             if len(held) < 2:
                 return []
-            side, label, node = (np.array([r[k] for r in held], np.int64) for k in range(3))
+            held.sort(key=lambda r: r[2])
+            side, label, node, size = (np.array([r[k] for r in held], np.int64) for k in range(4))
             if at[1] != at[2] and (side == side[0]).all():
                 return []
-            return _links(side, label, node, [r[3] for r in held], np.frombuffer(b"".join([r[4] for r in held]), np.uint64).reshape(-1, SKETCH_WORDS))
+            hit = _contested(side, label, node, size, np.frombuffer(b"".join([r[4] for r in held]), np.uint64).reshape(-1, SKETCH_WORDS))
+            side = (side[hit] != side[0]).astype(np.int64)
+            group = xxhash.xxh64_intdigest(node[hit].tobytes() + side.tobytes()) - (1 << 63)
+            return [(group, *x) for x in zip(side.tolist(), label[hit].tolist(), node[hit].tolist())]
+
+        def flush(found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(4)], names=["group", "side", "label", "node"])
 
         for b in batches:
             found = []
             keys = zip(*(b.column(c).to_pylist() for c in ("sig", "i", "j")))
-            off, flat = b.column("members").offsets.to_numpy(), b.column("members").values.to_numpy().view(np.uint64)
-            rest = zip(*(b.column(c).to_pylist() for c in ("h", "label", "node")), zip(off[:-1].tolist(), off[1:].tolist()), b.column("sketch").to_pylist())
-            for key, (h, label, node, (lo, hi), sk) in zip(keys, rest):
+            for key, *row in zip(keys, *(b.column(c).to_pylist() for c in ("h", "label", "node", "n", "sketch"))):
+                if key != at:
+                    found += close()
+                    held, at = [], key
+                held.append(row)
+            yield flush(found)
+        yield flush(close())
+
+    dealt = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return dealt.mapInArrow(run, "group long, side long, label long, node long").distinct()
+
+
+def cross_links(rows: DataFrame) -> DataFrame:
+    """(a, b) from (group, side, label, node, members, sketch): links that join the components of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def close() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            side, label, node = (np.array([r[k] for r in held], np.int64) for k in range(3))
+            return _links(side, label, node, [r[3] for r in held], np.frombuffer(b"".join([r[4] for r in held]), np.uint64).reshape(-1, SKETCH_WORDS))
+
+        for b in batches:
+            found = []
+            off, flat = b.column("members").offsets.to_numpy().tolist(), b.column("members").values.to_numpy().view(np.uint64)
+            rest = zip(*(b.column(c).to_pylist() for c in ("group", "side", "label", "node")), off, off[1:], b.column("sketch").to_pylist())
+            for key, side, label, node, lo, hi, sk in rest:
                 if key != at:
                     found += close()
                     held, at = [], key
-                held.append((h, label, node, flat[lo:hi].copy(), sk))
+                held.append((side, label, node, flat[lo:hi].copy(), sk))
             yield _pairs(found)
         yield _pairs(close())
 
-    return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long").distinct()
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -304,7 +355,8 @@ def near_duplicates(docs: DataFrame, blooms: int = 1 << 14) -> DataFrame:
     w = W.partitionBy("sig")
     split = named.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w))
     split = split.withColumn("blocks", F.ceil(F.count("*").over(w) / GROUP).cast("int")).where("lo <> hi").select("sig", "node", "label", "blocks")
-    rest = cross_links(split.join(sets, "node"))
+    light = sets.select("node", F.size("members").cast("long").alias("n"), "sketch")
+    rest = cross_links(contested(split.join(light, "node")).join(sets, "node"))
     links = stored(spark, links.unionByName(rest), "links")
     return with_components(all_docs.select("doc_id", "n_shingles", "node"), links)
 
