@@ -14,8 +14,8 @@ away what common passages produce. No cap is involved and no link can be lost.
 Sets that meet in a signature are first compared with the smallest of them, exactly, and joined into components.
 Where a signature still holds several components, its sets are dealt into blocks, and pairs of blocks are searched
 for sets that may be linked across components: 512-bit parity sketches, as the number of differing bits is a lower bound
-of the number of differing elements. Those sets then meet again, with their elements, and are compared exactly;
-components met are joined on the way, so each pair of blocks yields fewer links than it has sets. Equal sets are one node throughout, so copies are never expanded.
+of the number of differing elements. Signatures that leave the same sets in question are one group, and only a group's
+pairs within the bound are compared exactly. Equal sets are one node throughout, so copies are never expanded.
 
 Defined results: null and empty texts have no shingles and link with nothing; fewer than five words make one
 shingle; repeated ids or rows are copies of each other; rows with a null doc_id take part, and the smallest
@@ -199,50 +199,6 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return x.where(100 * F.col("i") >= 80 * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
 
-class Forest:
-    """Disjoint sets over the places 0..n-1, some of them joined from the start."""
-
-    def __init__(self, label: np.ndarray):
-        self.root = np.unique(label, return_inverse=True)[1]
-
-    def join(self, x: int, y: np.ndarray) -> None:
-        self.root[np.isin(self.root, self.root[y])] = self.root[x]
-
-
-def _similar(x: np.ndarray, ys: list[np.ndarray]) -> np.ndarray:
-    """Which of the sets ys have a Jaccard similarity of 0.8 or more with x."""
-    size = np.array([len(y) for y in ys])
-    flat = np.concatenate(ys)
-    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
-    both = np.add.reduceat((x[at] == flat).astype(np.int64), np.cumsum(size) - size)
-    return 100 * both >= 80 * (len(x) + size - both)
-
-
-def _links(side: np.ndarray, label: np.ndarray, node: np.ndarray, sets: list[np.ndarray], sk: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join the components among the sets of a signature; between sides 0 and 1 only, if both occur.
-
-    A pair is compared only while its sets are in different components, so there are fewer links than sets.
-    """
-    size, forest, out = np.array([len(s) for s in sets]), Forest(label), []
-    rows = np.flatnonzero(side == side[0])
-    cols = np.flatnonzero(side != side[0])
-    alone = not len(cols)
-    for x in rows.tolist():
-        others = rows[rows > x] if alone else cols
-        for j in range(0, len(others), BLOCK):
-            ys = others[j : j + BLOCK]
-            ys = ys[forest.root[ys] != forest.root[x]]
-            apart = np.bitwise_count(sk[ys] ^ sk[x]).sum(1, dtype=np.int64)
-            ys = ys[9 * apart <= size[ys] + size[x]]
-            if not len(ys):
-                continue
-            ys = ys[_similar(sets[x], [sets[y] for y in ys.tolist()])]
-            _, first = np.unique(forest.root[ys], return_index=True)
-            out += [(int(node[x]), int(node[y])) for y in ys[first].tolist()]
-            forest.join(x, ys)
-    return out
-
-
 def _contested(side: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarray, sk: np.ndarray) -> np.ndarray:
     """Places of the sets that may, by their sketches, be linked with a set of another component."""
     hit = np.zeros(len(node), bool)
@@ -304,8 +260,21 @@ def contested(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "group long, side long, label long, node long").distinct()
 
 
-def cross_links(rows: DataFrame) -> DataFrame:
-    """(a, b) from (group, side, label, node, members, sketch): links that join the components of each group."""
+def _cross(side: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarray, sk: np.ndarray) -> list[tuple[int, int]]:
+    """Of the sets of a group: pairs in different components that may be similar by their sketches."""
+    out = []
+    rows = np.flatnonzero(side == side[0])
+    cols = np.flatnonzero(side != side[0])
+    for x in rows.tolist():
+        ys = cols if len(cols) else rows[rows > x]
+        ys = ys[label[ys] != label[x]]
+        apart = np.bitwise_count(sk[ys] ^ sk[x]).sum(1, dtype=np.int64)
+        out += [(int(node[x]), y) for y in node[ys[9 * apart <= size[ys] + size[x]]].tolist()]
+    return out
+
+
+def cross_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) from (group, side, label, node, n, sketch): pairs to compare exactly, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
@@ -313,19 +282,16 @@ def cross_links(rows: DataFrame) -> DataFrame:
         def close() -> list[tuple[int, int]]:
             if len(held) < 2:
                 return []
-            side, label, node = (np.array([r[k] for r in held], np.int64) for k in range(3))
-            return _links(side, label, node, [r[3] for r in held], np.frombuffer(b"".join([r[4] for r in held]), np.uint64).reshape(-1, SKETCH_WORDS))
+            side, label, node, size = (np.array([r[k] for r in held], np.int64) for k in range(4))
+            return _cross(side, label, node, size, np.frombuffer(b"".join([r[4] for r in held]), np.uint64).reshape(-1, SKETCH_WORDS))
 
         for b in batches:
-            found = []
-            off, flat = b.column("members").offsets.to_numpy().tolist(), b.column("members").values.to_numpy().view(np.uint64)
-            rest = zip(*(b.column(c).to_pylist() for c in ("group", "side", "label", "node")), off, off[1:], b.column("sketch").to_pylist())
-            for key, side, label, node, lo, hi, sk in rest:
+            for key, *row in zip(*(b.column(c).to_pylist() for c in ("group", "side", "label", "node", "n", "sketch"))):
                 if key != at:
-                    found += close()
+                    if held:
+                        yield _pairs(close())
                     held, at = [], key
-                held.append((side, label, node, flat[lo:hi].copy(), sk))
-            yield _pairs(found)
+                held.append(row)
         yield _pairs(close())
 
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long").distinct()
@@ -356,8 +322,8 @@ def near_duplicates(docs: DataFrame, blooms: int = 1 << 14) -> DataFrame:
     split = named.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w))
     split = split.withColumn("blocks", F.ceil(F.count("*").over(w) / GROUP).cast("int")).where("lo <> hi").select("sig", "node", "label", "blocks")
     light = sets.select("node", F.size("members").cast("long").alias("n"), "sketch")
-    rest = cross_links(contested(split.join(light, "node")).join(sets, "node"))
-    links = stored(spark, links.unionByName(rest), "links")
+    rest = cross_pairs(contested(split.join(light, "node")).join(light, "node")).join(star, ["a", "b"], "left_anti")
+    links = stored(spark, links.unionByName(verified(rest, sets)), "links")
     return with_components(all_docs.select("doc_id", "n_shingles", "node"), links)
 
 
