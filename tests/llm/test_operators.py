@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +232,40 @@ def test_wavelet(spark):
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_word_tokenizer_equals_library():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path, r = P.path("word_bpe_49k.json"), random.Random(1)
+    lib, own = Tokenizer.from_file(path), wavelet.WordTokenizer(path)
+    lib.encode_special_tokens = True
+    letters = "aAbB éİßΣς,.'\x01\x1c\x85\u00a0\u2028\u0301\u0958\u200d\t\n\r 12٣%中가😀\u0000" + "'s"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 25))) for _ in range(3000)]
+    want = [[*lib.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    ids, n = own.encode(pa.array(texts), 2)
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "GROUP", 40)
+    r = random.Random(5)
+    texts = []
+    for _ in range(300):
+        w = [f"w{k}" for k in range(60)]
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(60)] = f"x{r.randrange(4000)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(56)} for t in texts]
+    low = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and low[i] != low[j]:
+                a, b = sorted((low[i], low[j]))
+                low = [a if x == b else x for x in low]
+    got = {x.doc_id: x.component_id for x in partenum.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(low))
+
+
 def test_line_crf(spark):
     rng = random.Random(3)
     good = lambda: "\n".join(" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(12)) + "." for _ in range(4))

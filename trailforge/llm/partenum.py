@@ -285,20 +285,23 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
             side, label, node, size = (np.array([r[k] for r in held], np.int64) for k in range(4))
             return _cross(side, label, node, size, np.frombuffer(b"".join([r[4] for r in held]), np.uint64).reshape(-1, SKETCH_WORDS))
 
+        found = []
         for b in batches:
             for key, *row in zip(*(b.column(c).to_pylist() for c in ("group", "side", "label", "node", "n", "sketch"))):
                 if key != at:
-                    if held:
-                        yield _pairs(close())
+                    found += close()
                     held, at = [], key
+                    if len(found) > 50_000:
+                        yield _pairs(found)
+                        found = []
                 held.append(row)
-        yield _pairs(close())
+        yield _pairs(found + close())
 
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long").distinct()
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    p = np.sort(np.array(found, np.int64).reshape(-1, 2), 1)
+    p = np.unique(np.sort(np.array(found, np.int64).reshape(-1, 2), 1), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
 
