@@ -306,3 +306,12 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other)), (3, "tiny item")], "item_id long, text string")
     got = sorted(tuple(r) for r in spaced_seed.overlaps(docs_of(spark, texts), bench).collect())
     assert got == [(0, 1, 50, 30, 30), (1, 1, 5, 30, 28), (4, 2, 0, 40, 40), (5, 3, 0, 2, 2)]
+
+
+def test_decontamination_behind_a_weak_first_hit(spark):
+    item = [f"q{k}" for k in range(60)]
+    parts = {0: item[:12] + ["x1", "x2", "x3", "x4"] + item[16:], 1: item[:20] + ["x1", "x2", "x3"] + item[23:], 2: item[:12] + ["x1", "x2", "x3", "x4"] + item[16:28]}
+    texts = [" ".join(["lead"] * 9 + parts[k] + ["tail"] * 9) for k in parts]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = sorted(tuple(r) for r in spaced_seed.overlaps(docs_of(spark, texts), bench).collect())
+    assert got == [(0, 1, 25, 44, 44), (1, 1, 32, 37, 37)]

@@ -3,8 +3,8 @@
 Words are Unicode lower-cased and stripped of ASCII punctuation. Every seed is a fixed mask over SPAN word positions;
 the positions left out may differ without changing the hash, so an overlap with substituted words is still hit.
 Hashes of the benchmark's masked windows fill a blocked Bloom filter of a fixed size, which is all that is sent
-to the tasks. Documents' windows that pass it are joined with the benchmark's hashes exactly, and round each hit
-the two word sequences are compared along their diagonal: matches count +1, substitutions -2, and the stretch
+to the tasks. Documents' windows that pass it are joined with the benchmark's hashes exactly, and round every hit
+of a diagonal the two word sequences are compared along it: matches count +1, substitutions -2, and the stretch
 ends where the score falls 5 below its best. An overlap counts when MATCHED words match (all of them for a
 shorter item) and at most a fifth of the stretch is substituted.
 
@@ -109,6 +109,17 @@ def compare(a: np.ndarray, b: np.ndarray, at: int) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
+def seed_places(same: np.ndarray) -> np.ndarray:
+    """Places of two aligned sequences where a seed hits; of those in one run of equal words, which all give the same stretch, the first."""
+    hit = np.zeros(len(same), bool)
+    for m in SEEDS:
+        n = len(same) - m[-1]
+        if n > 0:
+            hit[:n] |= np.logical_and.reduce([same[o : o + n] for o in m])
+    p = np.flatnonzero(hit)
+    return p[np.unique(np.cumsum(~same)[p], return_index=True)[1]]
+
+
 def overlaps(docs: DataFrame, items: DataFrame, blooms: int = 1 << 14) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, n_matched): the best overlap of each document with each item."""
     spark = docs.sparkSession
@@ -149,9 +160,9 @@ def overlaps(docs: DataFrame, items: DataFrame, blooms: int = 1 << 14) -> DataFr
     found = texts.mapInArrow(scan, "doc_id long, start int, words binary, hashes array<bigint>, places array<int>")
     found = stored(spark, found.withColumn("segment", F.xxhash64("start", "words")), "segments")
     hits = found.select("doc_id", "segment", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("doc_id", "segment", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
-    joined = hits.join(seeds, "hash").groupBy("doc_id", "segment", "item_id", (F.col("place") - F.col("pos")).alias("shift")).agg(F.min("place").alias("place"))
+    joined = hits.join(seeds, "hash").select("doc_id", "segment", "item_id", (F.col("place") - F.col("pos")).alias("shift")).distinct()
     pairs = joined.join(found.select("doc_id", "segment", "start", "words").dropDuplicates(["doc_id", "segment"]), ["doc_id", "segment"])
-    pairs = pairs.join(words.select("item_id", F.col("words").alias("item_words")), "item_id").select("doc_id", "item_id", "start", "words", "item_words", "shift", "place")
+    pairs = pairs.join(words.select("item_id", F.col("words").alias("item_words")), "item_id").select("doc_id", "item_id", "start", "words", "item_words", "shift")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,9 +171,11 @@ def overlaps(docs: DataFrame, items: DataFrame, blooms: int = 1 << 14) -> DataFr
                 d, i = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["item_words"], np.uint64)
                 off = r["shift"] - r["start"]  # item position 0 stands there in the segment
                 lo, hi = max(0, off), min(len(d), off + len(i))
-                a, e, m = compare(d[lo:hi], i[lo - off : hi - off], r["place"] - r["start"] - lo)
-                if m >= min(MATCHED, len(i)) and 5 * (e - a - m) <= e - a:
-                    out.append((r["doc_id"], r["item_id"], r["start"] + lo + a, e - a, m))
+                x, y = d[lo:hi], i[lo - off : hi - off]
+                for p in [0] if len(i) < SPAN else seed_places(x == y).tolist():
+                    a, e, m = compare(x, y, p)
+                    if m >= min(MATCHED, len(i)) and 5 * (e - a - m) <= e - a:
+                        out.append((r["doc_id"], r["item_id"], r["start"] + lo + a, e - a, m))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(5)], names=["doc_id", "item_id", "start_word", "n_words", "n_matched"])
 
     checked = pairs.mapInArrow(verify, "doc_id long, item_id long, start_word long, n_words long, n_matched long")
