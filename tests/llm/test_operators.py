@@ -315,3 +315,57 @@ def test_decontamination_behind_a_weak_first_hit(spark):
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     got = sorted(tuple(r) for r in spaced_seed.overlaps(docs_of(spark, texts), bench).collect())
     assert got == [(0, 1, 25, 44, 44), (1, 1, 32, 37, 37)]
+
+
+MIT = """Copyright (c) 2020 Some One
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice.
+3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+
+
+def test_licence_standard_texts(spark):
+    want = [(MIT, "MIT"), (BSD.format("the copyright holder"), "BSD-3-Clause"), (BSD.format("Some Firm Inc."), "BSD-3-Clause"), (GPL, "GPL-3.0"), (APACHE, "Apache-2.0")]
+    forms = [str, lambda t: t.replace("\n", "\r\n"), lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */\nint x;", lambda t: " ".join(t.replace("Copyright (c) 2020 Some One\n", "").split())]
+    texts = [f(t) for t, _ in want for f in forms]
+    got = [r.licences for r in licence.scan(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [[name] for _, name in want for _ in forms]
+    far = "-" * 2000 + "All" + " " * 2000 + "rights reserved"
+    cut = ["all rights\n\nreserved", "x all rights reserved", "All rights\nreserved", far]
+    assert [r.licences for r in licence.scan(docs_of(spark, cut)).orderBy("doc_id").collect()] == [[], [], ["Proprietary"], ["Proprietary"]]
