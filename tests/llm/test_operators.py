@@ -369,3 +369,21 @@ def test_licence_standard_texts(spark):
     far = "-" * 2000 + "All" + " " * 2000 + "rights reserved"
     cut = ["all rights\n\nreserved", "x all rights reserved", "All rights\nreserved", far]
     assert [r.licences for r in licence.scan(docs_of(spark, cut)).orderBy("doc_id").collect()] == [[], [], ["Proprietary"], ["Proprietary"]]
+
+
+def test_pii_disguises():
+    east = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")
+    persian = str.maketrans("0123456789", "۰۱۲۳۴۵۶۷۸۹")
+    deva = str.maketrans("0123456789", "०१२३४५६७८९")
+    for digits in (east, persian, deva):
+        assert pii.find_spans("c 4524132264652876 d".translate(digits))[1] == [("card", 2, 18)]
+        assert pii.find_spans("+1 (456) 555-2186".translate(digits))[1] == [("phone", 0, 17)]
+    for s in ("192[.]168[.]0[.]1", "192 dot 168 dot 0 dot 1", "192(dot)168.0.1", "one nine two.one six eight.zero.one", "one nine two dot one-six-eight dot zero dot one", "192.168.0.one", "192 . 168 . 0 . 1"):
+        assert ("ip", 3, 3 + len(s)) in pii.find_spans(f"at {s} now")[1], s
+        assert pii.redact(f"at {s} now", pii.find_spans(f"at {s} now")[1]) == "at [IP] now"
+    assert ("ip", 7, 30) in pii.find_spans("room 5 192 dot 168 dot 0 dot 1")[1]
+    assert pii.find_spans("mail john@example . com now")[1] == [("email", 5, 23)]
+    spelled = ".".join("four five two four one three two two six four six five two eight seven six".split())
+    assert ("card", 0, len(spelled)) in pii.find_spans(spelled)[1]
+    for s in ("300 dot 168 dot 0 dot 1", "one. two. three. four.", "2 dot 3 dot 4", "wait . one two"):
+        assert pii.find_spans(s)[1] == [], s

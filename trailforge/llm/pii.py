@@ -1,7 +1,7 @@
 """Personal data in text: plain identifiers, and disguised ones found through offset-preserving normalisation.
 
 Plain identifiers are matched on the text as it stands, leftmost and non-overlapping for each kind. Beside
-them, transducers rewrite the text (look-alike letters and digits, spelled digits, at/dot disguises) while
+them, transducers rewrite the text (look-alike letters, digits of all scripts, spelled digits, at/dot disguises) while
 they keep, for every character they emit, the source characters it stands for. The same detectors run over
 the rewritten text, and what they find is mapped back to spans of the source. A mapped span is added unless
 a plain span of its kind holds it already; plain ones always stay.
@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,16 +48,22 @@ _DROPPED = "​‌‍⁠­﻿"
 # Digit words.
 _DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
-_WIDE = "！-～①-⑨٠-٩۰-۹\U0001d400-\U0001d7ff"
+# every decimal digit of Unicode; they stand in tens from 0 to 9
+_WIDE = "！-～①-⑨\U0001d400-\U0001d7ff" + "".join(f"{chr(c)}-{chr(c + 9)}" for c in range(128, sys.maxunicode - 8) if unicodedata.decimal(chr(c), None) == 0)
 _GLYPH = re.compile("[" + re.escape("".join(_LOOKALIKE)) + _DROPPED + _WIDE + "]")
 _WORDS = "|".join(_DIGIT_WORDS)
 _SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:{_WORDS})(?:[\x20.-]{{1,2}}(?:{_WORDS}|[0-9]+))+(?![^\W_])")
 _DIGIT_WORD = re.compile(rf"(?i){_WORDS}")
 _AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|\s+@\s+|\s*[\[({<]\s*@\s*[\])}>]\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\s+\.\s+)"
-#: A disguised address needs its at and, in the domain, a dot; one of them at least is disguised.
-_HIDDEN = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*(?:{_DOT}[A-Za-z0-9_%+-]+)*(?:{_AT}|@)[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)+")
-_HIDDEN_HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|\sdot\s|\s@\s")
+#: A disguised address needs its at and, in the domain, a dot; one of them at least is disguised. A local part without them matches too, so that it is read once.
+_HIDDEN = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?>[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*(?:{_DOT}[A-Za-z0-9_%+-]+)*)((?:{_AT}|@)[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)+)?")
+_HIDDEN_HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|\sdot\s|\s\.\s|\s@\s")
+#: Four groups of an ip with dots, plain or disguised, between them; a group is digits or up to three digits that are spelled.
+_GROUP = rf"(?:[0-9]+|(?:{_WORDS}|[0-9])(?:[\x20-]{{1,2}}(?:{_WORDS}|[0-9])){{0,2}})"
+_HIDDEN_IP = re.compile(rf"(?i)(?<![^\W_]){_GROUP}(?:(?:{_DOT}|\.){_GROUP}){{3}}(?![^\W_])")
+#: What such an ip has unless the hint of an address shows it: a full stop beside a digit word.
+_SPELLED_STOP = re.compile(rf"(?i)\.(?:(?<=[ehnortx]\.)[0-9]|{_WORDS})")
 _AT_RE, _DOT_RE = re.compile(f"(?i){_AT}"), re.compile(f"(?i){_DOT}")
 
 
@@ -124,7 +133,10 @@ class Mapped:
 
 def fold_glyphs(t: Mapped) -> Mapped:
     def one(c: str) -> str:
-        return "" if c in _DROPPED else _LOOKALIKE.get(c) or unicodedata.normalize("NFKC", c)
+        if c in _DROPPED:
+            return ""
+        digit = unicodedata.decimal(c, None)
+        return _LOOKALIKE.get(c) or (unicodedata.normalize("NFKC", c) if digit is None else str(digit))
 
     return t.replace([(m.start(), m.end(), one(m[0])) for m in _GLYPH.finditer(t.text)])
 
@@ -144,10 +156,29 @@ def fold_digit_words(t: Mapped) -> Mapped:
     return t.replace(edits)
 
 
+def fold_ips(t: Mapped) -> Mapped:
+    """Digit words and dot disguises of an ip; unlike in other runs of digit words its full stops stay."""
+    edits = []
+    if not (_HIDDEN_HINT.search(t.text) or _SPELLED_STOP.search(t.text)):
+        return t
+    for m in _HIDDEN_IP.finditer(t.text):
+        at = m.start()
+        for w in re.finditer(rf"(?i){_WORDS}|[0-9]+|{_DOT}|\.", m[0]):
+            a, b = m.start() + w.start(), m.start() + w.end()
+            if a > at:
+                edits.append((at, a, ""))
+            if not w[0].isdigit():
+                edits.append((a, b, _DIGIT_WORDS.get(w[0].lower(), ".")))
+            at = b
+    return t.replace(edits)
+
+
 def fold_disguises(t: Mapped) -> Mapped:
     edits = []
     for m in _HIDDEN.finditer(t.text):
         body = m[0]
+        if not m[1]:
+            continue
         if "@" in body and not _DOT_RE.search(body) and not _AT_RE.search(body):
             continue
         plain_at = re.search(r"\s+at\s+", body, re.I)
@@ -166,22 +197,24 @@ def fold_disguises(t: Mapped) -> Mapped:
 def find_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Plain spans, and all spans with those that only normalisation shows; each by kind, then start."""
     base = base_spans(text)
-    glyphs, spelled, hidden = _GLYPH.search(text), _SPELLED.search(text), _HIDDEN_HINT.search(text)
-    if not (glyphs or spelled or hidden):
+    glyphs, spelled, hidden = not text.isascii() and _GLYPH.search(text), _SPELLED.search(text), _HIDDEN_HINT.search(text)
+    if not (glyphs or spelled or hidden or _SPELLED_STOP.search(text)):
         return base, base
-    t = Mapped(text)
-    for fold in (fold_glyphs, fold_digit_words, fold_disguises):
-        t = fold(t)
-    if t.text == text:
+    plain = fold_glyphs(Mapped(text))
+    t, ips = fold_disguises(fold_digit_words(plain)), fold_ips(plain)
+    if t.text == text == ips.text:
         return base, base
-    by_kind: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    for k, a, b in base:
-        by_kind[k].append((a, b))
-    for k, a, b in base_spans(t.text):
-        a, b = t.source(a, b)
-        if not any(x <= a and b <= y for x, y in by_kind[k]):
-            by_kind[k].append((a, b))
-    return base, [(k, a, b) for k in KINDS for a, b in sorted(by_kind[k])]
+    found = [(k, *t.source(a, b)) for k, a, b in base_spans(t.text)]
+    hidden_ips = [(k, *ips.source(a, b)) for k, a, b in base_spans(ips.text) if k == "ip"]
+    every = []
+    for kind in KINDS:
+        own: list[tuple[int, int]] = []
+        for spans in (base, found, hidden_ips):
+            starts, ends = [a for a, _ in own], list(accumulate((b for _, b in own), max))
+            own += [(a, b) for k, a, b in spans if k == kind and not ((i := bisect_right(starts, a)) and ends[i - 1] >= b)]
+            own.sort()
+        every += [(kind, a, b) for a, b in own]
+    return base, every
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
