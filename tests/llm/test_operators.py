@@ -387,3 +387,30 @@ def test_pii_disguises():
     assert ("card", 0, len(spelled)) in pii.find_spans(spelled)[1]
     for s in ("300 dot 168 dot 0 dot 1", "one. two. three. four.", "2 dot 3 dot 4", "wait . one two"):
         assert pii.find_spans(s)[1] == [], s
+
+
+def test_trigram_scores_of_many_shards(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    one, many = ({r.doc_id: r for r in ef_trie.score(docs_of(spark, texts), ef_trie.crc_mod(10) == 0, n).collect()} for n in (10_000_000, 300))
+    for i in one:
+        assert many[i].score == pytest.approx(one[i].score, rel=1e-9) and many[i].base_score == one[i].base_score
+
+
+def test_counts_of_counts_of_a_spread_word():
+    """A bigram of a word that is spread over shards is counted once."""
+    rng = np.random.default_rng(8)
+    toks = rng.integers(10, 40, 900).astype(np.uint64)
+    toks[::3] = 9
+    vocab, at = ef_trie._by_frequency(toks)
+    blob = ef_trie.pack(np.arange(3), np.zeros(3, bool), np.array([False, True, False]), np.array([300, 300, 300], np.uint32), vocab, ef_trie._least(at))
+    trained = np.concatenate([at[:300], at[600:]])
+    counts = np.bincount(trained, minlength=len(vocab))
+    found = {}
+    for n in (1, 7):
+        where = ef_trie.Shards(n, len(vocab) + 1, 602, 2, 1)
+        where.split = lambda c, n=n: np.where(c > 150, n, 1)
+        rows = list(ef_trie.grams_of(blob, [(0, ef_trie.pack(counts))], where, 5, True))
+        assert all(r[1] >= 0 for r in rows)
+        found[n] = np.sum([ef_trie.counts_of_counts([r]) for r in rows], axis=0).tolist()
+    assert found[1] == found[7] and sum(found[1]) > 0

@@ -1,7 +1,7 @@
 """LM scoring with an Elias-Fano n-gram trie (order 3), built and queried in shards.
 
-Model: interpolated trigrams with three absolute discounts an order, estimated from the counts of counts, above
-the add-0.1 unigram model that is also the base score. A shard holds whole trigram contexts: it is chosen by the
+Model: interpolated trigrams with three absolute discounts an order, estimated from the counts of counts of all
+training n-grams, above the add-0.1 unigram model that is also the base score. A shard holds whole trigram contexts: it is chosen by the
 middle word v, and for a frequent v also by the first word u, so a word that makes up a third of all tokens is
 spread over as many shards as it needs (its bigrams are then known in each of them).
 
@@ -13,7 +13,8 @@ range. Discounted probabilities and back-off weights are 16-bit codes of their l
 into memory and work on the packed bits.
 
 Flow: documents are tokenised once into chunks with a vocabulary of their own (stored); word counts are summed by
-word buckets and sent back; every chunk then sends each shard its distinct trigrams with their training counts and
+word buckets and sent back; if there are several shards, every chunk first sends each its training trigrams, and
+the shards' counts of counts are summed on the driver (eight numbers a shard); every chunk then sends each shard its distinct trigrams with their training counts and
 the documents they occur in; a shard builds its trie, looks all of them up and returns the sum for each document;
 the sums meet by chunk. All counts are over all training documents; only packed blocks of bounded size travel.
 
@@ -172,39 +173,50 @@ def _values(code: np.ndarray) -> np.ndarray:
     return 10.0 ** (-code.astype(np.float64) / STEP)
 
 
-def _discounts(c: np.ndarray) -> np.ndarray:
+def _counts_of_counts(c: np.ndarray) -> list[int]:
+    return [int((c == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def _discounts_from(n: list[int]) -> np.ndarray:
     """Discounts of counts 1, 2 and more from the counts of counts."""
-    n = [int((c == k).sum()) for k in (1, 2, 3, 4)]
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
     d = [k + 1 - (k + 2) * y * n[k + 1] / n[k] if n[k] else 0.5 * (k + 1) for k in range(3)]
     return np.array([0.0, *(min(max(x, 0.1), 0.99 * (k + 1)) for k, x in enumerate(d))])
 
 
-def _smoothed(parent: np.ndarray, parents: int, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _discounts(c: np.ndarray) -> np.ndarray:
+    return _discounts_from(_counts_of_counts(c))
+
+
+def _smoothed(parent: np.ndarray, parents: int, c: np.ndarray, discounts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Discounted probability of each child, and the weight that each parent leaves for the lower order."""
     if not len(c):
         return np.empty(0), np.ones(parents)
-    d = _discounts(c)[np.minimum(c, 3)]
+    d = discounts[np.minimum(c, 3)]
     total = np.bincount(parent, weights=c, minlength=parents)
     return (c - d) / total[parent], np.bincount(parent, weights=d, minlength=parents) / np.maximum(total, 1)
 
 
+def _trigrams(tri: tuple[np.ndarray, ...], k: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys of (v, u, w, count) and their counts."""
+    key3 = (tri[0].astype(np.uint64) * k + tri[1].astype(np.uint64)) * k + tri[2].astype(np.uint64)
+    order = np.argsort(key3, kind="stable")
+    key3, c3 = key3[order], tri[3][order]
+    first = np.flatnonzero(np.concatenate([[True], key3[1:] != key3[:-1]])) if len(key3) else np.empty(0, int)
+    return key3[first], np.add.reduceat(c3, first) if len(first) else c3
+
+
 class Trie:
     """The levels of a shard, read from the bytes of its file."""
 
     @staticmethod
-    def build(vocab: np.ndarray, tri: tuple[np.ndarray, ...], bi: tuple[np.ndarray, ...]) -> bytes:
-        """File of a shard from ascending word hashes, (v, u, w, count) and (v, w, count) over their indices."""
+    def build(vocab: np.ndarray, tri: tuple[np.ndarray, ...], bi: tuple[np.ndarray, ...], discounts: tuple[np.ndarray, np.ndarray] | None = None) -> bytes:
+        """File of a shard from ascending word hashes, (v, u, w, count) and (v, w, count) over their indices; without discounts of both orders they are its own."""
         k = np.uint64(max(len(vocab), 1))
         v2, w2, c2 = _merge((bi[0].astype(np.uint64) * k + bi[1].astype(np.uint64)), bi[2], k)
         ctx = np.unique(v2)  # contexts v: every trigram's (v, w) is a bigram too
         p2 = np.searchsorted(ctx, v2)
-        key3 = (tri[0].astype(np.uint64) * k + tri[1].astype(np.uint64)) * k + tri[2].astype(np.uint64)
-        order = np.argsort(key3, kind="stable")
-        key3, c3 = key3[order], tri[3][order]
-        first = np.flatnonzero(np.concatenate([[True], key3[1:] != key3[:-1]])) if len(key3) else np.empty(0, int)
-        c3 = np.add.reduceat(c3, first) if len(first) else c3
-        key3 = key3[first]
+        key3, c3 = _trigrams(tri, k)
         vu, w3 = key3 // k, (key3 % k).astype(np.int64)
         pairs, p3 = np.unique(vu, return_inverse=True)
         pv = np.searchsorted(ctx, (pairs // k).astype(np.int64))
@@ -212,8 +224,9 @@ class Trie:
         key2 = p2.astype(np.uint64) * k + w2.astype(np.uint64)
         rank = np.searchsorted(key2, pv[p3].astype(np.uint64) * k + w3.astype(np.uint64)) - starts[pv[p3]] if len(p3) else np.empty(0, np.int64)
         fan = int(np.diff(starts).max()) if len(ctx) else 1
-        a2, g2 = _smoothed(p2, len(ctx), c2)
-        a3, g3 = _smoothed(p3, len(pairs), c3)
+        d2, d3 = discounts or (_discounts(c2), _discounts(c3))
+        a2, g2 = _smoothed(p2, len(ctx), c2, d2)
+        a3, g3 = _smoothed(p3, len(pairs), c3, d3)
         parts = [
             *EliasFano.encode(vocab), *EliasFano.encode(ctx.astype(np.uint64)),
             *Level.encode(p2, len(ctx), w2, int(k)), *Level.encode(pv, len(ctx), (pairs % k).astype(np.int64), int(k)), *Level.encode(p3, len(pairs), rank, max(fan, 1)),
@@ -418,8 +431,11 @@ class Shards:
         return np.minimum(1 + 2 * c.astype(np.int64) // SHARD_TOKENS, self.n)
 
 
-def grams_of(blob: bytes, totals: list[tuple[int, bytes]], where: Shards, chunk: int) -> Iterator[tuple]:
-    """The rows that a chunk sends: its documents' figures (shard -1) and a block for every shard."""
+def grams_of(blob: bytes, totals: list[tuple[int, bytes]], where: Shards, chunk: int, counting: bool = False) -> Iterator[tuple]:
+    """The rows that a chunk sends: its documents' figures (shard -1) and a block for every shard.
+
+    For counting there are blocks alone, with nothing but training n-grams, and a bigram goes to one shard only.
+    """
     ids, none, held, lens, vocab, at = unpack(blob)
     bucket = mix(vocab) % np.uint64(where.buckets)
     counts = np.zeros(len(vocab), np.int64)
@@ -442,10 +458,11 @@ def grams_of(blob: bytes, totals: list[tuple[int, bytes]], where: Shards, chunk:
     v[begin], u[begin] = bos, bos
     second = begin[lens > 0] + 1
     u[second] = bos
-    known = counts[seq]
-    base = np.bincount(doc, weights=np.log10(where.base(known)), minlength=n)
-    n_known = np.bincount(doc, weights=known > 0, minlength=n).astype(np.int64)
-    yield chunk, -1, pack(ids, none, held, (lens + 1).astype(np.int64), n_known, base)
+    if not counting:
+        known = counts[seq]
+        base = np.bincount(doc, weights=np.log10(where.base(known)), minlength=n)
+        n_known = np.bincount(doc, weights=known > 0, minlength=n).astype(np.int64)
+        yield chunk, -1, pack(ids, none, held, (lens + 1).astype(np.int64), n_known, base)
 
     key = (v.astype(np.uint64) * np.uint64(k) + u.astype(np.uint64)) * np.uint64(k) + seq.astype(np.uint64)
     order = np.argsort(key, kind="stable")
@@ -463,8 +480,9 @@ def grams_of(blob: bytes, totals: list[tuple[int, bytes]], where: Shards, chunk:
     b_v, b_w, b_c = _merge(v3.astype(np.uint64) * np.uint64(k) + w3.astype(np.uint64), c3, np.uint64(k))
     keep = (b_c > 0) & (spread[b_v] > 1)
     b_v, b_w, b_c = b_v[keep], b_w[keep], b_c[keep]
-    copies = np.repeat(np.arange(len(b_v)), spread[b_v])
-    b_shard = (home[b_v[copies]] + np.arange(len(copies)) - np.repeat(np.cumsum(spread[b_v]) - spread[b_v], spread[b_v])) % where.n if len(b_v) else np.empty(0, np.int64)
+    n_copies = np.ones(len(b_v), np.int64) if counting else spread[b_v]
+    copies = np.repeat(np.arange(len(b_v)), n_copies)
+    b_shard = (home[b_v[copies]] + np.arange(len(copies)) - np.repeat(np.cumsum(n_copies) - n_copies, n_copies)) % where.n if len(b_v) else np.empty(0, np.int64)
 
     by = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[by], np.arange(where.n + 1))
@@ -474,13 +492,15 @@ def grams_of(blob: bytes, totals: list[tuple[int, bytes]], where: Shards, chunk:
     local = np.empty(k, np.int64)
     for s in range(where.n):
         g = by[cuts[s] : cuts[s + 1]]
+        if counting:
+            g = g[c3[g] > 0]
         b = copies[b_by[b_cuts[s] : b_cuts[s + 1]]]
         if not len(g) and not len(b):
             continue
         used = np.unique(np.concatenate([v3[g], u3[g], w3[g], b_v[b], b_w[b]]))
         local[used] = np.arange(len(used))
-        r = run[g]
-        places = np.repeat(ends[g] - np.cumsum(r), r) + np.arange(r.sum())
+        r = run[g[:0] if counting else g]
+        places = np.repeat(ends[g[: len(r)]] - np.cumsum(r), r) + np.arange(r.sum())
         lv = local[v3[g]]
         yield chunk, s, pack(
             hashes[used], _least(counts[used]), spread[used] > 1, _least(np.diff(lv, prepend=0)), _least(local[u3[g]]), _least(local[w3[g]]), _least(c3[g]), _least(r), _least(doc[places]),
@@ -488,9 +508,8 @@ def grams_of(blob: bytes, totals: list[tuple[int, bytes]], where: Shards, chunk:
         )
 
 
-def answer(rows: list[tuple], where: Shards) -> Iterator[tuple]:
-    """Builds the trie of a shard from its blocks and returns, for each block, the log10 probabilities summed by document."""
-    got = [unpack(r[2]) for r in rows]
+def _training(got: list[list[np.ndarray]]) -> tuple[np.ndarray, tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Word hashes of a shard's blocks, and its training trigrams and bigrams over their indices."""
     vocab = np.unique(np.concatenate([g[0] for g in got]))
     tri, bi = [[], [], [], []], [[], [], []]
     for hs, _, hot, dv, u, w, c, _, _, bv, bw, bc in got:
@@ -504,7 +523,22 @@ def answer(rows: list[tuple], where: Shards) -> Iterator[tuple]:
             bi[k].append(x)
         for k, x in enumerate((at[bv], at[bw], bc.astype(np.int64))):
             bi[k].append(x)
-    data = Trie.build(vocab, tuple(map(np.concatenate, tri)), tuple(map(np.concatenate, bi)))
+    return vocab, tuple(map(np.concatenate, tri)), tuple(map(np.concatenate, bi))
+
+
+def counts_of_counts(rows: list[tuple]) -> list[int]:
+    """Of a shard's bigrams and then of its trigrams, how many occur once, twice, three and four times."""
+    vocab, tri, bi = _training([unpack(r[2]) for r in rows])
+    k = np.uint64(max(len(vocab), 1))
+    c2 = _merge(bi[0].astype(np.uint64) * k + bi[1].astype(np.uint64), bi[2], k)[2]
+    return _counts_of_counts(c2) + _counts_of_counts(_trigrams(tri, k)[1])
+
+
+def answer(rows: list[tuple], where: Shards, discounts: tuple[np.ndarray, np.ndarray] | None) -> Iterator[tuple]:
+    """Builds the trie of a shard from its blocks and returns, for each block, the log10 probabilities summed by document."""
+    got = [unpack(r[2]) for r in rows]
+    vocab, tri, bi = _training(got)
+    data = Trie.build(vocab, tri, bi, discounts)
     with tempfile.TemporaryFile() as f:  # scratch of this task only
         f.write(data)
         f.flush()
@@ -518,6 +552,7 @@ def answer(rows: list[tuple], where: Shards) -> Iterator[tuple]:
             yield row[0], row[1], pack(_least(d), s[d.astype(np.int64)])
 
 
+OF_COUNTS = "a1 long, a2 long, a3 long, a4 long, b1 long, b2 long, b3 long, b4 long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -545,7 +580,7 @@ def score(docs: DataFrame, held_out, shard_tokens: int = SHARD_TOKENS) -> DataFr
             if b[0][1] < 0:
                 yield _rows(GRAMS, b)
             else:
-                for row in answer(b, where):
+                for row in answer(b, where, discounts):
                     yield _rows(GRAMS, [row])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -560,8 +595,25 @@ def score(docs: DataFrame, held_out, shard_tokens: int = SHARD_TOKENS) -> DataFr
                 names=[c.split()[0] for c in SCORES.split(", ")],
             )
 
+    def emit_training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "chunk"):
+            for row in grams_of(rows[0][2], [(r[1], r[2]) for r in rows[1:]], where, rows[0][0], True):
+                yield _rows(GRAMS, [row])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _runs_of_shards(batches):
+            yield _rows(OF_COUNTS, [tuple(counts_of_counts(b))])
+
     both = chunks.select("chunk", F.lit(-1).alias("bucket"), "blob").unionByName(totals.select("chunk", "bucket", "blob"))
-    grams = both.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(emit, GRAMS)
+    both = both.repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    discounts = None  # a single shard holds all n-grams
+    if where.n > 1:
+        training = both.mapInArrow(emit_training, GRAMS).repartition("shard").sortWithinPartitions("shard", "chunk")
+        n = [x or 0 for x in training.mapInArrow(count, OF_COUNTS).groupBy().sum().first()]
+        discounts = _discounts_from(n[:4]), _discounts_from(n[4:])
+        del training
+        release_shuffles(spark)
+    grams = both.mapInArrow(emit, GRAMS)
     # documents' own figures travel with their chunk's number, so that they do not meet in one task
     to = F.when(F.col("shard") < 0, F.col("chunk")).otherwise(F.col("shard").cast("long"))
     found = grams.withColumn("to", to).repartition("to").sortWithinPartitions("shard", "chunk").select("chunk", "shard", "blob").mapInArrow(look_up, GRAMS)
