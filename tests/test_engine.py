@@ -117,3 +117,24 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     row = e.entry(spark).first()
     assert row.n_strata_used == 19 and row.lift == pytest.approx(0.2917, abs=1e-4) and math.isfinite(row.z)
+
+
+def test_registered_queries_over_all_ids_and_rules(spark):
+    from trailforge.plans import demo, registry
+
+    sf, q = "/root/testdata/sf0.001", registry.QUERIES
+    keys = {int(r[0]) for r in demo.table(spark, sf, "orders").select("o_orderkey").collect()}
+    pool = demo.pool(spark, sf).select("traj_id", "instance_id", "repo", "outcome").collect()
+    assert {r[0] for r in q["leakage_all"](spark, sf).collect()} == {r.instance_id for r in pool} & keys
+    pairs = registry._rule_table(spark, sf, None)[0].select("repo", "fail_traj_id", "pass_traj_id").collect()
+    repos = {r.repo for r in pairs}
+    names = [*demo.PREDICATES, "none", "bad"]
+    outcomes = {}
+    for r in pool:
+        outcomes.setdefault(r.instance_id, set()).add(r.outcome)
+    sources = {(p.repo, t) for p in pairs for t in (p.fail_traj_id, p.pass_traj_id)}
+    held = {(f"{r.repo}:{n}", r.traj_id) for r in pool for n in names if r.repo in repos and {"pass", "fail"} <= outcomes[r.instance_id] and r.outcome in ("pass", "fail") and (r.repo, r.traj_id) not in sources}
+    assert {(r.rule_id, r.traj_id) for r in q["holdout_all"](spark, sf).collect()} == held
+    got = {r.rule_id: (r.status, r.reason) for r in q["score_rules_all"](spark, sf).collect()}
+    assert set(got) == {f"{x}:{n}" for x in repos for n in names}
+    assert all(got[f"{x}:none"] == ("fallback", "no_predicate") and got[f"{x}:bad"][0] == "fallback" and got[f"{x}:bad"][1].startswith("predicate_error") for x in repos)

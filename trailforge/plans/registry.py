@@ -78,6 +78,13 @@ def leakage(spark, sf):
     return pairing.leaks(demo.pool(spark, sf), ids)
 
 
+@query()
+def leakage_all(spark, sf):
+    """Every order key is an evaluation id."""
+    ids = table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("instance_id"))
+    return pairing.leaks(demo.pool(spark, sf), ids)
+
+
 @query()
 def fork_prefix(spark, sf):
     """Alignment by matching blocks has no SQL form; tested against cases by hand."""
@@ -148,11 +155,12 @@ def flagship(spark, sf):
     return mh_lift(spark, sf)
 
 
-def _rule_table(spark, sf):
+def _rule_table(spark, sf, sources: int | None = 3):
+    """Pairs, and a rule for each repo and predicate with its first source pairs, all of them for None."""
     p = pairing.select_pairs(demo.pool(spark, sf))
     one = p.groupBy("repo").agg(F.sort_array(F.collect_list("pair_id")).alias("ids"))
     texts = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("predicate")) for n, t in [*PREDICATES.items(), ("none", None), ("bad", "exists(")]])
-    x = one.select("repo", F.explode(texts).alias("t"), F.slice("ids", 1, 3).alias("source_pair_ids"))
+    x = one.select("repo", F.explode(texts).alias("t"), (F.col("ids") if sources is None else F.slice("ids", 1, sources)).alias("source_pair_ids"))
     return p, x.select(F.concat_ws(":", "repo", "t.name").alias("rule_id"), "repo", "t.predicate", "source_pair_ids")
 
 
@@ -171,6 +179,13 @@ def holdout_anti(spark, sf):
     return score.holdout(r.where("rule_id LIKE '%:p_before'"), demo.pool(spark, sf), p)
 
 
+@query()
+def holdout_all(spark, sf):
+    """All rules, each without the runs of all its source pairs."""
+    p, r = _rule_table(spark, sf, None)
+    return score.holdout(r, demo.pool(spark, sf), p)
+
+
 @query(f"""WITH {_HOLD}, {LABELS}, st AS (SELECT repo, instance_id, count(*) FILTER (p_before AND outcome = 'pass')::DOUBLE a, count(*) FILTER (p_before)::DOUBLE n1,
   count(*) FILTER (NOT p_before AND outcome = 'pass')::DOUBLE c, count(*) FILTER (NOT p_before)::DOUBLE n0 FROM hold JOIN lab USING (traj_id) GROUP BY ALL),
 s AS (SELECT repo, sum(n1*n0/(n1+n0)) w, sum((a*n0-c*n1)/(n1+n0)) d, sum((n1*n1*c-n0*n0*a+n1*n0*(n0-n1)/2)/((n1+n0)*(n1+n0))) p, sum((a*(n0-c)+c*(n1-a))/(2*(n1+n0))) q FROM st WHERE n1 > 0 AND n0 > 0 GROUP BY repo),
@@ -183,6 +198,14 @@ def score_rules(spark, sf):
     return done.select("rule_id", "validation.status", "validation.reason", "validation.lift", "validation.z")
 
 
+@query()
+def score_rules_all(spark, sf):
+    """All rules, those with a bad predicate too, each without the runs of all its source pairs."""
+    p, r = _rule_table(spark, sf, None)
+    done = score.score_rules(r, demo.pool(spark, sf), p, demo.events(spark, sf))
+    return done.select("rule_id", "validation.status", "validation.reason", "validation.lift", "validation.z")
+
+
 # ---- clustering ----------------------------------------------------------------------------------------------
 
 
