@@ -414,3 +414,22 @@ def test_counts_of_counts_of_a_spread_word():
         assert all(r[1] >= 0 for r in rows)
         found[n] = np.sum([ef_trie.counts_of_counts([r]) for r in rows], axis=0).tolist()
     assert found[1] == found[7] and sum(found[1]) > 0
+
+
+def test_special_tokens_in_texts(spark, tmp_path):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path, r = P.path("word_bpe_49k.json"), random.Random(6)
+    lib, own = Tokenizer.from_file(path), wavelet.WordTokenizer(path, True)
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", " ", "\n", ".", ",", "a", "é", "'s", "\x01", "12", "words"]
+    texts = ["end <|endoftext|> x", "", "<|endoftext|>", "a<|startoftext|>.", *("".join(r.choice(pieces) for _ in range(r.randint(0, 12))) for _ in range(2000))]
+    want = [[*lib.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    ids, n = own.encode(pa.array(texts), 2)
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    docs_of(spark, texts[:40]).write.parquet(str(tmp_path / "documents.parquet"))
+    at, rows = 0, []
+    for i, w in enumerate(want[:40]):
+        rows.append((i, at, len(w), zlib.crc32(np.array(w, "<u4").tobytes())))
+        at += len(w)
+    assert sorted(tuple(x) for x in wavelet.op8_wavelet(spark, str(tmp_path)).collect()) == rows

@@ -173,15 +173,15 @@ class WordTokenizer:
     words numbered on the Arrow side; words met before come from memory, new ones go to the library many at a time.
     A run of words that hold letters only is parted again by the ids that end a word; if their number is not that of the
     words, and for words with other characters, a control character with an id of its own stands between the words.
-    Ids take two bytes each.
+    Ids take two bytes each. The strings of special tokens, which hold no white space, are ordinary text unless special.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already fill the cores
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = not special
         vocab = self.tok.get_vocab()
         if max(vocab.values()) >= 1 << 16:
             raise ValueError("ids of more than two bytes")
@@ -258,17 +258,17 @@ class WordTokenizer:
         return ids[np.repeat(shift, n) + np.arange(n.sum())], np.add.reduceat(n, bounds[:-1] + np.arange(len(texts)))
 
 
-_loaded: dict[str, WordTokenizer] = {}
+_loaded: dict[tuple[str, bool], WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+def tokenizer(path: str, special: bool = False) -> WordTokenizer:
+    if (path, special) not in _loaded:
+        _loaded[path, special] = WordTokenizer(path, special)
+    return _loaded[path, special]
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Shards of all texts: (shard, doc_ids, lengths, n_ids, blob), stored in the shared folder."""
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, shard_bytes: int = SHARD_BYTES, special: bool = False) -> DataFrame:
+    """Shards of all texts: (shard, doc_ids, lengths, n_ids, blob), stored in the shared folder; special as for WordTokenizer."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -276,7 +276,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, shard_bytes:
     dealt = texts.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(tokenizer_path)
+        tok = tokenizer(tokenizer_path, special)
         ids, lens, docs_, held = [], [], [], []
 
         def close() -> None:
@@ -332,4 +332,5 @@ def read_documents(shards: DataFrame) -> DataFrame:
 def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    return read_documents(write_shards(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"), 2))
+    # as the library encodes: strings of special tokens in a text are those tokens
+    return read_documents(write_shards(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"), 2, special=True))
