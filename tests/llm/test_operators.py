@@ -433,3 +433,13 @@ def test_special_tokens_in_texts(spark, tmp_path):
         rows.append((i, at, len(w), zlib.crc32(np.array(w, "<u4").tobytes())))
         at += len(w)
     assert sorted(tuple(x) for x in wavelet.op8_wavelet(spark, str(tmp_path)).collect()) == rows
+
+
+def test_line_crf_learns_behind_400_lines(spark):
+    rng = random.Random(4)
+    line = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(6)) + "."
+    text = lambda bad: "\n".join([line() for _ in range(400)] + ["XX$$$ ###YY &&& ***" if bad else line() for _ in range(200)])
+    d = docs_of(spark, [text(i % 2 == 0) for i in range(48)])
+    crf = line_crf.train(d, spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int"))
+    out = {r.doc_id: r.score for r in line_crf.classify(d, crf).where("doc_id >= 40").collect()}
+    assert min(out[i] for i in out if i % 2) > 0.7 > 0.3 > max(out[i] for i in out if i % 2 == 0)

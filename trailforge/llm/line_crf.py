@@ -6,7 +6,7 @@ likelihood. A document's quality is the mean of its lines' forward-backward marg
 put through a logistic curve that is fitted on the same training documents.
 
 The model is fitted on a bounded sample: TRAIN_DOCS labelled documents (those with the smallest hashes of their
-id) and of these the first TRAIN_LINES lines. Scores read whole texts and depend on nothing but the text.
+id), all lines of each. Scores read whole texts and depend on nothing but the text.
 
 Defined results: null and empty texts are one empty line and get a score like any other; labels that are null or
 of ids without a document teach nothing; of conflicting labels the higher counts; without usable labels of both
@@ -27,7 +27,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from .common import crc_mod, small_batches, strings, table
 
 TRAIN_DOCS = 4000
-TRAIN_LINES = 400
+#: Lines, padded to the longest document, that are worked on together in fitting.
+GROUP_LINES = 1 << 16
 STEPS = 80
 THRESHOLD = 0.7
 
@@ -123,7 +124,7 @@ class Crf:
 
     @staticmethod
     def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Crf:
-        feats = [line_features(t)[0][:TRAIN_LINES] for t in texts]
+        feats = [line_features(t)[0] for t in texts]
         y = np.array(labels)
         width = 3 * OWN + 1
         crf = Crf(np.zeros(width), np.zeros((2, 2)), 0.0, 0.0)
@@ -132,8 +133,11 @@ class Crf:
         order = sorted(range(len(texts)), key=lambda i: len(feats[i]))
         groups = []
         share = {k: len(y) / (2 * (y == k).sum()) for k in (0, 1)}  # both kinds weigh alike
-        for at in range(0, len(order), 256):
-            part = order[at : at + 256]
+        while order:
+            n = min(256, len(order))
+            while n > 1 and n * len(feats[order[n - 1]]) > GROUP_LINES:
+                n = (n + 1) // 2
+            part, order = order[:n], order[n:]
             length = np.array([len(feats[i]) for i in part])
             x = np.zeros((len(part), length.max(), width))
             for r, i in enumerate(part):
@@ -181,8 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, train_docs: int = T
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)  # bounded by train_docs, so it may be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
-    cut = rows.select("doc_id", F.substring_index("text", "\n", TRAIN_LINES).alias("text"), "quality").orderBy("doc_id")
-    got = cut.collect()
+    got = rows.select("doc_id", "text", "quality").orderBy("doc_id").collect()
     return Crf.fit([r.text for r in got], [r.quality for r in got])
 
 
