@@ -74,15 +74,24 @@ def test_shared_prefix():
     assert pairing.shared_prefix([], a) == (0, 0, 0)
 
 
-def test_linkage_and_valley():
+def test_linkage_and_valley(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 0.1, 5), rng.normal(5, 0.1, 4)])
     d = {(i, j): abs(x[i] - x[j]) for i in range(9) for j in range(i)}
     assert cluster.complete_linkage(list(range(9)), d, 2.0) == {i: int(i >= 5) for i in range(9)}
     h = [0] * 40
     h[20:24], h[36:39] = [5, 30, 40, 20], [4, 9, 3]
-    assert 0.2 < cluster.phi_valley(h) < 0.85
-    assert cluster.phi_valley([0] * 40) is None
+    valley = lambda counts: [r.cutoff for r in cluster.phi_valley(spark.createDataFrame([(k, n) for k, n in enumerate(counts) if n], "bin int, n long")).collect()]
+    (cut,) = valley(h)
+    assert 0.2 < cut < 0.85
+    assert valley([0] * 40) == [] and valley([0] * 10 + [5, 9, 5] + [0] * 27) == []
+    rng = np.random.default_rng(4)
+    for _ in range(12):
+        n = rng.integers(0, 6, 40)
+        s = np.convolve(n, [1, 1, 1], "same")
+        modes = [k for k in range(1, 39) if s[k] >= s[k - 1] and s[k] > s[k + 1]]
+        low = [modes[-2] + int(np.argmin(s[modes[-2] : modes[-1] + 1]))] if len(modes) > 1 else []
+        assert valley(n.tolist()) == pytest.approx([-1 + (2 * k + 1) / 40 for k in low])
 
 
 def test_pooling(spark):
@@ -125,8 +134,8 @@ def test_registered_queries_over_all_ids_and_rules(spark):
     sf, q = "/root/testdata/sf0.001", registry.QUERIES
     keys = {int(r[0]) for r in demo.table(spark, sf, "orders").select("o_orderkey").collect()}
     pool = demo.pool(spark, sf).select("traj_id", "instance_id", "repo", "outcome").collect()
-    assert {r[0] for r in q["leakage_all"](spark, sf).collect()} == {r.instance_id for r in pool} & keys
-    pairs = registry._rule_table(spark, sf, None)[0].select("repo", "fail_traj_id", "pass_traj_id").collect()
+    assert {r[0] for r in q["leakage"](spark, sf).collect()} == {r.instance_id for r in pool} & keys
+    pairs = registry._rule_table(spark, sf)[0].select("repo", "fail_traj_id", "pass_traj_id").collect()
     repos = {r.repo for r in pairs}
     names = [*demo.PREDICATES, "none", "bad"]
     outcomes = {}
@@ -134,7 +143,7 @@ def test_registered_queries_over_all_ids_and_rules(spark):
         outcomes.setdefault(r.instance_id, set()).add(r.outcome)
     sources = {(p.repo, t) for p in pairs for t in (p.fail_traj_id, p.pass_traj_id)}
     held = {(f"{r.repo}:{n}", r.traj_id) for r in pool for n in names if r.repo in repos and {"pass", "fail"} <= outcomes[r.instance_id] and r.outcome in ("pass", "fail") and (r.repo, r.traj_id) not in sources}
-    assert {(r.rule_id, r.traj_id) for r in q["holdout_all"](spark, sf).collect()} == held
-    got = {r.rule_id: (r.status, r.reason) for r in q["score_rules_all"](spark, sf).collect()}
+    assert {(r.rule_id, r.traj_id) for r in q["holdout_anti"](spark, sf).collect()} == held
+    got = {r.rule_id: (r.status, r.reason) for r in q["score_rules"](spark, sf).collect()}
     assert set(got) == {f"{x}:{n}" for x in repos for n in names}
     assert all(got[f"{x}:none"] == ("fallback", "no_predicate") and got[f"{x}:bad"][0] == "fallback" and got[f"{x}:bad"][1].startswith("predicate_error") for x in repos)

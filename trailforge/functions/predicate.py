@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .commands import ACTION_TYPES
 
 COMPARATORS = {">=": "ge", ">": "gt", "<=": "le", "<": "lt", "==": "eq"}
+# Fixed value: the tokens of the language; error texts are fixed too, as they end up in reasons.
 _LEX = re.compile(r'\s*(?:("(?:[^"\\]|\\.)*")|([<>=]=|[<>])|([(),*])|([A-Za-z_][\w.\-/]*|[0-9]+))', re.ASCII)
 
 

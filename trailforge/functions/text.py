@@ -64,6 +64,7 @@ def compact(action_type: Column, target: Column) -> Column:
     return F.when(F.coalesce(target, F.lit("")) != "", F.concat(action_type, F.lit(":"), target)).otherwise(action_type)
 
 
+# The texts that the next three put together.
 def evidence_tag(support: Column, z: Column, het: Column) -> Column:
     shown = F.when(z.isNotNull(), F.concat(F.lit(", z "), F.format_string("%+.2f", z))).otherwise(F.lit(""))
     return F.concat(F.lit("support "), support.cast("string"), shown, F.when(F.coalesce(het, F.lit(False)), F.lit(", HET")).otherwise(F.lit("")))

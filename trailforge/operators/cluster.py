@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_sf_column, phi
+from ..sources.io import saved
 
 BINS = 40
 
@@ -38,20 +42,30 @@ def phi_histogram(pairs: DataFrame, bins: int = BINS) -> DataFrame:
     return pairs.where("phi IS NOT NULL").groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def phi_valley(counts: list[int]) -> float | None:
-    """Centre of the lowest bin between the last two modes of a smoothed histogram; None with fewer modes."""
-    h = np.convolve(np.asarray(counts, float), np.ones(3) / 3, "same")
-    inner = np.arange(1, len(h) - 1)
-    modes = inner[(h[inner] >= h[inner - 1]) & (h[inner] > h[inner + 1])]
-    if len(modes) < 2:
-        return None
-    low, high = modes[-2], modes[-1]
-    return -1 + (2 * (low + int(np.argmin(h[low : high + 1]))) + 1) / len(h)
+def phi_valley(hist: DataFrame, bins: int = BINS) -> DataFrame:
+    """(cutoff): centre of the lowest bin from the last mode but one to the last, of a histogram (bin, n); no row with fewer modes.
+
+    Bins are smoothed over three neighbours; the first of equally low ones counts. One row a bin, so windows are small.
+    """
+    every = hist.sparkSession.range(0, bins, 1, 1).select(F.col("id").cast("int").alias("bin")).join(hist, "bin", "left")
+    by = W.orderBy("bin")
+    near = lambda c, k, none: F.coalesce(F.lag(c, k).over(by), none)
+    n = F.coalesce("n", F.lit(0))
+    x = every.select("bin", n.alias("n"))
+    x = x.select("bin", (F.col("n") + near("n", 1, F.lit(0)) + near("n", -1, F.lit(0))).alias("h"))
+    mode = (F.col("h") >= F.lag("h").over(by)) & (F.col("h") > F.lead("h").over(by))  # null, and so false, at both ends
+    x = x.withColumn("modes", F.sum(F.coalesce(mode, F.lit(False)).cast("int")).over(by)).withColumn("mode", F.coalesce(mode, F.lit(False)))
+    last = F.max("modes").over(W.partitionBy())
+    x = x.withColumn("left", last - F.col("modes"))
+    # between the two last modes: one mode is still to come, or the last one itself
+    between = x.withColumn("last", last).where((F.col("last") >= 2) & ((F.col("left") == 1) | (F.col("mode") & (F.col("left") == 0))))
+    low = between.groupBy().agg(F.min_by("bin", F.struct("h", "bin")).alias("low")).where("low IS NOT NULL")
+    return low.select((F.lit(-1.0) + (2 * F.col("low") + 1) / bins).alias("cutoff"))
 
 
 def valley_of(pairs: DataFrame, bins: int = BINS) -> float | None:
-    got = {r["bin"]: r["n"] for r in phi_histogram(pairs, bins).collect()}  # one row a bin
-    return phi_valley([got.get(k, 0) for k in range(bins)])
+    row = phi_valley(phi_histogram(pairs, bins), bins).first()
+    return row.cutoff if row else None
 
 
 def complete_linkage(names: list, distance: dict[tuple, float], cut: float) -> dict:
@@ -87,19 +101,49 @@ def cluster_rules(pairs: DataFrame, rule_ids: list, cutoff: float) -> dict:
     return complete_linkage(sorted(rule_ids), dist, 1 - cutoff)
 
 
+#: Vectors of a block, and how much farther than the k-th a vector may seem before its exact distance decides.
+KNN_BLOCK, SLACK = 2048, 1e-9
+
+
 def knn(vectors: DataFrame, k: int) -> DataFrame:
     """(a, b, distance): each vector's k nearest by cosine, made symmetric with the smaller distance, at most 1.
 
-    The table of vectors is one of rules; it is compared with itself in blocks, one of them against all rows.
+    Exact. Vectors are packed into blocks, and a task multiplies two of them as matrices; of each product every vector
+    keeps its k nearest and ties, so a block sends on k rows a vector, not all pairs. Vectors without a direction have no neighbours.
     """
-    small = vectors.select(F.col("id").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = small.withColumn("n", norm).select("id", F.transform("v", lambda x: F.try_divide(x, F.col("n"))).alias("v"))
-    other = unit.select(F.col("id").alias("b"), F.col("v").alias("w"))
-    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    d = unit.select(F.col("id").alias("a"), "v").join(other, F.col("a") != F.col("b")).select("a", "b", (1 - dot).alias("distance"))
-    near = d.withColumn("rn", F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))).where(F.col("rn") <= k)
-    return near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.least(F.min("distance"), F.lit(1.0)).alias("distance"))
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col("id").cast("long").alias("id") if dict(vectors.dtypes)["id"] != "string" else "id", F.col("v").cast("array<double>").alias("v")).where("v IS NOT NULL")
+    n = rows.count()
+    blocks = max(1, -(-n // KNN_BLOCK))
+    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("m"))  # KNN_BLOCK vectors or so
+    pairs = spark.range(0, blocks).select(F.col("id").cast("int").alias("i")).select("i", F.explode(F.sequence("i", F.lit(blocks - 1))).alias("j"))
+    x = pairs.join(packed.select(F.col("block").alias("i"), F.col("m").alias("x")), "i").join(packed.select(F.col("block").alias("j"), F.col("m").alias("y")), "j").repartition("i", "j")
+    kind = dict(rows.dtypes)["id"]
+
+    def unit(m: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+        v = np.stack(m.values.field("v").to_numpy(zero_copy_only=False))
+        norm = np.sqrt((v * v).sum(1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.array(m.values.field("id").to_pylist()), v / norm[:, None]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                (p, u), (q, w) = unit(b.column("x")[r]), unit(b.column("y")[r])
+                same = b.column("i")[r].as_py() == b.column("j")[r].as_py()
+                d = 1 - u @ w.T
+                if same:
+                    np.fill_diagonal(d, np.inf)
+                d = np.where(np.isnan(d), np.inf, d)
+                for ids, others, s, t, dist in ((p, q, u, w, d),) if same else ((p, q, u, w, d), (q, p, w, u, d.T)):
+                    kth = np.partition(dist, min(k, dist.shape[1]) - 1, axis=1)[:, min(k, dist.shape[1]) - 1]
+                    a, c = np.nonzero((dist <= kth[:, None] + SLACK) & np.isfinite(dist))
+                    exact = 1 - (s[a] * t[c]).sum(1)  # added up in one order for every pair
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(others[c]), pa.array(exact)], names=["a", "b", "distance"])
+
+    d = x.select("i", "j", "x", "y").mapInArrow(near, f"a {kind}, b {kind}, distance double")
+    near_ = d.withColumn("rn", F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))).where(F.col("rn") <= k)
+    return near_.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.least(F.min("distance"), F.lit(1.0)).alias("distance"))
 
 
 def assignment_choices(unresolved: DataFrame, neighbours: DataFrame, clusters: DataFrame, max_groups: int = 6, members: int = 3) -> DataFrame:
@@ -133,9 +177,15 @@ def pool_and_q(members: DataFrame, by: list[str], alpha: float = 0.10) -> DataFr
 def assemble(clusters: DataFrame, assigned: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_id, component): clusters, rules assigned to them, and a new number for every rule left over."""
     known = clusters.select("rule_id", F.col("cluster").alias("component")).unionByName(assigned.select("rule_id", F.col("cluster").alias("component")))
-    top = known.agg(F.coalesce(F.max("component"), F.lit(-1)).alias("top"))
-    alone = rules.select("rule_id").join(known, "rule_id", "left_anti").withColumn("rn", F.row_number().over(W.orderBy("rule_id")))  # rules only
-    return known.unionByName(alone.join(top).select("rule_id", (F.col("top") + F.col("rn")).alias("component")))
+    top = known.agg(F.max("component").alias("top")).first().top
+    alone = rules.select("rule_id").join(known.select("rule_id"), "rule_id", "left_anti")
+    # numbers without one task: a sort deals the rules into ranges, whose sizes are a row each
+    ranged = alone.repartitionByRange("rule_id").sortWithinPartitions("rule_id").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    ranged = saved(ranged, "ranged")  # the numbers have to be the same wherever they are read
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("size"), F.min("at").alias("first"))
+    before = sizes.select("part", "first", F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = ranged.join(before, "part").select("rule_id", (F.lit(-1 if top is None else top) + 1 + F.col("before") + F.col("at") - F.col("first")).cast(known.schema["component"].dataType).alias("component"))
+    return known.unionByName(numbered)
 
 
 def component_table(members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Requests with model, system and user in, the same rows with the columns of a reply out.
+Responder = Callable[[DataFrame], DataFrame]
+# Fixed value: characters of a prompt that a transcript shows.
+PREVIEW = 300
 REPLY = "prompt_key string, text string, in_tokens int, out_tokens int, finish_reason string"
 
 
@@ -44,6 +48,31 @@ def live(requests: DataFrame, call: Callable[[str, str, str], tuple[str, int, in
     return keyed.mapInPandas(run, REPLY)
 
 
+def replaying(replies: DataFrame) -> Responder:
+    """Answers from a table of replies; requests without one get nulls."""
+    return lambda requests: replay(requests, replies).drop("prompt_key")
+
+
+def calling(call: Callable[[str, str, str], tuple[str, int, int, str]], attempts: int = 4, wait: float = 2.0) -> Responder:
+    """Answers by a function, each distinct prompt once."""
+    return lambda requests: replay(requests, live(requests, call, attempts, wait)).drop("prompt_key")
+
+
+def cost_rows(answered: DataFrame, stage: str, extra: Column) -> DataFrame:
+    """(ts, stage, sub, model, in_tokens, out_tokens, extra) of every reply that came; extra is a struct, shown as JSON."""
+    return answered.where("text IS NOT NULL").select(F.current_timestamp().alias("ts"), F.lit(stage).alias("stage"), "sub", "model", "in_tokens", "out_tokens", F.to_json(extra).alias("extra"))
+
+
+def transcript_rows(answered: DataFrame, stage: str, parsed: Column, accepted: Column, reason: Column) -> DataFrame:
+    """One row a reply: what was asked, what came back and what the guard said."""
+    outcome = F.when(~parsed, "parse_fail").when(accepted, "accepted").otherwise(F.concat(F.lit("guard_fail:"), reason))
+    return answered.select(
+        F.current_timestamp().alias("ts"), F.lit(stage).alias("stage"), "sub", "pair_id", "attempt", outcome.alias("outcome"), F.length("user").alias("prompt_user_chars"),
+        F.substring("user", 1, PREVIEW).alias("prompt_user_preview"), F.col("text").alias("response"), parsed.alias("parse_ok"), (parsed & accepted).alias("guard_ok"),
+        F.when(parsed & accepted, "").otherwise(reason).alias("guard_reason"),
+    )
+
+
 def split_truncated(batches: DataFrame) -> DataFrame:
     """Next round of batches(batch, members, finish_reason): a cut-off batch comes back in halves, one of a single member is dropped."""
     half = F.ceil(F.size("members") / 2).cast("int")

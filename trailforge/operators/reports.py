@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,6 +10,8 @@ from ..functions.stats import mcnemar_column
 from ..functions.text import RULE_BULLET, STRATEGIES_BUCKET, evidence_tag, residual_bullet, strategy_bullet
 
 NULL_Z = -99.0
+# Fixed value: what the strategies' file says of itself.
+STRATEGIES_TEXT = "Transferable rules pooled across repositories by behavioral equivalence; z is the inverse-variance pooled estimate and HET marks heterogeneous evidence across repositories."
 
 
 def by_z(z: str, *ties: str) -> list:
@@ -33,8 +35,9 @@ def skill_files(bullets: DataFrame, descriptions: dict[str, str] | None = None)
     """(bucket, text): front matter and bullets of one file a bucket."""
     g = bullets.groupBy("bucket").agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "bullet"))), lambda s: s["bullet"]).alias("b"))
     desc = F.concat(F.lit("Repository-specific residual rules for "), "bucket", F.lit(", ordered by z score."))
-    for k, v in (descriptions or {}).items():
+    for k, v in {STRATEGIES_BUCKET: STRATEGIES_TEXT, **(descriptions or {})}.items():
         desc = F.when(F.col("bucket") == k, F.lit(v)).otherwise(desc)
+    # Fixed value: the front matter.
     head = F.concat(F.lit("---\nname: "), "bucket", F.lit("\naxis: repo_convention\nn_rules: "), F.col("n").cast("string"), F.lit("\ndescription: "), desc, F.lit("\n---\n\n"))
     return g.select("bucket", F.concat(head, F.array_join("b", "\n"), F.lit("\n")).alias("text"))
 
@@ -53,12 +56,24 @@ def parse_skill_lines(lines: DataFrame) -> DataFrame:
     return x.select(F.concat("bucket", F.lit("/skill/"), i.cast("string")).alias("rule_id"), "bucket", i.alias("i"), part(1).alias("title"), support.alias("support"), part(3).alias("body"), part(2).alias("tag"))
 
 
+def _all_rules(rules: DataFrame, line: Column, head: Column | None, between: str) -> DataFrame:
+    """One text of all rules, bucket by bucket in the order of the files; a head stands before each bucket's first rule."""
+    shown = line if head is None else F.when(F.col("i") == 0, F.concat(head, F.lit("\n"), line)).otherwise(line)
+    x = rules.agg(F.sort_array(F.collect_list(F.struct("bucket", "i", shown.alias("l")))).alias("all"))  # a prompt holds them all, so they are few
+    return x.select(F.array_join(F.transform("all", lambda s: s["l"]), between).alias("text"))
+
+
 def render_index(rules: DataFrame) -> DataFrame:
-    """One row: the titles of all rules under their buckets."""
-    line = F.concat(F.lit("- ["), "rule_id", F.lit("] "), "title", F.lit(" ("), "tag", F.lit(")"))
-    b = rules.groupBy("bucket").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", line.alias("l")))), lambda s: s["l"]), "\n").alias("t"))
-    b = b.select("bucket", F.concat(F.lit("## "), "bucket", F.lit("\n"), "t").alias("t"))
-    return b.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "t"))), lambda s: s["t"]), "\n").alias("index"))
+    """One row (index): ids and titles of all rules under their buckets."""
+    line = F.concat(F.lit("- ["), "rule_id", F.lit("] "), "title")
+    return _all_rules(rules, line, F.concat(F.lit("### "), "bucket"), "\n").withColumnRenamed("text", "index")
+
+
+def corpus_block(rules: DataFrame) -> DataFrame:
+    """One row (corpus): ids, tags, titles and bodies of all rules."""
+    tag = F.when(F.coalesce("tag", F.lit("")) != "", F.concat(F.lit(" ("), "tag", F.lit(")"))).otherwise("")
+    line = F.concat(F.lit("["), "rule_id", F.lit("]"), tag, F.lit(" "), "title", F.lit("\n"), "body")
+    return _all_rules(rules, line, None, "\n\n").withColumnRenamed("text", "corpus")
 
 
 def sanitized_selection(replies: DataFrame, rules: DataFrame, top_n: int) -> DataFrame:
@@ -70,10 +85,24 @@ def sanitized_selection(replies: DataFrame, rules: DataFrame, top_n: int) -> Dat
 
 
 def skill_blocks(selection: DataFrame, rules: DataFrame) -> DataFrame:
-    """(instance_id, block): titles and bodies of the selected rules, in the order of selection."""
-    line = F.concat(F.lit("- **"), "title", F.lit("** — "), "body")
+    """(instance_id, block): ids, titles and bodies of the selected rules, in the order of selection."""
+    line = F.concat(F.lit("["), F.col("rule_id").cast("string"), F.lit("] "), "title", F.lit("\n"), "body")
     x = selection.join(rules.select("rule_id", "title", "body"), "rule_id").select("instance_id", F.struct("pos", line.alias("l")).alias("s"))
-    return x.groupBy("instance_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["l"]), "\n").alias("block"))
+    return x.groupBy("instance_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["l"]), "\n\n").alias("block"))
+
+
+def selected_rules(records: DataFrame) -> DataFrame:
+    """(instance_id, pos, rule_id) of retrieval records(instance_id, selected)."""
+    return records.select("instance_id", F.posexplode("selected").alias("pos", "s")).select("instance_id", "pos", "s.rule_id")
+
+
+def blocks_of(ids: DataFrame, records: DataFrame, rules: DataFrame) -> DataFrame:
+    """(instance_id, block) of all ids, empty where nothing was selected; an id without a retrieval record is an error."""
+    lost = [r[0] for r in ids.select("instance_id").join(records.select("instance_id"), "instance_id", "left_anti").take(5)]
+    if lost:
+        raise ValueError(f"no retrieval record for {lost}; run the retrieve stage first")
+    blocks = skill_blocks(selected_rules(records), rules)
+    return ids.select("instance_id").join(blocks, "instance_id", "left").select("instance_id", F.coalesce("block", F.lit("")).alias("block"))
 
 
 def todo(ids: DataFrame, done: DataFrame, key: str = "instance_id") -> DataFrame:

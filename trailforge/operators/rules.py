@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,8 +14,10 @@ from ..functions.text import anchored, first_index, overlap_hits, single_bug_fac
 KINDS = ("action", "fact")
 CATEGORIES = ("lookup", "verification", "replay", "search_recipe")
 ANALYSTS = ("skipped_step", "discipline_observer", "process_delta")
-JUDGE_DIMS = ("specific", "actionable", "grounded", "general")
-MAX_CHARS, MERGE_BATCH, TITLE_MAX, BODY_MAX = 600, 32, 120, 600
+ALL_JUDGE_DIMS = ("is_discipline", "not_redundant_with_prior", "behavior_actionable", "not_repo_conflicting")
+JUDGE_DIMS = ("is_discipline", "not_repo_conflicting")
+MAX_CHARS, MERGE_BATCH = 1000, 32
+TITLE_MAX, BODY_MAX = 120, 600
 OCCURRENCE = (0.10, 0.90)
 
 
@@ -44,9 +47,12 @@ def coerced_evidence(ev: Column) -> Column:
 
 def predicate_errors(candidates: DataFrame) -> DataFrame:
     """(predicate, error) of the distinct predicates, error null for good ones; parsed once each."""
-    spark = candidates.sparkSession
-    texts = [r[0] for r in candidates.select("predicate").where("trim(coalesce(predicate, '')) <> ''").distinct().toLocalIterator()]
-    return spark.createDataFrame([(t, validate(t)) for t in texts], "predicate string, error string")
+
+    @F.pandas_udf("string")
+    def errors(texts: pd.Series) -> pd.Series:
+        return pd.Series([validate(t) for t in texts], dtype="object")
+
+    return candidates.select("predicate").where("trim(coalesce(predicate, '')) <> ''").distinct().withColumn("error", errors("predicate"))
 
 
 def guard(candidates: DataFrame, rates: DataFrame | None = None, max_chars: int = MAX_CHARS, bounds: tuple[float, float] = OCCURRENCE) -> DataFrame:
@@ -84,6 +90,12 @@ def batches(rows: DataFrame, by: list[str], order: str, size: int = MERGE_BATCH)
     return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1) / size).cast("long"))
 
 
+def halves(members: Column) -> Column:
+    """The first half of an array, the smaller one, and the rest."""
+    half = F.floor(F.size(members) / 2).cast("int")
+    return F.array(F.slice(members, F.lit(1), half), F.slice(members, half + 1, F.size(members)))
+
+
 def representative_predicate(rows: DataFrame, by: list[str]) -> DataFrame:
     """The most frequent predicate that is not blank, first seen on ties."""
     c = rows.where("trim(coalesce(predicate, '')) <> ''").groupBy(*by, "predicate").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
@@ -119,7 +131,7 @@ def fold_titles(rules: DataFrame) -> DataFrame:
 
 
 def judged(log: DataFrame, dims: tuple[str, ...] = JUDGE_DIMS) -> DataFrame:
-    """(rule_id, keep) of the last verdict on each rule: all dims have to be 1; a verdict that failed keeps the rule.
+    """(rule_id, keep) of the last verdict on each rule: all dims have to be 1; one that failed counts as its keep says.
 
     log(rule_id, pos, decision map, error).
     """
@@ -127,7 +139,7 @@ def judged(log: DataFrame, dims: tuple[str, ...] = JUDGE_DIMS) -> DataFrame:
     every = F.lit(True)
     for x in dims:
         every = every & (F.coalesce(F.try_element_at("d.decision", F.lit(x)).try_cast("int"), F.lit(0)) == 1)
-    return last.select("rule_id", F.when(F.col("d.error").isNotNull() | F.col("d.decision").isNull(), F.coalesce("d.keep", F.lit(True))).otherwise(every).alias("keep"))
+    return last.select("rule_id", F.when(F.col("d.error").isNotNull() | F.col("d.decision").isNull(), F.coalesce("d.keep", F.lit(False))).otherwise(every).alias("keep"))
 
 
 def to_judge(rules: DataFrame, log: DataFrame) -> DataFrame:

@@ -62,25 +62,30 @@ def holdout(rules: DataFrame, pool: DataFrame, pairs: DataFrame) -> DataFrame:
     return mine.join(excluded_runs(rules, pairs), ["rule_id", "traj_id"], "left_anti")
 
 
+#: Predicates that are evaluated in one pass over the events; more are taken in several, so that a plan's size is bounded.
+GROUP = 64
+
+
 def score_rules(rules: DataFrame, pool: DataFrame, pairs: DataFrame, events: DataFrame) -> DataFrame:
     """rules with a struct validation; a rule without an effect gets the reason and is kept.
 
     rules(rule_id, repo, predicate, source_pair_ids): only its distinct predicates come to the driver, to be parsed.
     """
-    texts = [r[0] for r in rules.select("predicate").where("coalesce(predicate, '') <> ''").distinct().toLocalIterator()]
+    spark = rules.sparkSession
+    texts = sorted(r[0] for r in rules.select("predicate").where("coalesce(predicate, '') <> ''").distinct().toLocalIterator())
     errors = {t: e for t in texts if (e := validate(t))}
-    good = {t: t for t in texts if t not in errors}
+    good = [t for t in texts if t not in errors]
     held = holdout(rules, pool, pairs)
-    if good:
-        fired = fires(pool, events, good).withColumnRenamed("rule_id", "predicate").withColumn("fires", F.lit(True))
-        labeled = held.join(rules.select("rule_id", "predicate"), "rule_id").join(fired, ["predicate", "traj_id"], "left")
-        effect = stratified_lift(labeled.withColumn("fires", F.coalesce("fires", F.lit(False))), ["rule_id"])
-    else:
-        effect = stratified_lift(held.withColumn("fires", F.lit(False)), ["rule_id"])
-    message = F.lit(None).cast("string")
-    for t, e in errors.items():
-        message = F.when(F.col("predicate") == t, F.lit(f"predicate_error: {e}")).otherwise(message)
-    out = rules.join(effect, "rule_id", "left")
+    fired = spark.createDataFrame([], "rule_id string, traj_id string").select("rule_id", F.col("traj_id").cast(pool.schema["traj_id"].dataType).alias("traj_id"))
+    for at in range(0, len(good), GROUP):
+        fired = fired.unionByName(fires(pool, events, {t: t for t in good[at : at + GROUP]}))
+    labeled = held.join(rules.select("rule_id", "predicate"), "rule_id")
+    labeled = labeled.join(fired.select(F.col("rule_id").alias("predicate"), "traj_id", F.lit(True).alias("fires")), ["predicate", "traj_id"], "left")
+    effect = stratified_lift(labeled.withColumn("fires", F.coalesce("fires", F.lit(False))), ["rule_id"])
+    wrong = spark.createDataFrame([(t, f"predicate_error: {e}") for t, e in errors.items()], "predicate string, message string")
+    rules_ = rules.join(wrong, "predicate", "left")
+    message = F.col("message")
+    out = rules_.join(effect, "rule_id", "left")
     reason = (
         F.when(F.coalesce("predicate", F.lit("")) == "", "no_predicate").when(message.isNotNull(), message).when(F.col("lift").isNull(), "no_usable_strata").when(F.coalesce("se", F.lit(0.0)) <= 0, "zero_se")
     )

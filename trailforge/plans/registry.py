@@ -13,12 +13,15 @@ from ..functions import stats, text
 from ..functions.commands import classify_command, split_compound
 from ..operators import cluster, completion, pairing, reports, rules, score
 from ..operators import events as ev_ops
+from ..sources.io import saved
 from . import demo
 from .demo import CTE, LABELS, PREDICATES, TRUTH, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 Z = stats.Z95
+#: Rows of short texts up to which a side of a join is broadcast; above, the join shuffles.
+SMALL = 200_000
 
 
 def query(sql: str | None = None):
@@ -72,14 +75,8 @@ def pairing_stats(spark, sf):
     return pairing.pairing_stats(p, pairing.select_pairs(p))
 
 
-@query(f"WITH {CTE} SELECT DISTINCT instance_id FROM pool WHERE instance_id IN (SELECT CAST(o_orderkey AS BIGINT) FROM orders WHERE o_orderkey % 7 = 0)")
+@query(f"WITH {CTE} SELECT DISTINCT instance_id FROM pool WHERE instance_id IN (SELECT CAST(o_orderkey AS BIGINT) FROM orders)")
 def leakage(spark, sf):
-    ids = table(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").cast("long").alias("instance_id"))
-    return pairing.leaks(demo.pool(spark, sf), ids)
-
-
-@query()
-def leakage_all(spark, sf):
     """Every order key is an evaluation id."""
     ids = table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("instance_id"))
     return pairing.leaks(demo.pool(spark, sf), ids)
@@ -155,55 +152,57 @@ def flagship(spark, sf):
     return mh_lift(spark, sf)
 
 
-def _rule_table(spark, sf, sources: int | None = 3):
-    """Pairs, and a rule for each repo and predicate with its first source pairs, all of them for None."""
-    p = pairing.select_pairs(demo.pool(spark, sf))
+BAD = "exists("
+
+
+def _rule_table(spark, sf):
+    """Pairs, and a rule for each repo and predicate with its source pairs, those of the whole repo."""
+    p = saved(pairing.select_pairs(demo.pool(spark, sf)), "pairs")
     one = p.groupBy("repo").agg(F.sort_array(F.collect_list("pair_id")).alias("ids"))
-    texts = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("predicate")) for n, t in [*PREDICATES.items(), ("none", None), ("bad", "exists(")]])
-    x = one.select("repo", F.explode(texts).alias("t"), (F.col("ids") if sources is None else F.slice("ids", 1, sources)).alias("source_pair_ids"))
+    texts = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("predicate")) for n, t in [*PREDICATES.items(), ("none", None), ("bad", BAD)]])
+    x = one.select("repo", F.explode(texts).alias("t"), F.col("ids").alias("source_pair_ids"))
     return p, x.select(F.concat_ws(":", "repo", "t.name").alias("rule_id"), "repo", "t.predicate", "source_pair_ids")
 
 
 _HOLD = f"""{_TIERS}, runs AS (SELECT pool.*, rate FROM pool JOIN tiers USING (model)),
 pr AS (SELECT f.instance_id || '::' || f.traj_id || '::' || p.traj_id AS pair_id, f.repo, f.traj_id AS ft, p.traj_id AS pt, row_number() OVER (PARTITION BY f.instance_id ORDER BY p.rate - f.rate DESC, f.traj_id, p.traj_id) AS rn
   FROM runs f JOIN runs p ON f.instance_id = p.instance_id AND p.rate > f.rate WHERE f.outcome = 'fail' AND p.outcome = 'pass'),
-src AS (SELECT repo, ft, pt, row_number() OVER (PARTITION BY repo ORDER BY pair_id) AS k FROM pr WHERE rn <= 4),
+src AS (SELECT repo, ft, pt FROM pr WHERE rn <= 4),
 mixed AS (SELECT instance_id FROM pool GROUP BY 1 HAVING bool_or(outcome = 'pass') AND bool_or(outcome = 'fail')),
-hold AS (SELECT traj_id, instance_id, repo, outcome FROM pool WHERE instance_id IN (SELECT * FROM mixed)
-  AND NOT EXISTS (SELECT 1 FROM src WHERE k <= 3 AND src.repo = pool.repo AND traj_id IN (ft, pt)))"""
+hold AS (SELECT traj_id, instance_id, repo, outcome FROM pool WHERE instance_id IN (SELECT * FROM mixed) AND repo IN (SELECT repo FROM src)
+  AND NOT EXISTS (SELECT 1 FROM src WHERE src.repo = pool.repo AND traj_id IN (ft, pt)))"""
+_NAMES = ", ".join(f"('{n}')" for n in [*PREDICATES, "none", "bad"])
 
 
-@query(f"WITH {_HOLD} SELECT repo || ':p_before' AS rule_id, traj_id, instance_id, outcome = 'pass' AS passed FROM hold WHERE repo IN (SELECT repo FROM src)")
+@query(f"WITH {_HOLD} SELECT repo || ':' || name AS rule_id, traj_id, instance_id, outcome = 'pass' AS passed FROM hold, (VALUES {_NAMES}) t(name)")
 def holdout_anti(spark, sf):
+    """All rules, each without the runs of all its source pairs."""
     p, r = _rule_table(spark, sf)
-    return score.holdout(r.where("rule_id LIKE '%:p_before'"), demo.pool(spark, sf), p)
+    return score.holdout(r, demo.pool(spark, sf), p)
 
 
-@query()
-def holdout_all(spark, sf):
-    """All rules, each without the runs of all its source pairs."""
-    p, r = _rule_table(spark, sf, None)
-    return score.holdout(r, demo.pool(spark, sf), p)
+_SCORE = f"""WITH {_HOLD}, {LABELS}, l AS (FROM lab UNPIVOT (fires FOR name IN ({", ".join(PREDICATES)}))),
+st AS (SELECT repo, name, instance_id, count(*) FILTER (fires AND outcome = 'pass')::DOUBLE a, count(*) FILTER (fires)::DOUBLE n1,
+  count(*) FILTER (NOT fires AND outcome = 'pass')::DOUBLE c, count(*) FILTER (NOT fires)::DOUBLE n0 FROM hold JOIN l USING (traj_id) GROUP BY ALL),
+u AS (SELECT *, n1 > 0 AND n0 > 0 AS used FROM st),
+s AS (SELECT repo, name, sum(n1*n0/(n1+n0)) FILTER (used) w, sum((a*n0-c*n1)/(n1+n0)) FILTER (used) d, sum((n1*n1*c-n0*n0*a+n1*n0*(n0-n1)/2)/((n1+n0)*(n1+n0))) FILTER (used) p, sum((a*(n0-c)+c*(n1-a))/(2*(n1+n0))) FILTER (used) q,
+  count(*) FILTER (used) AS n_used, count(*) FILTER (NOT used) AS n_empty, sum(n1 + n0)::BIGINT AS n_labeled, sum(n1) / sum(n1 + n0) AS occ FROM u GROUP BY ALL),
+m AS (SELECT *, d/w AS lift, sqrt(greatest((d/w*p+q)/(w*w), 0)) AS se FROM s),
+g AS (SELECT *, lift IS NOT NULL AND se > 0 AS ok FROM m)
+SELECT repo || ':' || name AS rule_id, CASE WHEN ok THEN 'scored' ELSE 'fallback' END AS status, CASE WHEN lift IS NULL THEN 'no_usable_strata' WHEN NOT ok THEN 'zero_se' END AS reason,
+  CASE WHEN ok THEN round(lift, 4) END AS lift, CASE WHEN ok THEN round(lift/se, 4) END AS z, CASE WHEN ok THEN round(lift - {Z} * se, 4) END AS ci_low, CASE WHEN ok THEN round(lift + {Z} * se, 4) END AS ci_high,
+  CASE WHEN ok THEN n_used END AS n_strata_used, CASE WHEN ok THEN n_empty END AS n_strata_empty, CASE WHEN ok THEN n_labeled END AS n_labeled, CASE WHEN ok THEN round(occ, 4) END AS occurrence FROM g
+UNION ALL SELECT DISTINCT repo || ':' || name, 'fallback', reason, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE)
+FROM src, (VALUES ('none', 'no_predicate'), ('bad', 'predicate_error: {P.validate(BAD).replace("'", "''")}')) t(name, reason)"""
 
 
-@query(f"""WITH {_HOLD}, {LABELS}, st AS (SELECT repo, instance_id, count(*) FILTER (p_before AND outcome = 'pass')::DOUBLE a, count(*) FILTER (p_before)::DOUBLE n1,
-  count(*) FILTER (NOT p_before AND outcome = 'pass')::DOUBLE c, count(*) FILTER (NOT p_before)::DOUBLE n0 FROM hold JOIN lab USING (traj_id) GROUP BY ALL),
-s AS (SELECT repo, sum(n1*n0/(n1+n0)) w, sum((a*n0-c*n1)/(n1+n0)) d, sum((n1*n1*c-n0*n0*a+n1*n0*(n0-n1)/2)/((n1+n0)*(n1+n0))) p, sum((a*(n0-c)+c*(n1-a))/(2*(n1+n0))) q FROM st WHERE n1 > 0 AND n0 > 0 GROUP BY repo),
-m AS (SELECT repo, d/w AS lift, sqrt(greatest((d/w*p+q)/(w*w), 0)) AS se FROM s)
-SELECT repo || ':p_before' AS rule_id, 'scored' AS status, CAST(NULL AS VARCHAR) AS reason, round(lift, 4) AS lift, round(lift/se, 4) AS z FROM m
-UNION ALL SELECT DISTINCT repo || ':none', 'fallback', 'no_predicate', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM src""")
+@query(_SCORE)
 def score_rules(spark, sf):
+    """All rules, those without and with a bad predicate too, each without the runs of all its source pairs."""
     p, r = _rule_table(spark, sf)
-    done = score.score_rules(r.where("rule_id LIKE '%:p_before' OR rule_id LIKE '%:none'"), demo.pool(spark, sf), p, demo.events(spark, sf))
-    return done.select("rule_id", "validation.status", "validation.reason", "validation.lift", "validation.z")
-
-
-@query()
-def score_rules_all(spark, sf):
-    """All rules, those with a bad predicate too, each without the runs of all its source pairs."""
-    p, r = _rule_table(spark, sf, None)
-    done = score.score_rules(r, demo.pool(spark, sf), p, demo.events(spark, sf))
-    return done.select("rule_id", "validation.status", "validation.reason", "validation.lift", "validation.z")
+    events = saved(demo.events(spark, sf).select("traj_id", "i", "action_type", "command"), "events")
+    v = score.score_rules(r, saved(demo.pool(spark, sf), "pool"), p, events)
+    return v.select("rule_id", *(f"validation.{c}" for c in ("status", "reason", "lift", "z", "ci_low", "ci_high", "n_strata_used", "n_strata_empty", "n_labeled", "occurrence")))
 
 
 # ---- clustering ----------------------------------------------------------------------------------------------
@@ -285,11 +284,11 @@ def _members(spark, sf):
     return o.select((F.col("o_custkey") % 20).alias("component"), F.round(F.col("o_totalprice") / 1000, 4).alias("lift"), z.alias("z"))
 
 
-@query(f"""WITH {_MEMBERS}, e AS (SELECT component, lift, 1 / pow(lift / z, 2) AS w FROM m WHERE z IS NOT NULL AND abs(lift / z) > 1e-9), s AS (SELECT component, count(*) AS n, sum(w) w, sum(w * lift) wl FROM e GROUP BY 1)
-SELECT component, n AS n_scored, round(wl / w, 4) AS pooled_lift, round(wl / w * sqrt(w), 3) AS pooled_z FROM s""")
+@query(f"""WITH {_MEMBERS}, e AS (SELECT component, lift, 1 / pow(lift / z, 2) AS w FROM m WHERE z IS NOT NULL AND abs(lift / z) > 1e-9), s AS (SELECT component, count(*) AS n, sum(w) w, sum(w * lift) wl FROM e GROUP BY 1), q AS (SELECT component, sum(e.w * pow(lift - wl / s.w, 2)) AS q FROM e JOIN s USING (component) GROUP BY 1)
+SELECT component, n AS n_scored, round(wl / w, 4) AS pooled_lift, round(wl / w * sqrt(w), 3) AS pooled_z, round(q, 2) AS q FROM s JOIN q USING (component)""")
 def pool_q(spark, sf):
     """The p-value of Q is checked by tests, as DuckDB has no chi-square tail."""
-    return cluster.pool_and_q(_members(spark, sf), ["component"]).select("component", "n_scored", "pooled_lift", "pooled_z")
+    return cluster.pool_and_q(_members(spark, sf), ["component"]).select("component", "n_scored", "pooled_lift", "pooled_z", F.round("q", 2).alias("q"))
 
 
 @query("""WITH c AS (SELECT o_custkey % 50 AS component, count(*) AS size, count(DISTINCT o_orderpriority) AS n_repos, sum(o_orderkey % 9)::BIGINT AS support_total FROM orders GROUP BY 1)
@@ -359,16 +358,34 @@ def ngram_audit(spark, sf):
         return df.select(F.col(id_), F.explode(text.ngrams(text.tokens(F.col("text")), 6)).alias("g"))
 
     d, b = grams(table(spark, sf, "documents"), "doc_id"), grams(table(spark, sf, "benchmark"), "item_id")
+    b = saved(b, "grams")
+    b = F.broadcast(b) if b.count() <= SMALL else b
     return d.join(b, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.min("g").alias("first_hit"))
 
 
-@query("""WITH c AS (SELECT p_partkey, p_name AS rule, CASE WHEN p_size % 3 = 0 THEN 'action' WHEN p_size % 3 = 1 THEN 'fact' ELSE 'other' END AS kind FROM part)
-SELECT p_partkey, CASE WHEN kind = 'other' THEN 'bad_kind' WHEN kind = 'action' THEN 'predicate_missing' ELSE 'fact_unanchored' END AS reason FROM c""")
+#: Candidates of every kind, by the part's key: kind, category, rule and predicate, and the reason against them.
+_CASES = [
+    ("action", "lookup", "look it up first", "exists(click)", None), ("other", "lookup", "x", None, "bad_kind"), ("action", "other", "x", None, "bad_category"), ("fact", "replay", "  ", None, "empty_rule"),
+    ("action", "lookup", "y" * 1001, "exists(click)", "too_long"), ("action", "verification", "see lib/a.py:12 there", "exists(click)", "anti_fact"), ("action", "search_recipe", "see lib/a.py:12 there", " ", "predicate_missing"),
+    ("action", "lookup", "try it", "exists(", f"predicate_parse: {P.validate('exists(')}"), ("action", "lookup", "try it", "exists(view) or not exists(view)", "predicate_occurrence: 1.00 outside [0.10, 0.90]"),
+    ("fact", "lookup", "nothing to hold on", None, "fact_unanchored"), ("fact", "lookup", "run `make` first", "exists(", None),
+]
+
+
+def _quoted(x):
+    return "CAST(NULL AS VARCHAR)" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+@query(f"""WITH c(k, reason, kept) AS (VALUES {", ".join(f"({k}, {_quoted(c[4])}, {_quoted(c[3] if c[0] == 'action' else None)})" for k, c in enumerate(_CASES))})
+SELECT p_partkey, reason, kept AS predicate FROM part JOIN c ON p_partkey % {len(_CASES)} = k""")
 def guard_reason(spark, sf):
-    p = table(spark, sf, "part")
-    kind = F.when(F.col("p_size") % 3 == 0, "action").when(F.col("p_size") % 3 == 1, "fact").otherwise("other")
-    c = p.select("p_partkey", kind.alias("kind"), F.lit("lookup").alias("category"), F.col("p_name").alias("rule"), F.lit(None).cast("string").alias("predicate"))
-    return rules.guard(c).select("p_partkey", "reason")
+    """Every reason there is, with the occurrence of predicates over the pool."""
+    cases = spark.createDataFrame([(k, *c[:4]) for k, c in enumerate(_CASES)], "k int, kind string, category string, rule string, predicate string")
+    c = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % len(_CASES)).alias("k")).join(cases, "k").drop("k")
+    good = {t: t for t in sorted({c[3] for c in _CASES if c[3] and c[3].strip() and P.validate(c[3]) is None})}
+    rates = P.occurrence_rate(demo.pool(spark, sf), demo.events(spark, sf), {f"r{k}": t for k, t in enumerate(good)})
+    named = spark.createDataFrame([(f"r{k}", t) for k, t in enumerate(good)], "name string, predicate string")
+    return rules.guard(c, rates.join(named, "name").select("predicate", "rate")).select("p_partkey", "reason", "predicate")
 
 
 # ---- texts and messages --------------------------------------------------------------------------------------
@@ -469,7 +486,7 @@ def max_reward(spark, sf):
 
 
 @query("""WITH s AS (SELECT o_custkey AS i, l_partkey AS r, min(l_orderkey * 10 + l_linenumber) AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY p, r) AS pos FROM s) SELECT i AS instance_id, string_agg('- **' || p_type || '** — ' || p_name, chr(10) ORDER BY pos) AS block FROM k JOIN part ON p_partkey = r WHERE pos <= 5 GROUP BY i""")
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY p, r) AS pos FROM s) SELECT i AS instance_id, string_agg('[' || p_partkey || '] ' || p_type || chr(10) || p_name, chr(10) || chr(10) ORDER BY pos) AS block FROM k JOIN part ON p_partkey = r WHERE pos <= 5 GROUP BY i""")
 def render_block(spark, sf):
     rules_ = table(spark, sf, "part").select(F.col("p_partkey").alias("rule_id"), F.col("p_type").alias("title"), F.col("p_name").alias("body"))
     li = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))

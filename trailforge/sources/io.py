@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import copy
+import json
+import os
+import tempfile
+import uuid
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.predicate import validate
 from ..functions.text import repo_of
 
 POOL = "instance_id string, repo string, agent string, model string, outcome string, steps array<struct<kind:string,content:string,command:string>>, submission_id string, source_path string, traj_id string, pos bigint"
@@ -23,10 +31,17 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("instance_id", F.try_variant_get("doc", "$.instance_id", "string"))
 
 
+def truthy(v: Column) -> Column:
+    """Whether a JSON value is neither null, false, zero nor empty."""
+    shown = F.coalesce(F.to_json(v), F.lit("null"))
+    return F.when(shown.rlike("^-?[0-9]"), F.coalesce(shown.try_cast("double"), F.lit(0.0)) != 0).otherwise(~shown.isin("null", "false", '""', "[]", "{}"))
+
+
 def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    """(instance_id, outcome) of a label file: a JSON map of records with resolved."""
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,struct<resolved:boolean,cost:double,api_calls:int>>").alias("m"))
-    return doc.select(F.explode("m").alias("instance_id", "r")).select("instance_id", F.when(F.coalesce("r.resolved", F.lit(False)), "pass").otherwise("fail").alias("outcome"))
+    """(instance_id, outcome) of a label file: a JSON map of records, passed if resolved holds; a file that isn't there is an error."""
+    doc = spark.read.text(path, wholetext=True).select(F.try_variant_get(F.parse_json("value"), "$", "map<string,variant>").alias("m"))
+    passed = F.coalesce(truthy(F.try_variant_get("r", "$.resolved", "variant")), F.lit(False))
+    return doc.select(F.explode("m").alias("instance_id", "r")).select("instance_id", F.when(passed, "pass").otherwise("fail").alias("outcome"))
 
 
 def ingest(raw: DataFrame, outcomes: DataFrame, submission_id: str, strict: bool = True) -> DataFrame:
@@ -70,21 +85,89 @@ def resolve_instances(ids: DataFrame, dataset: DataFrame) -> tuple[DataFrame, Da
     return x.where(tagged).orderBy("pos"), x.where(~tagged).select("instance_id")
 
 
+RULES = "rule_id string, title string, body string, category string, support int, source_pair_ids array<string>, predicate string, validation struct<status:string,z:double,lift:double>"
+
+
 def read_rules(spark: SparkSession, root: str) -> DataFrame:
-    """Rules of a tree of JSON lines; the bucket is the name of the folder."""
-    rules = "rule_id string, title string, body string, category string, support int, source_pair_ids array<string>, predicate string"
-    return spark.read.schema(rules).option("recursiveFileLookup", True).json(root).withColumn("bucket", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    """Rules of a tree of JSON lines, the bucket being the name of the folder.
+
+    A predicate that doesn't parse becomes null; z and lift are those of a scored validation.
+    """
+
+    @F.pandas_udf("boolean")
+    def parses(texts: pd.Series) -> pd.Series:
+        good = {t: validate(t) is None for t in texts.dropna().unique()}
+        return texts.map(good).astype("boolean")
+
+    x = spark.read.schema(RULES).option("recursiveFileLookup", True).json(root).withColumn("bucket", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    scored = F.col("validation.status") == "scored"
+    kept = F.when(F.coalesce(parses(F.nullif("predicate", F.lit(""))), F.lit(False)), F.col("predicate"))
+    return x.select(
+        "bucket", "rule_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("body", F.lit("")).alias("body"), F.coalesce("category", F.lit("")).alias("category"), F.coalesce("support", F.lit(0)).alias("support"),
+        "source_pair_ids", kept.alias("predicate"), F.when(scored, F.col("validation.z")).alias("z"), F.when(scored, F.col("validation.lift")).alias("lift"),
+    )
 
 
 def read_skill_lines(spark: SparkSession, root: str) -> DataFrame:
-    """(bucket, pos, line) of packed skill files."""
-    text = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("bucket"), "value")
+    """(bucket, pos, line) of the packed files below root, one SKILL.md a bucket."""
+    text = spark.read.text(f"{root}/{SKILLS}/*/SKILL.md", wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("bucket"), "value")
     return text.select("bucket", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
 
 
-def write_skill_files(files: DataFrame, root: str) -> None:
-    """(bucket, text) as one text file below a folder for each bucket, in place of what was there."""
-    files.select("bucket", F.col("text").alias("value")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").option("lineSep", "").text(root)
+# Fixed value: the folder of the packed files.
+SKILLS = "repo_conventions"
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """One text file in any store that Spark writes to, in place of what was there."""
+    fs, p = _file_system(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_skill_files(files: DataFrame, root: str, ids: DataFrame | None = None) -> int:
+    """(bucket, text) as SKILL.md files below root, in place of all that was there, and (rule_id, strategy_id) as packed_ids.json.
+
+    There is a file a repository, so they are written one by one from the driver, which holds one at a time.
+    """
+    spark = files.sparkSession
+    rows = files.select("bucket", "text").toLocalIterator()
+    fs, p = _file_system(spark, root)
+    first = next(rows, None)  # the input is computed before the old files go
+    fs.delete(p, True)
+    n = 0
+    while first is not None:
+        write_file(spark, f"{root}/{SKILLS}/{first.bucket}/SKILL.md", first.text)
+        first, n = next(rows, None), n + 1
+    if ids is not None:
+        pairs = ids.where("strategy_id IS NOT NULL").select("rule_id", "strategy_id").collect()  # one a strategy, of which there are few
+        order = sorted(pairs, key=lambda r: int(r.rule_id.rsplit("/", 1)[1]))
+        write_file(spark, f"{root}/packed_ids.json", json.dumps({r.rule_id: r.strategy_id for r in order}, indent=1))
+    return n
+
+
+def saved(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read again, so that it is worked out once and survives lost executors.
+
+    The folder is the cluster's spark.checkpoint.dir; a session on one machine may go without and gets a temporary one.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a shared folder")
+        base = "file://" + tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -100,18 +183,27 @@ def merged(base: dict, over: dict) -> dict:
 
 
 # Defaults of the stages.
-DEFAULTS = {"pair": {"K": 4}, "discover": {"occurrence_bounds": [0.10, 0.90], "max_chars": 600, "retries": 1}, "merge": {"batch_size": 32}, "generalize": {"knn": 15, "min_fires": 20, "alpha": 0.10}, "audit": {"ngram": 6}}
+DEFAULTS = {
+    "models": {"skill_learning": "deepseek/deepseek-v4-pro", "backbone": "deepseek/deepseek-v4-flash"},
+    "pair": {"K": 4},
+    "discover": {"workers": 16, "retry_on_guard_reject": 1, "rule_max_chars": 1000, "occurrence_bounds": [0.10, 0.90]},
+    "merge": {"batch_size": 32},
+    "judge": {"required_dims": ["is_discipline", "not_repo_conflicting"], "workers": 16},
+    "audit": {"ngram": 6},
+    "generalize": {"knn": 15, "min_fires": 20, "heterogeneity_alpha": 0.10, "workers": 12, "embedding_model": "all-MiniLM-L6-v2"},
+    "retrieval": {"top_n": 3, "workers": 16, "issue_max_chars": 6000},
+    "rollout": {"workers": 16},
+}
 
 
 def load_config(path: str | None = None) -> dict:
-    if not path:
-        return DEFAULTS
+    """The defaults with those of a YAML file laid over them; without a file they are as they stand."""
+    base = copy.deepcopy(DEFAULTS)
+    if not path or not os.path.exists(path):
+        return base
     try:
         import yaml
     except ImportError as e:
         raise RuntimeError("a configuration file needs PyYAML") from e
-    try:
-        with open(path) as f:
-            return merged(DEFAULTS, yaml.safe_load(f) or {})
-    except FileNotFoundError:
-        return DEFAULTS
+    with open(path) as f:
+        return merged(base, yaml.safe_load(f) or {})
