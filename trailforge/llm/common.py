@@ -5,15 +5,20 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Rows here are whole documents or packed blocks, so a batch stays small.
 BATCH_ROWS = 256
+#: Text bytes in a piece of a batch.
+PIECE_BYTES = 1 << 20
 #: Words a worker remembers before it starts afresh; bounds its memory, never its results.
 CACHE_WORDS = 200_000
 
@@ -22,21 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Documents can be long, so hand few of them to Python at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset, as in local tests, is one made.
+    The folder comes from ``spark.checkpoint.dir``; where that is unset, one is made for a session on one machine only.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="trailforge-")
             spark.sparkContext.setCheckpointDir(base)
@@ -50,11 +52,12 @@ def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table made by stored()."""
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop_stored(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of tables made by stored() that nothing will read again."""
+    for df in tables:
+        for f in {os.path.dirname(x) for x in df.inputFiles()}:
+            p = spark._jvm.org.apache.hadoop.fs.Path(f)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -65,6 +68,38 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of Spark's batches in smaller ones, of about size bytes of text each; a longer text is a piece alone.
+
+    Spark bounds the bytes of the batches that it sends, and this what is made of them at a time, so no setting of the
+    session is touched.
+    """
+    for b in batches:
+        i = b.schema.get_field_index("text")
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if i >= 0 else None
+        at, done = 0, 0
+        while at < b.num_rows:
+            end = min(at + rows, b.num_rows)
+            if ends is not None:
+                end = max(at + 1, min(end, int(np.searchsorted(ends, done + size, side="right"))))
+                done = int(ends[end - 1])
+            yield b.slice(at, end - at)
+            at = end
+
+
+def word_hashes(texts: pa.Array, known: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of texts in turn, where each text's words begin, and the last ones end); null is empty."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    bounds = cut.offsets.to_numpy().astype(np.int64)
+    coded = cut.flatten().dictionary_encode()
+    if not len(coded):
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    at = coded.indices.to_numpy()
+    full = np.fromiter(map(len, distinct), np.int64, len(distinct))[at] > 0  # white space at an end leaves an empty word
+    return known.array(distinct)[at[full]], np.concatenate([[0], np.cumsum(full)])[bounds - bounds[0]]
+
+
 def strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A string column, null as the empty text."""
     return [x if x is not None else "" for x in batch.column(name).to_pylist()]
@@ -105,3 +140,28 @@ def factors(n: int) -> np.ndarray:
 def crc_mod(n: int):
     """crc32 of the id as text, modulo n; a null id has no remainder and so matches none."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed block: byte planes, which zstd shortens well."""
+    parts = []
+    for a in arrays:
+        parts.append(np.array([len(a)], np.int64).tobytes() + a.dtype.str.encode().ljust(8) + np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes())
+    return zstandard.compress(b"".join(parts), 1)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.decompress(blob), 0, []
+    while at < len(raw):
+        n, kind = int(np.frombuffer(raw, np.int64, 1, at)[0]), np.dtype(raw[at + 8 : at + 16].decode().strip())
+        at += 16
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += n * kind.itemsize
+    return out
+
+
+def least(x: np.ndarray) -> np.ndarray:
+    """Non-negative integers in the narrowest type that holds them."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)

@@ -6,11 +6,12 @@ has. Candidates are tested against a blocked Bloom filter of the canonical entri
 eight bits inside it); what passes goes to an exact hash join with the entries, which removes false positives.
 The longest matching entry wins. Urls without a match are allowed: the list is all that the method knows.
 
-The filter's size is a parameter, whatever the list's length, and that bounds what is broadcast; a longer list
+The filter is sized by the list, up to MAX_BLOCKS, and that bounds what is broadcast; a longer list
 costs false positives, not results. The join is an ordinary shuffled one unless Spark finds the list small.
 
 Defined results: a null url, or one without "://", has an empty host and path and no rule; repeated rows each get
-a row; equally long matching entries are decided by the smaller text. Only page_id and url are read.
+a row; equally long matching entries are decided by the smaller text; an empty table gives no rows, an empty list allows all. A url
+of any length is judged whole. Only page_id and url are read, other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches, table
+from .common import mix, table
 
 #: The rules of op5, as verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
-BLOOM_BLOCKS = 1 << 14  # of 64 bytes: one MiB
+#: Least and largest number of 64-byte blocks: 64 KiB and 64 MiB. Beyond that (32 million keys) more keys cost false positives, not results.
+BLOOM_BLOCKS, MAX_BLOCKS = 1 << 10, 1 << 20
 _BITS = 8
 
 
@@ -39,6 +41,11 @@ def _places(hashes: np.ndarray, blocks: int, k: int) -> tuple[np.ndarray, np.nda
     return block, (g >> np.uint64(7 * k)) & np.uint64(511)
 
 
+def blocks_for(keys: int) -> int:
+    """Blocks for a number of keys: sixteen bits a key, within the bounds."""
+    return min(max(BLOOM_BLOCKS, 1 << (max(keys, 1) * 16 // 512).bit_length()), MAX_BLOCKS)
+
+
 class BlockedBloom:
     def __init__(self, blocks: int = BLOOM_BLOCKS, data: bytes | None = None):
         self.blocks = blocks
@@ -62,8 +69,10 @@ class BlockedBloom:
         return out
 
     @staticmethod
-    def of(keys: DataFrame, column: str, blocks: int = BLOOM_BLOCKS) -> BlockedBloom:
-        """Filter of a column of 64-bit hashes; each task sends one filter, and they are merged in pairs of levels."""
+    def of(keys: DataFrame, column: str, blocks: int | None = None) -> BlockedBloom:
+        """Filter of a column of 64-bit hashes, by default sized by their number; each task sends one filter, merged in two tasks."""
+        if blocks is None:
+            blocks = blocks_for(keys.count())
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f, some = BlockedBloom(blocks), False
@@ -82,9 +91,8 @@ class BlockedBloom:
             if bits is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
-        small_batches(keys.sparkSession)
         made = keys.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(build, "bits binary")
-        merged = made.repartition(8).mapInArrow(merge, "bits binary")  # eight filters of a fixed size come to the driver
+        merged = made.repartition(2).mapInArrow(merge, "bits binary")  # two filters come to the driver
         out = BlockedBloom(blocks)
         for row in merged.collect():
             out.bits |= np.frombuffer(row.bits, np.uint8)
@@ -98,33 +106,40 @@ def host_and_path(url) -> tuple:
     return host, F.regexp_extract(rest, "(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def judge(pages: DataFrame, rules: DataFrame, blocks: int = BLOOM_BLOCKS) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, blocks: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every page; rules has verdict, host, path."""
     spark = pages.sparkSession
-    small_batches(spark)
     listed = rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict")).withColumn("entry", F.concat("host", "path"))
     listed = listed.withColumn("key", F.xxhash64("host", "path"))
     lengths = [r[0] for r in listed.select(F.length("path").alias("n")).distinct().collect()]  # path lengths: few whatever the list
-    bloom = spark.sparkContext.broadcast(BlockedBloom.of(listed, "key", blocks).bits.tobytes())
+    filled = BlockedBloom.of(listed, "key", blocks)
+    blocks, bloom = filled.blocks, spark.sparkContext.broadcast(filled.bits.tobytes())
 
     host, path = host_and_path(F.col("url"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")]), lambda p: p.isNotNull())
-    own = urls.select("row", F.explode(F.array_distinct(suffixes)).alias("h"), prefixes.alias("ps")).select("row", "h", F.explode("ps").alias("p"))
-    own = own.select("row", "h", "p", F.xxhash64("h", "p").alias("key"))
+    own = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("h"), p.alias("p"), F.xxhash64(h, p).alias("key")))))
+    urls = urls.withColumn("own", own)
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The candidates of each page that may be listed."""
         f = BlockedBloom(blocks, bloom.value)
         for b in batches:
-            keep = f.may_hold(b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)) if b.num_rows else np.zeros(0, bool)
-            yield b.filter(pa.array(keep))
-
-    hits = own.mapInArrow(passing, own.schema)
-    found = hits.join(listed.select(F.col("host").alias("h"), F.col("path").alias("p"), "entry", "verdict"), ["h", "p"])
-    best = found.groupBy("row").agg(F.min(F.struct((-F.length("entry")).alias("n"), "entry", "verdict")).alias("b"))
-    return urls.join(best, "row", "left").select("page_id", "host", "path", F.col("b.entry").alias("rule"), F.coalesce("b.verdict", F.lit("allow")).alias("verdict"))
+            own = b.column("own")
+            every = own.flatten()
+            keep = f.may_hold(every.field("key").to_numpy(zero_copy_only=False).view(np.uint64)) if len(every) else np.zeros(0, bool)
+            ends = np.append(0, np.cumsum(keep))[own.offsets.to_numpy() - own.offsets[0].as_py()]
+            hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), every.filter(pa.array(keep)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path", "row")), hits], names=["page_id", "host", "path", "row", "own"])
+
+    hits = urls.mapInArrow(passing, urls.schema).select("page_id", "host", "path", "row", F.explode_outer("own").alias("c"))
+    # a page without candidates gets a key of its own, so that such pages do not meet in one task
+    hits = hits.select("page_id", "host", "path", "row", F.coalesce("c.h", F.concat(F.lit("\x01"), F.col("row").cast("string"))).alias("h"), F.coalesce("c.p", F.lit("")).alias("p"))
+    found = hits.join(listed.select(F.col("host").alias("h"), F.col("path").alias("p"), "entry", "verdict"), ["h", "p"], "left")
+    best = found.groupBy("row", "page_id", "host", "path").agg(F.min(F.when(F.col("entry").isNotNull(), F.struct((-F.length("entry")).alias("n"), "entry", "verdict"))).alias("b"))
+    return best.select("page_id", "host", "path", F.col("b.entry").alias("rule"), F.coalesce("b.verdict", F.lit("allow")).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
