@@ -9,8 +9,9 @@ smallest distinct values of the mixed hashes of all spans of SPAN code points (a
 Likeness estimates the share of common spans (Dice) from two sketches.
 
 Defined results: null and empty texts have the fingerprint of length 0, whose likeness is 1 to itself and 0 to
-others. Rows are ordered by doc_id, nulls first, repeated ids by text; each row's next is the one that follows,
-the last row's is the first; a single row is its own next. An empty table gives no rows.
+others. Rows are ordered by doc_id, nulls first, repeated ids by a hash of their text; each row's next is the one that follows,
+the last row's is the first; a single row is its own next. An empty table gives no rows. Texts of any length are hashed whole;
+only doc_id and text are read, other columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches, strings, table
+from .common import pieces, stored, strings, table
 
 P31 = (1 << 31) - 1
 BASES = (1_103_515_245, 1_610_612_741)
@@ -146,58 +147,77 @@ class Fingerprint:
 
 
 def in_order(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows (block, doc_id, text, extra): each block is a run of documents in ascending doc_id.
-
-    A last row with extra=true in a block repeats the first row of the next block (of the first one after the
-    last). Blocks are cut at quantiles of doc_id, so equal ids stay together, and only the text of one row a
-    block is sent twice.
-    """
+    """Rows (block, doc_id, text), each block a run of documents in ascending doc_id, rows of one id by a hash of their text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
-    cuts = sorted({int(x) for x in texts.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
-    block = F.lit(0)
-    if cuts:
-        block = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))))
-    texts = texts.withColumn("block", block.cast("int"))
-    first = texts.groupBy("block").agg(F.min(F.struct("doc_id", "text")).alias("f"))  # one row a block
-    w = W.orderBy("block")
-    before = F.coalesce(F.lag("block").over(w), F.max("block").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    extra = first.select(before.alias("block"), "f.doc_id", "f.text", F.lit(True).alias("extra"))
-    rows = texts.select("block", "doc_id", "text", F.lit(False).alias("extra")).unionByName(extra)
-    return rows.repartition(max(n, 1), "block").sortWithinPartitions("block", "extra", "doc_id", "text")
+    keyed = texts.withColumn("tie", F.xxhash64("text")).repartitionByRange(max(1, -(-size // block_bytes)), "doc_id", "tie")
+    return keyed.sortWithinPartitions("doc_id", "tie", "text").select(F.spark_partition_id().alias("block"), "doc_id", "text")
 
 
-def compare_with_next(docs: DataFrame) -> DataFrame:
-    """Every document's fingerprint, that of its edited text, and their likeness (see op2)."""
-    small_batches(docs.sparkSession)
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "same_edited", "same_next"]
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_edited long, same_next long"
 
-    def one(text: str, pre: Prefixes, fp: Fingerprint, after: tuple) -> tuple:
-        next_text, next_pre, next_fp = after
-        k = len(text) // 4
-        edited = text[: len(text) - k] + next_text[:k]
-        epre = Prefixes(edited)
-        efp = epre.fingerprint()
-        return (len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), str(fp), str(efp), fp.likeness(efp), fp.likeness(next_fp), common_extension(pre, 0, epre, 0), common_extension(pre, 0, next_pre, 0))
 
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "same_edited", "same_next"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+class _Row:
+    def __init__(self, doc_id: int | None, text: str):
+        self.doc_id, self.text, self.pre = doc_id, text, Prefixes(text)
+        self.fp = self.pre.fingerprint()
+
+    def against(self, after: _Row) -> tuple:
+        """The result of a document and the one that follows it."""
+        k = len(self.text) // 4
+        edited = self.text[: len(self.text) - k] + after.text[:k]
+        pre = Prefixes(edited)
+        fp = pre.fingerprint()
+        return (
+            self.doc_id, len(self.text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), str(self.fp), str(fp), self.fp.likeness(fp), self.fp.likeness(after.fp),
+            common_extension(self.pre, 0, pre, 0), common_extension(self.pre, 0, after.pre, 0),
+        )
+
+
+def compare_with_next(docs: DataFrame) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and their likeness (see op2).
+
+    A block's task compares the rows inside it and hands on its first and last row; a block's last row then meets the first
+    one of the next block, of the first block after the last.
+    """
+    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the row that waits for its next one
-        for b in batches:
+        held = block = None
+
+        def rows(part: int, out: list[tuple], end: str = "", text: str = "") -> pa.RecordBatch:
+            cols = [pa.array([r[i] for r in out], t) for i, t in enumerate(_TYPES)]
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int32()), pa.array([end] * len(out), pa.string()), pa.array([text] * len(out), pa.string()), *cols], names=["block", "end", "text", *NAMES])
+
+        for b in pieces(batches):
             out = []
-            for block, doc_id, text, extra in zip(b.column("block").to_pylist(), b.column("doc_id").to_pylist(), strings(b), b.column("extra").to_pylist()):
-                pre = Prefixes(text)
-                now = (text, pre, pre.fingerprint())
-                if held is not None and held[0] == block:
-                    out.append((held[1], *one(*held[2], now)))
-                held = None if extra else (block, doc_id, now)
-            cols = [pa.array([r[i] for r in out], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_edited long, same_next long"
-    return in_order(docs).mapInArrow(run, schema)
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), strings(b)):
+                now = _Row(doc_id, text)
+                if held is None:
+                    block = b.column("block")[0].as_py()
+                    yield rows(block, [(doc_id, *[None] * 8)], "first", text)
+                else:
+                    out.append(held.against(now))
+                held = now
+            yield rows(block, out)
+        if held is not None:
+            yield rows(block, [(held.doc_id, *[None] * 8)], "last", held.text)
+
+    done = stored(spark, in_order(docs).mapInArrow(run, "block int, end string, text string, " + SCHEMA), "compared")
+    ends = done.where("end <> ''").select("block", "end", "doc_id", "text")
+    first, last = ends.where("end = 'first'"), ends.where("end = 'last'")
+    w = W.orderBy("block")  # a number a block
+    following = first.select("block", F.coalesce(F.lead("block").over(w), F.min("block").over(w)).alias("next"))
+    met = last.select("block", "doc_id", "text").join(following, "block").join(first.select(F.col("block").alias("next"), F.col("text").alias("after")), "next")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 16):
+            out = [_Row(i, t).against(_Row(None, a)) for i, t, a in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "after")))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_TYPES)], names=NAMES)
+
+    return done.where("end = ''").select(*NAMES).unionByName(met.select("doc_id", "text", "after").mapInArrow(close, SCHEMA))
 
 
 def op2_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
