@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, strings, table
+from .common import pieces, strings, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -235,10 +235,8 @@ def _shown(spans: list[tuple[str, int, int]]) -> str:
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, the counts of plain spans, their digest, and all spans."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             rows = [find_spans(t) for t in strings(b)]
             cols = [b.column("doc_id")]
             cols += [pa.array([sum(k == s[0] for s in base) for base, _ in rows], pa.int64()) for k in KINDS]
@@ -252,10 +250,8 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with identifiers replaced and n_chars, where there is one, counted anew; a null text stays null."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out = [None if t is None else redact(t, find_spans(t)[1]) for t in b.column("text").to_pylist()]
             cols = list(b.columns)
             names = b.schema.names
