@@ -2,7 +2,7 @@
 
 Words are Unicode lower-cased and stripped of ASCII punctuation. Every seed is a fixed mask over SPAN word positions;
 the positions left out may differ without changing the hash, so an overlap with substituted words is still hit.
-Hashes of the benchmark's masked windows fill a blocked Bloom filter of a fixed size, which is all that is sent
+Hashes of the benchmark's masked windows fill a blocked Bloom filter, sized by their number up to 64 MiB, which is all that is sent
 to the tasks. Documents' windows that pass it are joined with the benchmark's hashes exactly, and round every hit
 of a diagonal the two word sequences are compared along it: matches count +1, substitutions -2, and the stretch
 ends where the score falls 5 below its best. An overlap counts when MATCHED words match (all of them for a
@@ -10,7 +10,8 @@ shorter item) and at most a fifth of the stretch is substituted.
 
 An item with fewer words than SPAN has one contiguous seed as long as itself. Defined results: null and empty
 texts or items overlap nothing; of tied overlaps of a document with an item the earliest is reported; repeated
-rows are reported once. Only doc_id, text, item_id are read.
+documents are reported once, and rows that share an item_id are texts of one item; an empty table gives no rows. Texts of any
+length are scanned whole. Only doc_id, text, item_id are read, other columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, factors, mix, small_batches, stored, strings, table
+from .common import WordHash, factors, mix, pieces, stored, strings, table
 from .url_filter import BlockedBloom
 
 SPAN = 11
@@ -57,31 +58,32 @@ def masks(short: list[int]) -> list[tuple[int, tuple[int, ...]]]:
 
 
 def item_seeds(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(item_id, words) and (hash, item_id, pos) of a benchmark table."""
-    small_batches(items.sparkSession)
-
+    """(item_id, text_key, words, n) and (hash, item_id, text_key, pos) of a benchmark table; text_key tells rows of one id apart."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wh = WordHash()
-        for b in batches:
+        for b in pieces(batches):
             w = [wh.array(plain_words(t)) for t in strings(b)]
             yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array([x.tobytes() for x in w], pa.binary()), pa.array([len(x) for x in w], pa.int32())], names=["item_id", "words", "n"])
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, hs, pos = [], [], []
-            for item, raw in zip(b.column("item_id").to_pylist(), b.column("words").to_pylist()):
+        for b in pieces(batches):
+            ids, keys, hs, pos = [], [], [], []
+            for item, key, raw in zip(b.column("item_id").to_pylist(), b.column("text_key").to_pylist(), b.column("words").to_pylist()):
                 h = np.frombuffer(raw, np.uint64)
                 for tag, m in masks([len(h)]) if 0 < len(h) < SPAN else masks([]):
                     s = seed_hashes(h, m, tag)
                     hs.append(s)
                     pos.append(np.arange(len(s), dtype=np.int32))
                     ids += [item] * len(s)
+                    keys += [key] * len(s)
             cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-            yield pa.RecordBatch.from_arrays([pa.array(cat(hs, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(cat(pos, np.int32))], names=["hash", "item_id", "pos"])
+            cols = [pa.array(cat(hs, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(cat(pos, np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["hash", "item_id", "text_key", "pos"])
 
     words = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL").mapInArrow(cut, "item_id long, words binary, n int")
+    words = words.withColumn("text_key", F.xxhash64("words")).dropDuplicates(["item_id", "text_key"])
     words = stored(items.sparkSession, words, "items")
-    return words, words.select("item_id", "words").mapInArrow(seeds, "hash long, item_id long, pos int")
+    return words, words.select("item_id", "text_key", "words").mapInArrow(seeds, "hash long, item_id long, text_key long, pos int")
 
 
 def _segments(hits: np.ndarray, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -120,18 +122,18 @@ def seed_places(same: np.ndarray) -> np.ndarray:
     return p[np.unique(np.cumsum(~same)[p], return_index=True)[1]]
 
 
-def overlaps(docs: DataFrame, items: DataFrame, blooms: int = 1 << 14) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, blooms: int | None = None) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, n_matched): the best overlap of each document with each item."""
     spark = docs.sparkSession
-    small_batches(spark)
     words, seeds = item_seeds(items)
     short = sorted(r.n for r in words.where(F.col("n").between(1, SPAN - 1)).select("n").distinct().collect())  # SPAN - 1 at most
-    bloom = spark.sparkContext.broadcast(BlockedBloom.of(seeds, "hash", blooms).bits.tobytes())
+    filled = BlockedBloom.of(seeds, "hash", blooms)
+    blooms, bloom = filled.blocks, spark.sparkContext.broadcast(filled.bits.tobytes())
     all_masks = masks(short)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wh, f = WordHash(), BlockedBloom(blooms, bloom.value)
-        for b in batches:
+        for b in pieces(batches):
             out = []
             texts = [plain_words(t) for t in strings(b)]
             h = wh.array([w for t in texts for w in t])
@@ -160,12 +162,16 @@ def overlaps(docs: DataFrame, items: DataFrame, blooms: int = 1 << 14) -> DataFr
     found = texts.mapInArrow(scan, "doc_id long, start int, words binary, hashes array<bigint>, places array<int>")
     found = stored(spark, found.withColumn("segment", F.xxhash64("start", "words")), "segments")
     hits = found.select("doc_id", "segment", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("doc_id", "segment", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
-    joined = hits.join(seeds, "hash").select("doc_id", "segment", "item_id", (F.col("place") - F.col("pos")).alias("shift")).distinct()
+    # a hash that a text and an item repeat joins once, and gives no more diagonals than both have places
+    hits = hits.groupBy("doc_id", "segment", "hash").agg(F.collect_set("place").alias("places"))
+    seeds = seeds.groupBy("hash", "item_id", "text_key").agg(F.collect_set("pos").alias("at"))
+    shifts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.transform("at", lambda q: p - q))))
+    joined = hits.join(seeds, "hash").select("doc_id", "segment", "item_id", "text_key", F.explode(shifts).alias("shift")).distinct()
     pairs = joined.join(found.select("doc_id", "segment", "start", "words").dropDuplicates(["doc_id", "segment"]), ["doc_id", "segment"])
-    pairs = pairs.join(words.select("item_id", F.col("words").alias("item_words")), "item_id").select("doc_id", "item_id", "start", "words", "item_words", "shift")
+    pairs = pairs.join(words.select("item_id", "text_key", F.col("words").alias("item_words")), ["item_id", "text_key"]).select("doc_id", "item_id", "start", "words", "item_words", "shift")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for r in b.to_pylist():
                 d, i = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["item_words"], np.uint64)
