@@ -1,23 +1,23 @@
 """Token ids in one compressed file per shard: a wavelet matrix.
 
 A shard holds the ids of a run of documents in ascending doc_id order. Plane k of its matrix keeps bit k (from
-the top) of every id, in the order that the planes above leave: zeros first, then ones, each stable. Beside the
-bits there are the popcounts of every 512-bit block, so rank is a table look-up and one popcount, select a
-binary search over the blocks. Access, counting and occurrence look-up need about one rank a plane and never
-unpack the file. The bits are compressed with zstd for storage.
+the top) of every id, in the order that the planes above leave: zeros first, then ones, each stable. The bits are
+compressed with zstd in blocks of BLOCK, and the file holds the ones before each block, so rank is a look-up and one block's
+popcount, select a binary search over the blocks. Opening a file reads its headers only; access, counting and occurrence
+look-up unpack about one block a plane.
 
 Files are rows (shard, blob) of a table in the cluster's shared folder, one blob per shard, so that any reader
-that Spark has can fetch them. Shards come from a range partition on doc_id; equal ids fall into one shard.
+that Spark has can fetch them. Shards come from a range partition on doc_id and, among equal ids, a hash of the text.
 
 Defined results: a null or empty text holds only the end id; rows whose doc_id is null or repeated each keep
-their place (nulls first, ties by text); an empty table gives no shards and no rows. Other columns are not read.
+their place (nulls first, ties by a hash of the text); an empty table gives no shards and no rows. A text of any length is encoded
+whole, in one shard. Other columns are not read, and may have any name.
 """
 
 from __future__ import annotations
 
 import os
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,61 +29,79 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, table
+from .common import shared_dir, table
 
-BLOCK = 512
+#: Bits of a block.
+BLOCK = 1 << 17
 #: Text bytes a shard shall hold.
 SHARD_BYTES = 12 << 20
 _MAGIC = b"WMX1"
 #: Words whose ids a worker remembers, twice over, before it forgets those not seen of late.
-CACHE_IDS = 400_000
+CACHE_IDS = 500_000
 #: Text bytes, and words, that are handled together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 RUN = 64
 MARK = "\x01"
-STOPS = {",", "."}
+#: A comma or full stop between an ASCII letter and white space or the end is a word of its own.
+STOP_BEHIND = r"([A-Za-z])([.,])([ \t\n\v\f\r]|$)"
 
 
 class Plane:
-    """A bit vector with rank and select."""
+    """A bit vector in compressed blocks with the ones before each, which rank and select unpack one at a time."""
 
-    def __init__(self, packed: np.ndarray, n: int):
-        words = np.zeros((n + BLOCK - 1) // BLOCK * (BLOCK // 64), np.uint64)
-        words.view(np.uint8)[: len(packed)] = packed
-        self.n, self.words = n, words
-        counts = np.bitwise_count(words).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64)
-        self.blocks = np.concatenate([[0], np.cumsum(counts)])
-        self.ones = int(self.blocks[-1])
+    def __init__(self, n: int, before: np.ndarray, at: np.ndarray, data: memoryview):
+        self.n, self.before, self.at, self.data = n, before, at, data
+        self.ones = int(before[-1])
+        self.held: tuple[int, np.ndarray] = (-1, np.empty(0, np.uint64))
 
-    def get(self, i: np.ndarray) -> np.ndarray:
-        return (self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1)
+    @staticmethod
+    def encode(bit: np.ndarray) -> list[bytes]:
+        """Header and blocks of a vector: ones up to each block's end and its length in bytes, then the blocks."""
+        packed = np.packbits(bit, bitorder="little")
+        packed = np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)])
+        parts = [packed[i : i + BLOCK // 8] for i in range(0, len(packed), BLOCK // 8)]
+        blocks = [zstandard.compress(p.tobytes(), 1) for p in parts]
+        ones = [int(np.bitwise_count(p.view(np.uint64)).sum()) for p in parts]
+        return [np.cumsum([0, *ones]).astype("<u8").tobytes(), np.cumsum([0, *map(len, blocks)]).astype("<u8").tobytes(), *blocks]
+
+    @staticmethod
+    def read(n: int, data: memoryview) -> Plane:
+        k = -(-n // BLOCK) + 1
+        before, at = (np.frombuffer(data, "<u8", k, 8 * k * i).astype(np.int64) for i in (0, 1))
+        return Plane(n, before, at, data[16 * k :])
+
+    def block(self, b: int) -> np.ndarray:
+        if self.held[0] != b:
+            self.held = (b, np.frombuffer(zstandard.decompress(self.data[self.at[b] : self.at[b + 1]]), np.uint64))
+        return self.held[1]
 
-    def rank1(self, i) -> int:
+    def get(self, i: int) -> int:
+        return int(self.block(i // BLOCK)[i % BLOCK >> 6]) >> (i & 63) & 1
+
+    def rank1(self, i: int) -> int:
         """Ones before position i."""
-        b = i // BLOCK
-        w0, w = b * (BLOCK // 64), i >> 6
-        r = int(self.blocks[b]) + int(np.bitwise_count(self.words[w0:w]).sum())
-        if i & 63:
-            r += int(np.bitwise_count(self.words[w] & np.uint64((1 << (i & 63)) - 1)))
-        return r
+        b, r = i // BLOCK, i % BLOCK
+        if not r:
+            return int(self.before[b])
+        words = self.block(b)
+        n = int(self.before[b]) + int(np.bitwise_count(words[: r >> 6]).sum())
+        return n + (int(words[r >> 6]) & (1 << (r & 63)) - 1).bit_count()
 
     def select(self, bit: int, k: int) -> int:
         """Position of the k-th (from 0) one or zero."""
-        before = self.blocks if bit else np.arange(len(self.blocks)) * BLOCK - self.blocks
+        before = self.before if bit else np.minimum(np.arange(len(self.before)) * BLOCK, self.n) - self.before
         b = int(np.searchsorted(before, k, side="right")) - 1
-        left, w = k - int(before[b]), b * (BLOCK // 64)
-        while True:
-            word = int(self.words[w]) if bit else ~int(self.words[w]) & (1 << 64) - 1
-            c = word.bit_count()
-            if left < c:
-                break
-            left, w = left - c, w + 1
+        words = self.block(b) if bit else ~self.block(b)
+        upto = np.cumsum(np.bitwise_count(words).astype(np.int64))
+        w = int(np.searchsorted(upto, k - int(before[b]), side="right"))
+        word, left = int(words[w]), k - int(before[b]) - (int(upto[w - 1]) if w else 0)
         for _ in range(left):
             word &= word - 1
-        return w * 64 + (word & -word).bit_length() - 1
+        return b * BLOCK + w * 64 + (word & -word).bit_length() - 1
 
     def bits(self) -> np.ndarray:
-        return np.unpackbits(self.words.view(np.uint8), count=self.n, bitorder="little").view(bool)
+        raw = b"".join(zstandard.decompress(self.data[x:y]) for x, y in zip(self.at[:-1].tolist(), self.at[1:].tolist()))
+        return np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
 
 
 class WaveletMatrix:
@@ -97,29 +115,32 @@ class WaveletMatrix:
         ids = np.asarray(ids)
         width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         seq = ids.astype(np.uint16 if width <= 16 else np.uint32)
-        parts = []
+        parts, sizes = [], []
         for k in range(width - 1, -1, -1):
             bit = (seq >> k & 1).astype(bool)
-            parts.append(zstandard.compress(np.packbits(bit, bitorder="little").tobytes(), 1))
+            plane = Plane.encode(bit)
+            parts += plane
+            sizes.append(sum(map(len, plane)))
             seq = np.concatenate([seq[~bit], seq[bit]])
-        return _MAGIC + struct.pack("<QB", len(ids), width) + struct.pack(f"<{width}Q", *map(len, parts)) + b"".join(parts)
+        return _MAGIC + struct.pack("<QB", len(ids), width) + struct.pack(f"<{width}Q", *sizes) + b"".join(parts)
 
     @staticmethod
     def open(blob: bytes) -> WaveletMatrix:
+        """The matrix of a file; only the headers are read."""
         if blob[:4] != _MAGIC:
             raise ValueError("not a wavelet matrix file")
         n, width = struct.unpack_from("<QB", blob, 4)
         sizes = struct.unpack_from(f"<{width}Q", blob, 13)
-        at, planes = 13 + 8 * width, []
+        at, planes, data = 13 + 8 * width, [], memoryview(blob)
         for s in sizes:
-            planes.append(Plane(np.frombuffer(zstandard.decompress(blob[at : at + s]), np.uint8), n))
+            planes.append(Plane.read(n, data[at : at + s]))
             at += s
         return WaveletMatrix(n, planes)
 
     def access(self, i: int) -> int:
         v = 0
         for p, z in zip(self.planes, self.zeros):
-            b, r = int(p.get(np.int64(i))), p.rank1(i)
+            b, r = p.get(i), p.rank1(i)
             i, v = (z + r, v << 1 | 1) if b else (i - r, v << 1)
         return v
 
@@ -160,11 +181,6 @@ class WaveletMatrix:
         return seq
 
 
-def _plain(c: str) -> bool:
-    """Whether a character is still letters or digits alone after normalising; a mark would join what follows."""
-    return c.isalnum() and (c.isascii() or unicodedata.normalize("NFC", c).lower().isalnum())
-
-
 class WordTokenizer:
     """ids of texts, from the ids of their distinct words.
 
@@ -198,15 +214,11 @@ class WordTokenizer:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
-    def learn(self, new: list[str]) -> None:
-        """Put the ids of new words into memory; a comma or full stop at a word's end is a word of its own."""
-        stems = {w: w[:-1] for w in new if w[-1:] in STOPS and _plain(w[-2:-1])}
-        todo = {stems.get(w, w) for w in new}
-        if stems:
-            todo |= STOPS
-        todo = [w for w in todo if w not in self.young]
-        letters = [w for w in todo if w.isalpha()]
-        others = [w for w in todo if not w.isalpha()]
+    def learn(self, todo: list[str]) -> None:
+        """Put the ids of new words into memory."""
+        letters, others = [], []
+        for w in todo:
+            (letters if w.isalpha() else others).append(w)
         for i in range(0, len(letters), RUN):
             part = letters[i : i + RUN]
             ids = self._ids(" ".join(part))
@@ -223,8 +235,6 @@ class WordTokenizer:
                 self._keep(part, ids, ends, ends + 1)
             else:  # a word holds the mark itself
                 self.young.update((w, self._ids(w).tobytes()) for w in part)
-        get = self.young
-        get.update((w, get[x] + get[w[-1]]) for w, x in stems.items())
 
     def _keep(self, part: list[str], ids: np.ndarray, ends: np.ndarray, following: np.ndarray) -> None:
         raw, at = ids.tobytes(), [0, *(2 * following).tolist()]
@@ -232,30 +242,33 @@ class WordTokenizer:
 
     def of_words(self, words: list[str]) -> list[bytes]:
         """ids of distinct words. Words not asked for since the memory last filled up are forgotten."""
-        new = [w for w in words if w not in self.young]
-        if len(self.young) + len(new) > CACHE_IDS:
-            self.young, self.old = {}, self.young
-            new = words
-        again = {w: self.old[w] for w in new if w in self.old}
-        self.young.update(again)
-        self.learn([w for w in new if w not in again])
+        young = self.young
+        new = [w for w in words if w not in young]
+        if len(young) + len(new) > CACHE_IDS:
+            self.young, self.old = young, new = {}, young, words
+        if self.old:
+            again = {w: self.old[w] for w in new if w in self.old}
+            young.update(again)
+            new = [w for w in new if w not in again]
+        self.learn(new)
         return list(map(self.young.__getitem__, words))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; their number for each text)."""
         if not len(texts):
             return np.empty(0, "<u2"), np.empty(0, np.int64)
-        cut = pc.ascii_split_whitespace(texts)
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, STOP_BEHIND, r"\1 \2\3"))
         bounds = cut.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = cut.flatten().dictionary_encode()
-        parts = [*self.of_words(coded.dictionary.to_pylist()), np.array([end], "<u2").tobytes()]
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
-        begin, ids = np.cumsum(size) - size, np.frombuffer(b"".join(parts), "<u2")
-        seq = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], len(parts) - 1)
-        n = size[seq]
-        shift = begin[seq] - (np.cumsum(n) - n)
-        return ids[np.repeat(shift, n) + np.arange(n.sum())], np.add.reduceat(n, bounds[:-1] + np.arange(len(texts)))
+        parts = self.of_words(coded.dictionary.to_pylist())
+        parts.append(np.array([end], "<u2").tobytes())
+        seq = np.insert(coded.indices.to_numpy(), bounds[1:], len(parts) - 1)
+        found = pa.array(parts, pa.large_binary()).take(pa.array(seq))  # the ids of all words, one behind the other
+        offsets = np.frombuffer(found.buffers()[1], np.int64)[: len(seq) + 1]
+        ids = np.frombuffer(found.buffers()[2], "<u2", count=int(offsets[-1]) // 2)
+        ends = offsets[bounds[1:] + np.arange(1, len(texts) + 1)] // 2
+        return ids, np.diff(ends, prepend=0)
 
 
 _loaded: dict[tuple[str, bool], WordTokenizer] = {}
@@ -270,10 +283,10 @@ def tokenizer(path: str, special: bool = False) -> WordTokenizer:
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, shard_bytes: int = SHARD_BYTES, special: bool = False) -> DataFrame:
     """Shards of all texts: (shard, doc_ids, lengths, n_ids, blob), stored in the shared folder; special as for WordTokenizer."""
     spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = texts.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    texts = texts.withColumn("tie", F.xxhash64("text"))
+    dealt = texts.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path, special)
@@ -311,7 +324,6 @@ def starts(shards: DataFrame) -> DataFrame:
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the stored files."""
-    small_batches(shards.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
