@@ -1,26 +1,29 @@
 """LM scoring with an Elias-Fano n-gram trie (order 3), built and queried in shards.
 
-Model: interpolated trigrams with three absolute discounts an order, estimated from the counts of counts of all
-training n-grams, above the add-0.1 unigram model that is also the base score. A shard holds whole trigram contexts: it is chosen by the
-middle word v, and for a frequent v also by the first word u, so a word that makes up a third of all tokens is
-spread over as many shards as it needs (its bigrams are then known in each of them).
-
-A shard's trie is a file of levels: word hashes; contexts v; below them followers w (bigrams) and predecessors u;
-below (v, u) the followers again. Every level is a monotone sequence in Elias-Fano form: ids are made monotone by
-adding the base of their parent's range, pointers are monotone already. A follower below (v, u) is stored as its
-rank among the followers of v, which is all that it can be, and looked up by successor search in the parent's
-range. Discounted probabilities and back-off weights are 16-bit codes of their logarithms. Readers map the file
-into memory and work on the packed bits.
-
-Flow: documents are tokenised once into chunks with a vocabulary of their own (stored); word counts are summed by
-word buckets and sent back; if there are several shards, every chunk first sends each its training trigrams, and
-the shards' counts of counts are summed on the driver (eight numbers a shard); every chunk then sends each shard its distinct trigrams with their training counts and
-the documents they occur in; a shard builds its trie, looks all of them up and returns the sum for each document;
-the sums meet by chunk. All counts are over all training documents; only packed blocks of bounded size travel.
+Model: P(w | u v) = a3 + g3 * (a2 + g2 * p1(w)) with a3 = l3 * c(u v w) / c(u v), g3 = 1 - l3, the same for order 2, and the add-0.1 unigram model
+of the base score at the bottom. The weights l2 and l3 depend on how often the context occurred (half octaves of its count)
+and are fitted by deleted estimation: every training event is taken out of the counts in turn, and the weights that
+predict all of them best are found by expectation maximisation over a histogram of likelihood ratios, whose size is fixed.
+Where a context says nothing about what follows, its weight goes to 0 and the score to the base score. All counts are over all
+training documents, and the same model results however the trie is cut into shards.
+
+A shard's trie is a file of levels: word ids; contexts v; below them followers w (bigrams) and predecessors u; below (v, u) the
+followers again. Every level is a monotone sequence in Elias-Fano form: ids are made monotone by adding the base of
+their parent's range, pointers are monotone already. A follower below (v, u) is stored as its rank among the followers of v,
+which is all that it can be, and looked up by successor search in the parent's range. The terms a and g are 16-bit codes of
+their logarithms. Readers map the file into memory (in scratch space of the task) and work on the packed bits.
+
+Flow: documents are tokenised once into chunks with a vocabulary of their own (stored). Chunks send their distinct words and bigrams
+in packed rows, one a bucket that they meet, and get back total counts, and for a word its rank among those of its count,
+from which its global id follows; ids show their words' counts. Then every chunk sends its distinct trigrams, with
+training counts, to the shards of their contexts. A shard is chosen by the middle word v, for a frequent v by u too, and for a
+frequent (u, v) by w too, so that none is larger than the others; totals travel with the trigrams. Shards are stored, one row each, for
+the fit of l3 and the look-ups; these return a code for each trigram, and a chunk sums them by document.
 
 Defined results: a null or empty text is one end token; rows with a null doc_id train and are scored, held_out
-false; repeated rows each get a row; with no training tokens every probability is the base one (V = N = 0).
-Words are identified by 64-bit hashes. Only doc_id and text are read.
+false; repeated rows each get a row; with no training tokens every probability is the base one (V = N = 0); an empty table gives
+no rows. A text of any length is part of one chunk. Words are identified by 64-bit hashes, bigrams by 56-bit ones. Only doc_id and text are
+read, other columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,17 +34,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, crc_mod, mix, release_shuffles, small_batches, stored, table, words
+from .common import WordHash, crc_mod, drop_stored, least, mix, pack, pieces, release_shuffles, stored, table, unpack, word_hashes
 
-#: Tokens in a chunk, tokens in a shard, word entries in a bucket.
+#: Tokens in a chunk, tokens in a shard, words or bigrams in a bucket.
 CHUNK_TOKENS = 1_500_000
 SHARD_TOKENS = 2_000_000
-BUCKET_WORDS = 1_000_000
+BUCKET = 2_000_000
 BOS, END = np.uint64(1), np.uint64(2)
+#: Ids of words that training lacks, of the begin and the end of a text; other words' ids follow.
+UNKNOWN, BEGIN, STOP, FIRST_ID = 0, 1, 2, 3
+#: Counts up to EXACT are classes of their own; beyond, classes are 1/STEP of a decade.
+EXACT = 4096
+#: Half octaves of context counts; bins of the likelihood ratio: none, then FINE to an octave round 1.
+HALVES, BINS, FINE = 80, 4096, 64
 STEP = 4096.0  # codes a decade
 
 
@@ -173,64 +181,112 @@ def _values(code: np.ndarray) -> np.ndarray:
     return 10.0 ** (-code.astype(np.float64) / STEP)
 
 
-def _counts_of_counts(c: np.ndarray) -> list[int]:
-    return [int((c == k).sum()) for k in (1, 2, 3, 4)]
+def count_class(c: np.ndarray) -> np.ndarray:
+    c = np.asarray(c, np.float64)
+    return np.where(c <= EXACT, c, EXACT + np.rint(np.log10(np.maximum(c, EXACT) / EXACT) * STEP)).astype(np.int64)
 
 
-def _discounts_from(n: list[int]) -> np.ndarray:
-    """Discounts of counts 1, 2 and more from the counts of counts."""
-    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-    d = [k + 1 - (k + 2) * y * n[k + 1] / n[k] if n[k] else 0.5 * (k + 1) for k in range(3)]
-    return np.array([0.0, *(min(max(x, 0.1), 0.99 * (k + 1)) for k, x in enumerate(d))])
+def class_count(k: np.ndarray) -> np.ndarray:
+    k = np.asarray(k, np.float64)
+    return np.where(k <= EXACT, k, EXACT * 10.0 ** (np.maximum(k - EXACT, 0) / STEP))
 
 
-def _discounts(c: np.ndarray) -> np.ndarray:
-    return _discounts_from(_counts_of_counts(c))
+def half_octave(total: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(2 * np.log2(np.maximum(total, 1)) + 1e-9), 0, HALVES - 1).astype(np.int64)
 
 
-def _smoothed(parent: np.ndarray, parents: int, c: np.ndarray, discounts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Discounted probability of each child, and the weight that each parent leaves for the lower order."""
-    if not len(c):
-        return np.empty(0), np.ones(parents)
-    d = discounts[np.minimum(c, 3)]
-    total = np.bincount(parent, weights=c, minlength=parents)
-    return (c - d) / total[parent], np.bincount(parent, weights=d, minlength=parents) / np.maximum(total, 1)
+def ratio_cells(total: np.ndarray, high: np.ndarray, low: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Histogram (HALVES * BINS) of events by the half octave of their context's count and the ratio of two likelihoods."""
+    r = high / low
+    at = np.where(r > 0, np.clip(np.rint(FINE * np.log2(np.maximum(r, 1e-12))) + BINS // 2, 1, BINS - 1), 0).astype(np.int64)
+    return np.bincount(half_octave(total) * BINS + at, weights=weight, minlength=HALVES * BINS)
 
 
-def _trigrams(tri: tuple[np.ndarray, ...], k: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct keys of (v, u, w, count) and their counts."""
-    key3 = (tri[0].astype(np.uint64) * k + tri[1].astype(np.uint64)) * k + tri[2].astype(np.uint64)
-    order = np.argsort(key3, kind="stable")
-    key3, c3 = key3[order], tri[3][order]
-    first = np.flatnonzero(np.concatenate([[True], key3[1:] != key3[:-1]])) if len(key3) else np.empty(0, int)
-    return key3[first], np.add.reduceat(c3, first) if len(first) else c3
+def fitted_weights(cells: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weight of the higher order for each half octave; those without events take that of the next lower one."""
+    r = 2.0 ** ((np.arange(BINS) - BINS // 2) / FINE)
+    r[0] = 0.0
+    n = cells.reshape(HALVES, BINS)
+    total = n.sum(1)
+    w = np.full(HALVES, 0.5)
+    for _ in range(rounds):
+        share = w[:, None] * r / (w[:, None] * r + 1 - w[:, None])
+        w = np.minimum((n * share).sum(1) / (total + 1), 0.999)
+    out, last = np.zeros(HALVES), 0.0
+    for k in range(HALVES):
+        last = w[k] if total[k] else last
+        out[k] = last
+    return out
+
+
+class Words:
+    """Global word ids, the more frequent the smaller, and the counts that they show.
+
+    widths is how many words of a count class a bucket has at most; base holds the first id of each class.
+    """
+
+    def __init__(self, classes: np.ndarray, widths: np.ndarray, buckets: int, words: int, tokens: int, docs: int):
+        order = np.argsort(-classes)
+        self.classes, sizes = classes[order], widths[order].astype(np.int64) * buckets
+        self.base = FIRST_ID + np.cumsum(sizes) - sizes
+        self.buckets, self.words, self.tokens, self.docs = buckets, words, tokens, docs
+
+    def ids(self, c: np.ndarray, rank: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        out = np.full(len(c), UNKNOWN, np.int64)
+        seen = c > 0
+        at = np.searchsorted(-self.classes, -count_class(c[seen]))
+        out[seen] = self.base[at] + rank[seen].astype(np.int64) * self.buckets + bucket[seen]
+        return out
+
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        ids = np.asarray(ids, np.int64)
+        out = np.where(ids == UNKNOWN, 0.0, float(self.docs))
+        word = ids >= FIRST_ID
+        if word.any():
+            out[word] = class_count(self.classes[np.searchsorted(self.base, ids[word], side="right") - 1])
+        return out
+
+    def p1(self, c: np.ndarray) -> np.ndarray:
+        return (c + 0.1) / (self.tokens + 0.1 * (self.words + 1))
+
+    def p1_without(self, c: np.ndarray) -> np.ndarray:
+        """p1 when one of a word's own occurrences is taken out."""
+        return (c - 1 + 0.1) / (self.tokens - 1 + 0.1 * (self.words + 1))
 
 
 class Trie:
     """The levels of a shard, read from the bytes of its file."""
 
     @staticmethod
-    def build(vocab: np.ndarray, tri: tuple[np.ndarray, ...], bi: tuple[np.ndarray, ...], discounts: tuple[np.ndarray, np.ndarray] | None = None) -> bytes:
-        """File of a shard from ascending word hashes, (v, u, w, count) and (v, w, count) over their indices; without discounts of both orders they are its own."""
-        k = np.uint64(max(len(vocab), 1))
-        v2, w2, c2 = _merge((bi[0].astype(np.uint64) * k + bi[1].astype(np.uint64)), bi[2], k)
-        ctx = np.unique(v2)  # contexts v: every trigram's (v, w) is a bigram too
-        p2 = np.searchsorted(ctx, v2)
-        key3, c3 = _trigrams(tri, k)
-        vu, w3 = key3 // k, (key3 % k).astype(np.int64)
-        pairs, p3 = np.unique(vu, return_inverse=True)
-        pv = np.searchsorted(ctx, (pairs // k).astype(np.int64))
+    def build(v: np.ndarray, u: np.ndarray, w: np.ndarray, c3: np.ndarray, c2: np.ndarray, t3: np.ndarray, words: Words, l2: np.ndarray, l3: np.ndarray) -> bytes:
+        """File of a shard from distinct trigrams (v, u, w), given as ids and sorted, with the counts of the trigram, of (v, w) and of (u, v)."""
+        vocab = np.unique(np.concatenate([v, u, w]))
+        k = max(len(vocab), 1)
+        v, u, w = (np.searchsorted(vocab, x).astype(np.int64) for x in (v, u, w))
+        t2 = words.counts(vocab) if len(vocab) else np.empty(0)
+        t2 = np.where(vocab == STOP, 0, t2)  # nothing follows an end
+        ctx = np.unique(v[t2[v] > 0])
+        key2, at2 = np.unique(v * k + w, return_index=True)
+        known2 = (c2[at2] > 0) & (t2[key2 // k] > 0)
+        key2, n2 = key2[known2], c2[at2][known2]
+        p2, w2 = np.searchsorted(ctx, key2 // k), key2 % k
         starts = np.searchsorted(p2, np.arange(len(ctx) + 1))
-        key2 = p2.astype(np.uint64) * k + w2.astype(np.uint64)
-        rank = np.searchsorted(key2, pv[p3].astype(np.uint64) * k + w3.astype(np.uint64)) - starts[pv[p3]] if len(p3) else np.empty(0, np.int64)
+        vu, first = np.unique(v * k + u, return_index=True)
+        known3 = t3[first] > 0
+        pairs, t_pair = vu[known3], t3[first][known3].astype(np.float64)
+        pv = np.searchsorted(ctx, pairs // k)
+        seen = c3 > 0
+        p3 = np.searchsorted(pairs, v[seen] * k + u[seen])
+        rank = np.searchsorted(key2, v[seen] * k + w[seen]) - starts[pv[p3]] if seen.any() else np.empty(0, np.int64)
         fan = int(np.diff(starts).max()) if len(ctx) else 1
-        d2, d3 = discounts or (_discounts(c2), _discounts(c3))
-        a2, g2 = _smoothed(p2, len(ctx), c2, d2)
-        a3, g3 = _smoothed(p3, len(pairs), c3, d3)
+        w2t = l2[half_octave(t2[ctx])]
+        a2 = w2t[p2] * n2 / t2[ctx][p2]
+        w3t = l3[half_octave(t_pair)]
+        a3 = w3t[p3] * c3[seen] / t_pair[p3]
         parts = [
-            *EliasFano.encode(vocab), *EliasFano.encode(ctx.astype(np.uint64)),
-            *Level.encode(p2, len(ctx), w2, int(k)), *Level.encode(pv, len(ctx), (pairs % k).astype(np.int64), int(k)), *Level.encode(p3, len(pairs), rank, max(fan, 1)),
-            _codes(a2), _codes(g2), _codes(a3), _codes(g3),
+            *EliasFano.encode(vocab.astype(np.uint64)), *EliasFano.encode(ctx.astype(np.uint64)),
+            *Level.encode(p2, len(ctx), w2, k), *Level.encode(pv, len(ctx), pairs % k, k), *Level.encode(p3, len(pairs), rank, max(fan, 1)),
+            _codes(a2), _codes(1 - w2t), _codes(a3), _codes(1 - w3t),
         ]
         head = np.array([len(parts), *(x for p in parts for x in (p.dtype.itemsize, len(p)))], np.uint64)
         return head.tobytes() + b"".join(p.tobytes() + b"\0" * (-p.nbytes % 8) for p in parts)
@@ -255,26 +311,26 @@ class Trie:
         self.followers, self.predecessors, self.trigrams = level(), level(), level()
         self.a2, self.g2, self.a3, self.g3 = take
 
-    def word(self, h: np.ndarray) -> np.ndarray:
-        i = self.words.successor(h)
-        hit = i < self.words.n
-        hit[hit] = self.words.at(i[hit]) == h[hit]
-        return np.where(hit, i, -1)
-
-    def probability(self, vocab: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray, p1: np.ndarray) -> np.ndarray:
-        """P(w | u v) for trigrams, given as indices into hashes, whose unigram probabilities are p1."""
-        known = self.word(vocab)
-        cv, at = np.unique(v, return_inverse=True)
-        ids = known[cv]
-        ctx = self.contexts.successor(np.maximum(ids, 0).astype(np.uint64))
-        ok = (ids >= 0) & (ctx < self.contexts.n)
-        ok[ok] = self.contexts.at(ctx[ok]) == ids[ok].astype(np.uint64)
-        cv = np.where(ok, ctx, -1)
-        c = cv[at]
-        follow = self.followers.find(c, known[w])
-        new = np.concatenate([[True], (v[1:] != v[:-1]) | (u[1:] != u[:-1])]) if len(v) else np.empty(0, bool)
-        below = self.predecessors.find(c[new], known[u[new]])[np.cumsum(new) - 1] if len(v) else np.empty(0, np.int64)
-        begin = self.followers.starts.at(np.maximum(cv, 0)).astype(np.int64)[at] if self.contexts.n else np.zeros(len(v), np.int64)
+    @staticmethod
+    def _index(seq: EliasFano, x: np.ndarray) -> np.ndarray:
+        """Index of each value in a sequence, -1 where it is not; the x that are looked up repeat much."""
+        values, at = np.unique(x, return_inverse=True)
+        i = seq.successor(np.maximum(values, 0).astype(np.uint64))
+        hit = (values >= 0) & (i < seq.n)
+        hit[hit] = seq.at(i[hit]) == values[hit].astype(np.uint64)
+        return np.where(hit, i, -1)[at]
+
+    def probability(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, p1: np.ndarray) -> np.ndarray:
+        """P(w | u v) for trigrams of ids, sorted by v and u, whose unigram probabilities are p1."""
+        if not len(v):
+            return np.empty(0)
+        new = np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]))
+        run = np.cumsum(new) - 1
+        c = self._index(self.contexts, self._index(self.words, v[new]))
+        below = self.predecessors.find(c, self._index(self.words, u[new]))
+        begin = self.followers.starts.at(np.maximum(c, 0)).astype(np.int64) if self.contexts.n else np.zeros(len(c), np.int64)
+        c, below, begin = c[run], below[run], begin[run]
+        follow = self.followers.find(c, self._index(self.words, w))
         tri = self.trigrams.find(below, np.where(follow >= 0, follow - begin, -1))
 
         def pick(code: np.ndarray, i: np.ndarray, other: float) -> np.ndarray:
@@ -282,34 +338,10 @@ class Trie:
             out[i >= 0] = _values(code[i[i >= 0]])
             return out
 
-        low = pick(self.a2, follow, 0.0) + pick(self.g2, c, 1.0) * p1[w]
+        low = pick(self.a2, follow, 0.0) + pick(self.g2, c, 1.0) * p1
         return pick(self.a3, tri, 0.0) + pick(self.g3, below, 1.0) * low
 
 
-def _merge(key: np.ndarray, c: np.ndarray, k: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, at = np.unique(key, return_inverse=True)
-    return (keys // k).astype(np.int64), (keys % k).astype(np.int64), np.bincount(at, weights=c, minlength=len(keys)).astype(np.int64)
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in one compressed block: byte planes, which zstd shortens well."""
-    parts = []
-    for a in arrays:
-        parts.append(np.array([len(a)], np.int64).tobytes() + a.dtype.str.encode().ljust(8) + np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes())
-    return zstandard.compress(b"".join(parts), 1)
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    raw, at, out = zstandard.decompress(blob), 0, []
-    while at < len(raw):
-        n, kind = int(np.frombuffer(raw, np.int64, 1, at)[0]), np.dtype(raw[at + 8 : at + 16].decode().strip())
-        at += 16
-        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
-        at += n * kind.itemsize
-    return out
-
-
 def _by_frequency(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes, the most frequent first so that their numbers pack well, and the number of each element."""
     vocab, at, c = np.unique(h, return_inverse=True, return_counts=True)
@@ -319,14 +351,9 @@ def _by_frequency(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return vocab[order], rank[at]
 
 
-def _least(x: np.ndarray) -> np.ndarray:
-    top = int(x.max()) if len(x) else 0
-    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
-
-
 def _rows(schema: str, batches: list[tuple]) -> pa.RecordBatch:
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<binary>": pa.list_(pa.binary()), "array<bigint>": pa.list_(pa.int64())}
     types = [kinds[c.split()[1]] for c in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in batches], t) for i, t in enumerate(types)], names=names)
 
@@ -341,296 +368,344 @@ def tokenised(docs: DataFrame, held_out) -> DataFrame:
         wh = WordHash()
         ids: list = []
         held: list = []
-        lens: list = []
+        lens: list[np.ndarray] = []
         toks: list[np.ndarray] = []
         size = 0
 
         def close() -> pa.RecordBatch:
             vocab, at = _by_frequency(np.concatenate(toks))
             none = np.array([x is None for x in ids])
-            blob = pack(np.array([x or 0 for x in ids], np.int64), none, np.array(held, bool), np.array(lens, np.uint32), vocab, _least(at))
+            blob = pack(np.array([x or 0 for x in ids], np.int64), none, np.array(held, bool), np.concatenate(lens).astype(np.uint32), vocab, least(at))
             chunk = int.from_bytes(os.urandom(7), "little")
             row = (chunk, size + len(ids), len(vocab), len(ids) - sum(held), blob)
             for x in (ids, held, lens, toks):
                 x.clear()
             return _rows(CHUNKS, [row])
 
-        for b in batches:
-            for i, h, t in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), b.column("text").to_pylist()):
-                a = wh.array(words(t or ""))
-                ids.append(i)
-                held.append(h)
-                lens.append(len(a))
-                toks.append(np.where(a <= END, a + np.uint64(3), a))  # the two reserved hashes stay free
-                size += len(a)
-                if size >= CHUNK_TOKENS:
-                    yield close()
-                    size = 0
+        for b in pieces(batches):
+            a, bounds = word_hashes(b.column("text"), wh)
+            ids += b.column("doc_id").to_pylist()
+            held += b.column("held_out").to_pylist()
+            lens.append(np.diff(bounds))
+            toks.append(np.where(a <= END, a + np.uint64(3), a))  # the two reserved hashes stay free
+            size += len(a)
+            if size >= CHUNK_TOKENS:
+                yield close()
+                size = 0
         if ids:
             yield close()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out")).mapInArrow(run, CHUNKS)
 
 
-TOTALS = "chunk long, bucket int, words long, tokens long, blob binary"
-
-
-def word_totals(chunks: DataFrame, buckets: int) -> DataFrame:
-    """For each chunk and bucket of words: how often the chunk's words occur in all training documents."""
+class Chunk:
+    """A chunk's documents as sequences of tokens with their bigrams, numbered in an order that does not change."""
+
+    def __init__(self, blob: bytes):
+        self.ids, self.none, self.held, lens, vocab, at = unpack(blob)
+        self.lens = lens.astype(np.int64)
+        n, self.n_words = len(self.lens), len(vocab)
+        bos, end = len(vocab), len(vocab) + 1
+        hashes = np.concatenate([vocab, [BOS, END]]).astype(np.uint64)
+        stop = np.cumsum(self.lens + 1) - 1  # places of the end tokens
+        self.seq = np.full(len(at) + n, end, np.int64)
+        is_word = np.ones(len(self.seq), bool)
+        is_word[stop] = False
+        self.seq[is_word] = at
+        self.doc = np.repeat(np.arange(n), self.lens + 1)
+        self.begin = stop - self.lens
+        self.prev = np.append(bos, self.seq)[:-1]
+        self.prev[self.begin] = bos
+        self.train = ~self.held[self.doc] if n else np.empty(0, bool)
+        mixed = mix(vocab)
+        self.word_order = np.argsort(mixed, kind="stable")
+        self.word_keys = mixed[self.word_order]
+        pair, at2 = np.unique(self.prev * (len(vocab) + 2) + self.seq, return_inverse=True)
+        keys = mix(mix(hashes[pair // (len(vocab) + 2)]) * np.uint64(0x9E3779B97F4A7C15) + hashes[pair % (len(vocab) + 2)]) >> np.uint64(8)
+        order = np.argsort(keys, kind="stable")
+        self.pair_keys, place = keys[order], np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.pair_of = place[at2]
+        self.bos, self.end = bos, end
+
+    def word_counts(self) -> np.ndarray:
+        """Training count of each word, in the order of word_keys."""
+        t = self.seq[self.train]
+        return np.bincount(t[t < self.n_words], minlength=self.n_words)[self.word_order]
+
+    def pair_counts(self) -> np.ndarray:
+        return np.bincount(self.pair_of[self.train], minlength=len(self.pair_keys))
+
+
+TOTALS = "chunk long, key long, words long, tokens long, blob binary"
+
+
+def _cut(keys: np.ndarray, bits: int, buckets: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(bucket of each ascending key, runs of places with the same bucket)."""
+    bucket = ((keys >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return bucket, np.split(np.arange(len(keys)), np.flatnonzero(np.diff(bucket)) + 1) if len(keys) else []
+
+
+def totals_of(chunks: DataFrame, word_buckets: int, pair_buckets: int) -> DataFrame:
+    """For each chunk and bucket of words (even keys) or bigrams (odd ones): total training counts, and ranks of words.
+
+    Rows with chunk -1 hold how many words of each count class a bucket has, and its words and tokens.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob")):
-                _, _, held, lens, vocab, at = unpack(blob.as_py())
-                c = np.bincount(at[np.repeat(~held, lens)], minlength=len(vocab))
-                where = mix(vocab) % np.uint64(buckets)
-                out = [(chunk, int(k), 0, 0, pack(vocab[m], _least(c[m]))) for k in np.unique(where) for m in (where == k,)]
-                yield _rows(TOTALS, out)
+        for b in pieces(batches, 1):
+            c = Chunk(b.column("blob")[0].as_py())
+            rows = []
+            for odd, keys, n, bits, buckets in ((0, c.word_keys, c.word_counts(), 64, word_buckets), (1, c.pair_keys, c.pair_counts(), 56, pair_buckets)):
+                bucket, parts = _cut(keys, bits, buckets)
+                rows += [(b.column("chunk")[0].as_py(), int(bucket[p[0]]) * 2 + odd, 0, 0, pack(keys[p[:1]], least(np.diff(keys[p])), least(n[p]))) for p in parts]
+            yield _rows(TOTALS, rows)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, "bucket"):
-            got = [(r[0], unpack(r[4])) for r in rows]
-            every, at = np.unique(np.concatenate([g[0] for _, g in got]), return_inverse=True)
-            c = np.bincount(at, weights=np.concatenate([g[1] for _, g in got]), minlength=len(every)).astype(np.int64)
-            out = [(ch, rows[0][1], 0, 0, pack(_least(c[np.searchsorted(every, g[0])]))) for ch, g in got]
-            out[0] = (out[0][0], out[0][1], int((c > 0).sum()), int(c.sum()), out[0][4])
+        for rows in _runs(batches, "key"):
+            got = []
+            for r in rows:
+                first, steps, n = unpack(r[4])
+                got.append((r[0], np.cumsum(np.concatenate([first, steps.astype(np.uint64)])), n))
+            every, at = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
+            c = np.bincount(at, weights=np.concatenate([g[2] for g in got]), minlength=len(every)).astype(np.int64)
+            key, out = rows[0][1], []
+            if key % 2 == 0:
+                kind = count_class(c)
+                order = np.argsort(kind, kind="stable")
+                rank = np.empty(len(c), np.int64)
+                first = np.searchsorted(kind[order], kind[order])
+                rank[order] = np.arange(len(c)) - first
+                classes, widths = np.unique(kind[c > 0], return_counts=True)
+                out.append((-1, key, int((c > 0).sum()), int(c.sum()), pack(classes, widths)))
+            for chunk, keys, _ in got:
+                i = np.searchsorted(every, keys)
+                out.append((chunk, key, 0, 0, pack(least(c[i]), least(rank[i])) if key % 2 == 0 else pack(least(c[i]))))
             yield _rows(TOTALS, out)
 
-    return chunks.select("chunk", "blob").mapInArrow(emit, TOTALS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(total, TOTALS)
+    sent = chunks.select("chunk", "blob").mapInArrow(emit, TOTALS)
+    return sent.repartition(word_buckets + pair_buckets, "key").sortWithinPartitions("key").mapInArrow(total, TOTALS)
+
+
+def words_of(totals: DataFrame, buckets: int, docs: int) -> Words:
+    """The word numbering, from a row for each count class."""
+
+    def widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1):
+            k, n = unpack(b.column("blob")[0].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["class", "n"])
+
+    stats = totals.where("chunk = -1")
+    seen = stats.agg(F.sum("words").alias("w"), F.sum("tokens").alias("t")).first()
+    rows = stats.select("blob").mapInArrow(widths, "class long, n long").groupBy("class").agg(F.max("n").alias("n")).toPandas()  # a row a class
+    return Words(rows["class"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), buckets, (seen.w or 0) + (docs > 0), (seen.t or 0) + docs, docs)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[tuple]]:
     """Rows with the same key, from rows sorted by it."""
     held: list[tuple] = []
-    i = None
-    for b in batches:
+    for b in pieces(batches, 1):
         i = b.schema.get_field_index(key)
-        for row in zip(*(c.to_pylist() for c in b.columns)):
-            if held and held[0][i] != row[i]:
-                yield held
-                held = []
-            held.append(row)
+        row = tuple(c[0].as_py() for c in b.columns)
+        if held and held[0][i] != row[i]:
+            yield held
+            held = []
+        held.append(row)
     if held:
         yield held
 
 
 GRAMS = "chunk long, shard int, blob binary"
+SHARDS = "shard int, chunks array<bigint>, blobs array<binary>"
+#: Rows of grams_of() beside those of shards: documents' figures, and a histogram of ratios.
+DOCS, RATIOS = -1, -2
+
+
+class Home:
+    """Which shard a trigram is kept in."""
+
+    def __init__(self, shards: int, shard_tokens: int):
+        self.n, self.size = shards, shard_tokens
+
+    def of(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, t2: np.ndarray, t3: np.ndarray) -> np.ndarray:
+        n = np.uint64(self.n)
+        by_u = np.minimum(1 + 2 * t2.astype(np.int64) // self.size, self.n)
+        by_w = np.minimum(1 + 2 * t3.astype(np.int64) // self.size, self.n)
+        by_u, by_w = (np.where(v == UNKNOWN, self.n, x).astype(np.uint64) for x in (by_u, by_w))
+        salt = lambda x, k: mix(x.astype(np.uint64) + np.uint64(k)) >> np.uint64(8)
+        return ((mix(v.astype(np.uint64)) + salt(u, 0x632BE59B) % by_u + salt(w, 0x9BD9B4E0) % by_w) % n).astype(np.int64)
+
+
+def grams_of(number: int, blob: bytes, totals: list[tuple[int, bytes]], words: Words, home: Home) -> Iterator[tuple]:
+    """The rows that a chunk sends: its documents' figures, its histogram for order 2, and a block for every shard that it meets."""
+    ch = Chunk(blob)
+    got = [(k // 2, *unpack(t)) for k, t in totals if k % 2 == 0]
+    c1, ids = np.zeros(ch.n_words + 2), np.empty(ch.n_words + 2, np.int64)
+    if ch.n_words:
+        c, rank = np.concatenate([g[1] for g in got]).astype(np.int64), np.concatenate([g[2] for g in got])
+        c1[ch.word_order], ids[ch.word_order] = c, words.ids(c, rank, np.repeat([g[0] for g in got], [len(g[1]) for g in got]))
+    c1[ch.n_words :], ids[ch.bos], ids[ch.end] = words.docs, BEGIN, STOP
+    pairs = [unpack(t)[0] for k, t in totals if k % 2]
+    c2 = (np.concatenate(pairs) if pairs else np.empty(0)).astype(np.int64)[ch.pair_of]
+    t3 = np.append(0, c2)[:-1]  # how often the two tokens before stood together
+    t3[ch.begin] = words.docs
+    n = len(ch.lens)
+
+    base = np.bincount(ch.doc, weights=np.log10(words.p1(c1[ch.seq])), minlength=n)
+    n_known = np.bincount(ch.doc, weights=c1[ch.seq] > 0, minlength=n).astype(np.int64)
+    first, n_train = np.unique(ch.pair_of[ch.train], return_index=True, return_counts=True)[1:]
+    v, w, c = ch.prev[ch.train][first], ch.seq[ch.train][first], c2[ch.train][first]
+    t = c1[v] - 1
+    ok = t > 0
+    cells = ratio_cells(t[ok], (c[ok] - 1) / t[ok], words.p1_without(c1[w[ok]]), n_train[ok])
+    some = np.flatnonzero(cells)
+    yield number, RATIOS, pack(some, cells[some])
+
+    every, at = np.unique(ids, return_inverse=True)  # words that training lacks are one
+    k = np.uint64(len(every))
+    v, w = at[ch.prev], at[ch.seq]
+    u = np.append(at[ch.bos], v)[:-1]
+    u[ch.begin] = at[ch.bos]
+    key = (v.astype(np.uint64) * k + u.astype(np.uint64)) * k + w.astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    head = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.empty(0, np.int64)
+    c3 = np.add.reduceat(ch.train[order].astype(np.int64), head) if len(head) else head
+    run = np.diff(np.append(head, len(key)))
+    one = order[head]
+    gv, gu, gw, c2, t3 = every[v[one]], every[u[one]], every[w[one]], c2[one], t3[one]
+    shard = home.of(gv, gu, gw, words.counts(gv), t3)
+    by = np.argsort(shard, kind="stable")
+    starts = head[by]
+    docs = ch.doc[order][np.repeat(starts - (np.cumsum(run[by]) - run[by]), run[by]) + np.arange(len(key))] if len(key) else ch.doc
+    yield number, DOCS, pack(ch.ids, ch.none, ch.held, ch.lens + 1, n_known, base, least(run[by]), least(docs))
+    for g in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1) if len(by) else []:
+        yield number, int(shard[g[0]]), pack(least(np.diff(gv[g], prepend=0)), least(gu[g]), least(gw[g]), least(c3[g]), least(c2[g]), least(t3[g]))
 
 
-class Shards:
-    """Where trigrams are kept."""
-
-    def __init__(self, shards: int, words: int, tokens: int, docs: int, buckets: int):
-        self.n, self.words, self.tokens, self.docs, self.buckets = shards, words, tokens, docs, buckets
-
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return (c + 0.1) / (self.tokens + 0.1 * (self.words + 1))
-
-    def split(self, c: np.ndarray) -> np.ndarray:
-        """Over how many shards a middle word is spread, from its count."""
-        return np.minimum(1 + 2 * c.astype(np.int64) // SHARD_TOKENS, self.n)
-
+def _block(blob: bytes) -> list[np.ndarray]:
+    dv, *rest = unpack(blob)
+    return [np.cumsum(dv.astype(np.int64)), *(x.astype(np.int64) for x in rest)]
 
-def grams_of(blob: bytes, totals: list[tuple[int, bytes]], where: Shards, chunk: int, counting: bool = False) -> Iterator[tuple]:
-    """The rows that a chunk sends: its documents' figures (shard -1) and a block for every shard.
 
-    For counting there are blocks alone, with nothing but training n-grams, and a bigram goes to one shard only.
-    """
-    ids, none, held, lens, vocab, at = unpack(blob)
-    bucket = mix(vocab) % np.uint64(where.buckets)
-    counts = np.zeros(len(vocab), np.int64)
-    for k, t in totals:
-        counts[bucket == k] = unpack(t)[0]
-    lens = lens.astype(np.int64)
-    n, k = len(lens), len(vocab) + 2
-    bos, end = len(vocab), len(vocab) + 1
-    hashes = np.concatenate([vocab, [BOS, END]]).astype(np.uint64)
-    counts = np.concatenate([counts, [where.docs, where.docs]])
-    stop = np.cumsum(lens + 1) - 1  # places of the end tokens
-    seq = np.full(len(at) + n, end, np.int64)
-    is_word = np.ones(len(seq), bool)
-    is_word[stop] = False
-    seq[is_word] = at
-    doc = np.repeat(np.arange(n), lens + 1)
-    begin = stop - lens
-    v = np.concatenate([[bos], seq[:-1]]) if n else seq
-    u = np.concatenate([[bos, bos], seq[:-2]])[: len(seq)]
-    v[begin], u[begin] = bos, bos
-    second = begin[lens > 0] + 1
-    u[second] = bos
-    if not counting:
-        known = counts[seq]
-        base = np.bincount(doc, weights=np.log10(where.base(known)), minlength=n)
-        n_known = np.bincount(doc, weights=known > 0, minlength=n).astype(np.int64)
-        yield chunk, -1, pack(ids, none, held, (lens + 1).astype(np.int64), n_known, base)
-
-    key = (v.astype(np.uint64) * np.uint64(k) + u.astype(np.uint64)) * np.uint64(k) + seq.astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order]
-    train = ~held[doc]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    run = np.diff(np.concatenate([first, [len(key)]]))
-    c3 = np.add.reduceat(train.astype(np.int64), first)
-    key = key[first]
-    w3, u3, v3 = (key % np.uint64(k)).astype(np.int64), (key // np.uint64(k) % np.uint64(k)).astype(np.int64), (key // np.uint64(k) // np.uint64(k)).astype(np.int64)
-    spread = where.split(counts)
-    home = (mix(hashes) % np.uint64(where.n)).astype(np.int64)
-    salt = (mix(hashes + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(8)).astype(np.int64)
-    shard = (home[v3] + salt[u3] % spread[v3]) % where.n
-    b_v, b_w, b_c = _merge(v3.astype(np.uint64) * np.uint64(k) + w3.astype(np.uint64), c3, np.uint64(k))
-    keep = (b_c > 0) & (spread[b_v] > 1)
-    b_v, b_w, b_c = b_v[keep], b_w[keep], b_c[keep]
-    n_copies = np.ones(len(b_v), np.int64) if counting else spread[b_v]
-    copies = np.repeat(np.arange(len(b_v)), n_copies)
-    b_shard = (home[b_v[copies]] + np.arange(len(copies)) - np.repeat(np.cumsum(n_copies) - n_copies, n_copies)) % where.n if len(b_v) else np.empty(0, np.int64)
-
-    by = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[by], np.arange(where.n + 1))
-    b_by = np.argsort(b_shard, kind="stable")
-    b_cuts = np.searchsorted(b_shard[b_by], np.arange(where.n + 1))
-    ends = np.cumsum(run)
-    local = np.empty(k, np.int64)
-    for s in range(where.n):
-        g = by[cuts[s] : cuts[s + 1]]
-        if counting:
-            g = g[c3[g] > 0]
-        b = copies[b_by[b_cuts[s] : b_cuts[s + 1]]]
-        if not len(g) and not len(b):
-            continue
-        used = np.unique(np.concatenate([v3[g], u3[g], w3[g], b_v[b], b_w[b]]))
-        local[used] = np.arange(len(used))
-        r = run[g[:0] if counting else g]
-        places = np.repeat(ends[g[: len(r)]] - np.cumsum(r), r) + np.arange(r.sum())
-        lv = local[v3[g]]
-        yield chunk, s, pack(
-            hashes[used], _least(counts[used]), spread[used] > 1, _least(np.diff(lv, prepend=0)), _least(local[u3[g]]), _least(local[w3[g]]), _least(c3[g]), _least(r), _least(doc[places]),
-            _least(local[b_v[b]]), _least(local[b_w[b]]), _least(b_c[b]),
-        )
-
-
-def _training(got: list[list[np.ndarray]]) -> tuple[np.ndarray, tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """Word hashes of a shard's blocks, and its training trigrams and bigrams over their indices."""
-    vocab = np.unique(np.concatenate([g[0] for g in got]))
-    tri, bi = [[], [], [], []], [[], [], []]
-    for hs, _, hot, dv, u, w, c, _, _, bv, bw, bc in got:
-        at = np.searchsorted(vocab, hs)
-        v = np.cumsum(dv.astype(np.int64))
-        t = c > 0
-        for k, x in enumerate((at[v[t]], at[u[t]], at[w[t]], c[t].astype(np.int64))):
-            tri[k].append(x)
-        own = t & ~hot[v]
-        for k, x in enumerate((at[v[own]], at[w[own]], c[own].astype(np.int64))):
-            bi[k].append(x)
-        for k, x in enumerate((at[bv], at[bw], bc.astype(np.int64))):
-            bi[k].append(x)
-    return vocab, tuple(map(np.concatenate, tri)), tuple(map(np.concatenate, bi))
-
-
-def counts_of_counts(rows: list[tuple]) -> list[int]:
-    """Of a shard's bigrams and then of its trigrams, how many occur once, twice, three and four times."""
-    vocab, tri, bi = _training([unpack(r[2]) for r in rows])
+def _distinct(blocks: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Distinct trigrams of a shard's blocks, sorted: v, u, w, training count, count of (v, w), count of (u, v)."""
+    v, u, w, c3, c2, t3 = (np.concatenate(x) for x in zip(*blocks))
+    vocab = np.unique(np.concatenate([v, u, w]))
     k = np.uint64(max(len(vocab), 1))
-    c2 = _merge(bi[0].astype(np.uint64) * k + bi[1].astype(np.uint64), bi[2], k)[2]
-    return _counts_of_counts(c2) + _counts_of_counts(_trigrams(tri, k)[1])
-
-
-def answer(rows: list[tuple], where: Shards, discounts: tuple[np.ndarray, np.ndarray] | None) -> Iterator[tuple]:
-    """Builds the trie of a shard from its blocks and returns, for each block, the log10 probabilities summed by document."""
-    got = [unpack(r[2]) for r in rows]
-    vocab, tri, bi = _training(got)
-    data = Trie.build(vocab, tri, bi, discounts)
+    key = (np.searchsorted(vocab, v).astype(np.uint64) * k + np.searchsorted(vocab, u).astype(np.uint64)) * k + np.searchsorted(vocab, w).astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    one = order[first]
+    # what the counts of (v, w) and (u, v) are does not depend on the block, but for words that training lacks: there they are 0
+    return [v[one], u[one], w[one], np.add.reduceat(c3[order], first), c2[one], t3[one]]
+
+
+def ratios_of(blobs: list[bytes], words: Words, l2: np.ndarray) -> np.ndarray:
+    """A shard's histogram for order 3."""
+    v, _, w, c3, c2, t3 = _distinct([_block(b) for b in blobs])
+    ok = (c3 > 0) & (t3 > 1)
+    v, w, c3, c2, t3 = v[ok], w[ok], c3[ok], c2[ok], t3[ok]
+    t2 = words.counts(v) - 1
+    p1 = words.p1_without(words.counts(w))
+    l = np.where(t2 > 0, l2[half_octave(t2)], 0.0)
+    low = l * (c2 - 1) / np.maximum(t2, 1) + (1 - l) * p1
+    return ratio_cells(t3 - 1, (c3 - 1) / (t3 - 1), low, c3)
+
+
+def answer(blobs: list[bytes], words: Words, l2: np.ndarray, l3: np.ndarray) -> Iterator[bytes]:
+    """Builds the trie of a shard from its blocks and returns, for each block, the codes of its trigrams' probabilities."""
+    blocks = [_block(b) for b in blobs]
+    data = Trie.build(*_distinct(blocks), words, l2, l3)
     with tempfile.TemporaryFile() as f:  # scratch of this task only
         f.write(data)
         f.flush()
-        del data, tri, bi
+        del data
         trie = Trie(np.memmap(f, np.uint8, mode="r").view(np.ndarray))
-        for row, (hs, c1, _, dv, u, w, _, run, doc, *_) in zip(rows, got):
-            v = np.cumsum(dv.astype(np.int64))
-            p = np.log10(trie.probability(hs, v, u.astype(np.int64), w.astype(np.int64), where.base(c1.astype(np.int64))))
-            s = np.bincount(doc.astype(np.int64), weights=np.repeat(p, run)) if len(doc) else np.empty(0)
-            d = np.unique(doc)
-            yield row[0], row[1], pack(_least(d), s[d.astype(np.int64)])
+        for v, u, w, *_ in blocks:
+            yield pack(_codes(trie.probability(v, u, w, words.p1(words.counts(w)))))
 
 
-OF_COUNTS = "a1 long, a2 long, a3 long, a4 long, b1 long, b2 long, b3 long, b4 long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score(docs: DataFrame, held_out, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Scores of all documents under a model of those for which held_out is not true."""
     spark = docs.sparkSession
-    small_batches(spark)
     chunks = stored(spark, tokenised(docs, held_out), "chunks")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows are blocks of some MB from here on
     size = chunks.agg(F.sum("n_tokens").alias("t"), F.sum("n_words").alias("w"), F.sum("n_train").alias("d")).first()
-    buckets = max(1, -(-(size.w or 0) // BUCKET_WORDS))
-    totals = stored(spark, word_totals(chunks, buckets), "totals")
+    buckets, pair_buckets = max(1, -(-(size.w or 0) // BUCKET)), max(1, -(-(size.t or 0) // (2 * BUCKET)))
+    totals = stored(spark, totals_of(chunks, buckets, pair_buckets), "totals")
     release_shuffles(spark)
-    seen = totals.agg(F.sum("words").alias("w"), F.sum("tokens").alias("t")).first()
-    n_docs = size.d or 0
-    where = Shards(max(1, -(-(size.t or 0) // shard_tokens)), (seen.w or 0) + (n_docs > 0), (seen.t or 0) + n_docs, n_docs, buckets)
+    words = words_of(totals, buckets, size.d or 0)
+    home = Home(max(1, -(-(size.t or 0) // shard_tokens)), shard_tokens)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "chunk"):
-            for row in grams_of(rows[0][2], [(r[1], r[2]) for r in rows[1:]], where, rows[0][0]):
+            for row in grams_of(rows[0][0], rows[0][2], [(r[1], r[2]) for r in rows[1:]], words, home):
                 yield _rows(GRAMS, [row])
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _runs_of_shards(batches):
-            if b[0][1] < 0:
-                yield _rows(GRAMS, b)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a shard; rows that belong to no shard stay alone."""
+        for rows in _runs(batches, "shard"):
+            if rows[0][1] >= 0:
+                yield _rows(SHARDS, [(rows[0][1], [r[0] for r in rows], [r[2] for r in rows])])
             else:
-                for row in answer(b, where, discounts):
-                    yield _rows(GRAMS, [row])
+                for r in rows:
+                    yield _rows(SHARDS, [(r[1], [r[0]], [r[2]])])
+
+    both = chunks.select("chunk", F.lit(-1).cast("long").alias("key"), "blob").unionByName(totals.where("chunk <> -1").select("chunk", "key", "blob"))
+    grams = both.repartition("chunk").sortWithinPartitions("chunk", "key").mapInArrow(emit, GRAMS)
+    # what belongs to a chunk goes by its number, so that it does not meet in one task
+    to = F.when(F.col("shard") < 0, F.col("chunk")).otherwise(F.col("shard").cast("long"))
+    shards = grams.withColumn("to", to).repartition("to").sortWithinPartitions("shard", "chunk").select("chunk", "shard", "blob").mapInArrow(keep, SHARDS)
+    shards = stored(spark, shards, "shards")
+    drop_stored(spark, chunks, totals)
+    release_shuffles(spark)
+
+    def histogram(rows: DataFrame, of) -> np.ndarray:
+        """Sum of histograms over rows: at most HALVES * BINS sums come to the driver."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(HALVES * BINS)
+            for b in pieces(batches, 1):
+                total += of(b.column("blobs")[0].as_py())
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.float64())], names=["cell", "n"])
+
+        out = np.zeros(HALVES * BINS)
+        sums = rows.select("blobs").mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        out[sums["cell"].to_numpy(np.int64)] = sums["n"].to_numpy(np.float64)
+        return out
+
+    def sent(blobs: list[bytes]) -> np.ndarray:
+        out = np.zeros(HALVES * BINS)
+        for at, n in map(unpack, blobs):
+            out[at] += n
+        return out
+
+    l2 = fitted_weights(histogram(shards.where(F.col("shard") == RATIOS), sent))
+    l3 = fitted_weights(histogram(shards.where("shard >= 0"), lambda blobs: ratios_of(blobs, words, l2)))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1):
+            shard, numbers, blobs = (c[0].as_py() for c in b.columns)
+            for number, found in zip(numbers, answer(blobs, words, l2, l3) if shard >= 0 else blobs):
+                yield _rows(GRAMS, [(number, shard, found)])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "chunk"):
-            ids, none, held, n_tokens, n_known, base = unpack(rows[0][2])
-            total = np.zeros(len(ids))
-            for r in rows[1:]:
-                d, s = unpack(r[2])
-                total[d.astype(np.int64)] += s
+            ids, none, held, n_tokens, n_known, base, run, doc = unpack(rows[0][2])
+            codes = np.concatenate([unpack(r[2])[0] for r in rows[1:]])
+            total = np.bincount(doc, weights=np.repeat(codes / -STEP, run), minlength=len(ids))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=none), pa.array(held), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(ids), where.tokens, np.int64)), pa.array(base), pa.array(total)],
+                [pa.array(ids, mask=none), pa.array(held), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(ids), words.tokens, np.int64)), pa.array(base), pa.array(total)],
                 names=[c.split()[0] for c in SCORES.split(", ")],
             )
 
-    def emit_training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, "chunk"):
-            for row in grams_of(rows[0][2], [(r[1], r[2]) for r in rows[1:]], where, rows[0][0], True):
-                yield _rows(GRAMS, [row])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _runs_of_shards(batches):
-            yield _rows(OF_COUNTS, [tuple(counts_of_counts(b))])
-
-    both = chunks.select("chunk", F.lit(-1).alias("bucket"), "blob").unionByName(totals.select("chunk", "bucket", "blob"))
-    both = both.repartition("chunk").sortWithinPartitions("chunk", "bucket")
-    discounts = None  # a single shard holds all n-grams
-    if where.n > 1:
-        training = both.mapInArrow(emit_training, GRAMS).repartition("shard").sortWithinPartitions("shard", "chunk")
-        n = [x or 0 for x in training.mapInArrow(count, OF_COUNTS).groupBy().sum().first()]
-        discounts = _discounts_from(n[:4]), _discounts_from(n[4:])
-        del training
-        release_shuffles(spark)
-    grams = both.mapInArrow(emit, GRAMS)
-    # documents' own figures travel with their chunk's number, so that they do not meet in one task
-    to = F.when(F.col("shard") < 0, F.col("chunk")).otherwise(F.col("shard").cast("long"))
-    found = grams.withColumn("to", to).repartition("to").sortWithinPartitions("shard", "chunk").select("chunk", "shard", "blob").mapInArrow(look_up, GRAMS)
-    return found.repartition("chunk").sortWithinPartitions("chunk", "shard").mapInArrow(gather, SCORES)
-
-
-def _runs_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows of one shard together; rows without a shard one by one."""
-    held: list[tuple] = []
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns)):
-            if held and (held[0][1] != row[1] or row[1] < 0):
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
+    found = shards.where(F.col("shard") != RATIOS).mapInArrow(look_up, GRAMS)
+    out = stored(spark, found.repartition("chunk").sortWithinPartitions("chunk", "shard").mapInArrow(gather, SCORES), "scores")
+    drop_stored(spark, shards)
+    return out
 
 
 def op1_ef_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
