@@ -285,10 +285,10 @@ def _members(spark, sf):
 
 
 @query(f"""WITH {_MEMBERS}, e AS (SELECT component, lift, 1 / pow(lift / z, 2) AS w FROM m WHERE z IS NOT NULL AND abs(lift / z) > 1e-9), s AS (SELECT component, count(*) AS n, sum(w) w, sum(w * lift) wl FROM e GROUP BY 1), q AS (SELECT component, sum(e.w * pow(lift - wl / s.w, 2)) AS q FROM e JOIN s USING (component) GROUP BY 1)
-SELECT component, n AS n_scored, round(wl / w, 4) AS pooled_lift, round(wl / w * sqrt(w), 3) AS pooled_z, round(q, 2) AS q FROM s JOIN q USING (component)""")
+SELECT component, n AS n_scored, round(wl / w, 4) AS pooled_lift, round(wl / w * sqrt(w), 3) AS pooled_z, round(q, 3) AS q FROM s JOIN q USING (component)""")
 def pool_q(spark, sf):
     """The p-value of Q is checked by tests, as DuckDB has no chi-square tail."""
-    return cluster.pool_and_q(_members(spark, sf), ["component"]).select("component", "n_scored", "pooled_lift", "pooled_z", F.round("q", 2).alias("q"))
+    return cluster.pool_and_q(_members(spark, sf), ["component"]).select("component", "n_scored", "pooled_lift", "pooled_z", "q")
 
 
 @query("""WITH c AS (SELECT o_custkey % 50 AS component, count(*) AS size, count(DISTINCT o_orderpriority) AS n_repos, sum(o_orderkey % 9)::BIGINT AS support_total FROM orders GROUP BY 1)
