@@ -46,9 +46,17 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 
 
 def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = shared_dir(spark, what)
-    df.write.parquet(path)
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    While it is written Python gets few rows at a time, as they can be long; the session has its own setting again afterwards.
+    """
+    path, key = shared_dir(spark, what), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, own)
     return spark.read.schema(df.schema).parquet(path)
 
 
