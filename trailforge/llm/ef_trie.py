@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 from .common import WordHash, crc_mod, drop_stored, least, mix, pack, pieces, release_shuffles, stored, table, unpack, word_hashes
 
 #: Tokens in a chunk, tokens in a shard, words or bigrams in a bucket.
-CHUNK_TOKENS = 1_500_000
-SHARD_TOKENS = 2_000_000
-BUCKET = 2_000_000
+CHUNK_TOKENS = 750_000
+SHARD_TOKENS = 1_500_000
+BUCKET = 1_000_000
 BOS, END = np.uint64(1), np.uint64(2)
 #: Ids of words that training lacks, of the begin and the end of a text; other words' ids follow.
 UNKNOWN, BEGIN, STOP, FIRST_ID = 0, 1, 2, 3
