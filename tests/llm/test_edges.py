@@ -19,8 +19,8 @@ def docs_of(spark, rows):
 @pytest.fixture(scope="module")
 def long_docs(spark):
     r = random.Random(1)
-    w = [f"w{r.randrange(5000)}" for _ in range(150_000)]
-    w[140_000:140_000] = [f"q{k}" for k in range(40)]
+    w = [f"w{r.randrange(5000)}" for _ in range(60_000)]
+    w[50_000:50_000] = [f"q{k}" for k in range(40)]
     text = "\n".join(" ".join(w[k : k + 20]) for k in range(0, len(w), 20)) + "\nmail me at someone@example.org now.\nReleased under the MIT License\n"
     rows = [(1, text), (2, text.replace("w1 ", "w1x ")), (3, "short text of a few words here"), (4, None), (5, ""), (None, "short text of a few words here")]
     return rows, docs_of(spark, rows)
@@ -37,7 +37,8 @@ def test_very_long_texts_and_clashing_columns(spark, long_docs):
     two = by_id(prefix_hash.compare_with_next(d))
     assert two[1].n_chars == len(text) and two[4].n_chars == 0 and two[1].fingerprint != two[2].fingerprint
     three = by_id(partenum.near_duplicates(d))
-    s = {tuple(text.split()[k : k + 5]) for k in range(len(text.split()) - 4)}
+    w = text.split()
+    s = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
     assert three[1].n_shingles == len(s) and three[2].component_id == 1 and three[None].component_id == 3 and three[4].component_id == 4 and three[5].n_shingles == 0
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
     four = by_id(line_crf.classify(d, line_crf.train(d, labels)))
@@ -55,7 +56,7 @@ def test_very_long_texts_and_clashing_columns(spark, long_docs):
     nine = by_id(licence.scan(d))
     assert nine[1].licences == ["MIT"] and nine[4].licences == []
     ten = spaced_seed.overlaps(d, spark.createDataFrame([(7, " ".join(f"q{k}" for k in range(40)), "x")], "item_id long, text string, doc_id string"))
-    assert sorted(tuple(r) for r in ten.collect()) == [(1, 7, 140_000, 40, 40), (2, 7, 140_000, 40, 40)]
+    assert sorted(tuple(r) for r in ten.collect()) == [(1, 7, 50_000, 40, 40), (2, 7, 50_000, 40, 40)]
 
 
 def test_session_is_left_as_it_was(spark):
@@ -185,3 +186,15 @@ def test_likeness_against_dice(spark):
         dice = 2 * len(x & y) / (len(x) + len(y))
         got = prefix_hash.Prefixes(a).fingerprint().likeness(prefix_hash.Prefixes(b).fingerprint())
         assert got == pytest.approx(dice, abs=0.25)
+
+
+def test_word_memory_overflows(monkeypatch):
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    monkeypatch.setattr(wavelet, "CACHE_IDS", 50)
+    own, r = wavelet.WordTokenizer(P.path("word_bpe_49k.json"), True), random.Random(7)
+    for _ in range(30):
+        texts = [" ".join(f"{r.choice('abcdef')}{r.choice('ghijkl')}{r.randrange(9)}" for _ in range(40)) for _ in range(3)]
+        ids, n = own.encode(pa.array(texts), 2)
+        assert ids.tolist() == [i for t in texts for i in [*own.tok.encode(t, add_special_tokens=False).ids, 2]] and n.sum() == len(ids)

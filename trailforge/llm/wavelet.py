@@ -245,7 +245,8 @@ class WordTokenizer:
         young = self.young
         new = [w for w in words if w not in young]
         if len(young) + len(new) > CACHE_IDS:
-            self.young, self.old = young, new = {}, young, words
+            self.old, young, new = young, {}, words
+            self.young = young
         if self.old:
             again = {w: self.old[w] for w in new if w in self.old}
             young.update(again)
