@@ -147,3 +147,16 @@ def test_registered_queries_over_all_ids_and_rules(spark):
     got = {r.rule_id: (r.status, r.reason) for r in q["score_rules"](spark, sf).collect()}
     assert set(got) == {f"{x}:{n}" for x in repos for n in names}
     assert all(got[f"{x}:none"] == ("fallback", "no_predicate") and got[f"{x}:bad"][0] == "fallback" and got[f"{x}:bad"][1].startswith("predicate_error") for x in repos)
+
+
+def test_replay_of_prompts_that_recur(spark, tmp_path):
+    from trailforge.plans import registry
+
+    rows = [(1, 0, "user", "hi"), (1, 1, "user", "hi"), (2, 3, "user", "hi"), (2, 2, "user", "hi"), (3, 2, "user", "hi"), (3, 5, "user", "else"), (4, 0, "user", None), (4, 1, None, "x"), (5, None, "user", "hi")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(registry.QUERIES["replay_join"](spark, str(tmp_path)).collect(), key=str)
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(con.execute(registry.ORACLE["replay_join"]).fetchall(), key=str)
+    assert sorted(map(tuple, got), key=str) == want and len(got) == len(rows)

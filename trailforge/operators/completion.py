@@ -19,10 +19,13 @@ def prompt_key(model: Column, system: Column, user: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", model, system, user), 256)
 
 
-def replay(requests: DataFrame, replies: DataFrame) -> DataFrame:
-    """requests(model, system, user, ...) with the stored reply to each; without one the reply columns are null."""
+def replay(requests: DataFrame, replies: DataFrame, at: tuple[str, ...] = ()) -> DataFrame:
+    """requests(model, system, user, ...) with the stored reply to each; without one the reply columns are null.
+
+    Replies hold for a prompt wherever it is asked, or with `at` for the request that has the same values in those columns of both.
+    """
     keyed = requests.withColumn("prompt_key", prompt_key(F.col("model"), F.col("system"), F.col("user")))
-    return keyed.join(replies, "prompt_key", "left")
+    return keyed.join(replies, ["prompt_key", *at], "left")
 
 
 def live(requests: DataFrame, call: Callable[[str, str, str], tuple[str, int, int, str]], attempts: int = 4, wait: float = 2.0) -> DataFrame:
