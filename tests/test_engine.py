@@ -149,6 +149,20 @@ def test_registered_queries_over_all_ids_and_rules(spark):
     assert all(got[f"{x}:none"] == ("fallback", "no_predicate") and got[f"{x}:bad"][0] == "fallback" and got[f"{x}:bad"][1].startswith("predicate_error") for x in repos)
 
 
+def test_mcnemar_in_sql_functions(spark):
+    from trailforge.functions.stats import mcnemar_column
+
+    cases = [(0, 0), (0, 5), (1, 0), (1, 1), (3, 3), (7, 2), (20, 21), (40, 13), (300, 350), (2000, 2100), (1500, 100)]
+    got = spark.createDataFrame(cases, "b long, c long").select("b", "c", mcnemar_column(F.col("b"), F.col("c")).alias("p")).collect()
+    assert len(got) == len(cases)
+    for r in got:
+        assert r.p == pytest.approx(mcnemar_p(r.b, r.c), rel=1e-9), r
+    # counts of a large table: the exact p is the normal one there, up to its continuity correction
+    b, c = 500_000_000, 500_050_000
+    big = spark.createDataFrame([(b, c)], "b long, c long").select(mcnemar_column(F.col("b"), F.col("c")).alias("p")).first()
+    assert big.p == pytest.approx(math.erfc((c - b - 1) / math.sqrt(b + c) / math.sqrt(2)), rel=1e-6)
+
+
 def test_replay_of_prompts_that_recur(spark, tmp_path):
     from trailforge.plans import registry
 

@@ -45,18 +45,27 @@ def mcnemar_p(b: int, c: int) -> float:
     return 1.0 if n == 0 else min(1.0, 2 * sum(math.comb(n, k) for k in range(min(b, c) + 1)) / 2**n)
 
 
-def mcnemar_column(b: Column, c: Column) -> Column:
-    """The same in SQL functions: binomial terms by logarithms of factorials."""
-
-    def log_choose(n: Column, k: Column) -> Column:
-        def lf(x: Column) -> Column:
-            return F.aggregate(F.sequence(F.lit(0), x.cast("int")), F.lit(0.0), lambda a, i: a + F.when(i > 1, F.log(i.cast("double"))).otherwise(0.0))
+def _stirling_rest(x: Column) -> Column:
+    """log(x!) less Stirling's (x + 1/2) log(x) - x + log(2 pi) / 2, for whole x from 1 on."""
+    small = F.log(F.factorial(F.least(x, F.lit(20)).cast("int")).cast("double")) - (x + 0.5) * F.log(x) + x - 0.5 * math.log(2 * math.pi)
+    return F.when(x <= 20, small).otherwise(1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7))))
 
-        return lf(n) - lf(k) - lf(n - k)
 
-    n = b + c
-    tail = F.aggregate(F.sequence(F.lit(0), F.least(b, c).cast("int")), F.lit(0.0), lambda a, k: a + F.exp(log_choose(n, k) - n * math.log(2)))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+def mcnemar_column(b: Column, c: Column) -> Column:
+    """The same in SQL functions: the tail's largest term, times the sum of all terms relative to it.
+
+    Term j is at most exp(-2 j (j - 1) / n) of the largest one, so all terms beyond 20 sqrt(n) + 2 are 0 as doubles.
+    """
+    n, m = (b + c).cast("double"), F.least(b, c).cast("double")
+    off = (n - 2 * m) / n
+    apart = F.when(off < 0.5, m * F.log1p(-off) + (n - m) * F.log1p(off)).otherwise(m * F.log(2 * m / n) + (n - m) * F.log(2 * (n - m) / n))
+    largest = F.sqrt(n / (2 * math.pi * m * (n - m))) * F.exp(_stirling_rest(n) - _stirling_rest(m) - _stirling_rest(n - m) - apart)
+    largest = F.when(m == 0, F.exp(-n * math.log(2))).otherwise(largest)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"))
+    step = lambda a, j: F.struct((a["term"] * (m - j) / (n - m + j + 1)).alias("term"), (a["sum"] + a["term"]).alias("sum"))
+    terms = F.sequence(F.lit(0).cast("long"), F.least(m, F.ceil(20 * F.sqrt(n)) + 2).cast("long"))
+    total = F.aggregate(terms, start, step, lambda a: a["sum"])
+    return F.when(b + c == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * largest * total))
 
 
 def phi(n: Column, n11: Column, n1: Column, n2: Column) -> Column:
