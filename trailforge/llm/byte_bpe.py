@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, pieces, stored, strings, table
+from .common import CACHE_WORDS, pieces, stored, strings, table, trimmed
 
 #: Characters of a chunk, and those that it shares with the next one.
 CHUNK = 1 << 12
@@ -176,7 +176,7 @@ def _chunk_rows(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
                     cols = [pa.array([row] * len(some), pa.int64()), pa.array([doc_id] * len(some), pa.int64()), pa.array(range(at, at + len(some)), pa.int32()), pa.array([len(spans)] * len(some), pa.int32())]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array([x for x, _ in some], pa.int64()), pa.array([text[x:y] for x, y in some], pa.string())], names=["row", "doc_id", "no", "n", "start", "part"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, no int, n int, start long, part string")
+    return docs.select("row", "doc_id", "text").mapInArrow(trimmed(run), "row long, doc_id long, no int, n int, start long, part string")
 
 
 def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
@@ -199,7 +199,7 @@ def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: i
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "no", "n")), pa.array(head, kind), pa.array(tail, kind)], names=["row", "no", "n", "head", "tail"])
 
-    known = chunks.mapInArrow(borders, "row long, no int, n int, head array<bigint>, tail array<bigint>")
+    known = chunks.mapInArrow(trimmed(borders), "row long, no int, n int, head array<bigint>, tail array<bigint>")
     w = W.partitionBy("row").orderBy("no")  # the chunks of one text
     known = known.withColumn("first", F.array_min(F.array_intersect(F.lag("tail").over(w), "head"))).withColumn("last", F.array_min(F.array_intersect("tail", F.lead("head").over(w))))
     lost = ((F.col("no") > 0) & F.col("first").isNull()) | ((F.col("no") + 1 < F.col("n")) & F.col("last").isNull())
@@ -216,7 +216,7 @@ def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: i
                 out.append(bpe.merged([part[i:j] for i, j in zip([begin, *ends], ends)]).astype("int32"))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "doc_id", "no")), pa.array(out, pa.list_(pa.int32()))], names=["row", "doc_id", "no", "ids"])
 
-    sure = chunks.join(known.where("NOT lost"), ["row", "no"]).mapInArrow(merge, "row long, doc_id long, no int, ids array<int>")
+    sure = chunks.join(known.where("NOT lost"), ["row", "no"]).mapInArrow(trimmed(merge), "row long, doc_id long, no int, ids array<int>")
     sure = sure.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +227,7 @@ def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: i
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([bpe.encode(text).astype("int32")], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     odd = chunks.join(known.where("lost"), ["row", "no"]).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("no", "part")).alias("parts"))
-    return sure.select("doc_id", "ids").unionByName(odd.select("doc_id", "parts").mapInArrow(whole, "doc_id long, ids array<int>"))
+    return sure.select("doc_id", "ids").unionByName(odd.select("doc_id", "parts").mapInArrow(trimmed(whole), "doc_id long, ids array<int>"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, long: int = LONG) -> DataFrame:
@@ -257,8 +257,8 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, long
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     large = F.coalesce(F.length("text") > long, F.lit(False))
-    short = texts.where(~large).mapInArrow(run, schema)
-    return short.unionByName(encode_long(texts.where(large), path, pattern, CHUNK, OVERLAP).mapInArrow(close, schema))
+    short = texts.where(~large).mapInArrow(trimmed(run), schema)
+    return short.unionByName(encode_long(texts.where(large), path, pattern, CHUNK, OVERLAP).mapInArrow(trimmed(close), schema))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -270,7 +270,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             out = [bpe.decode(np.array(x or [], np.int64)) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, decoded binary")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Rows here are whole documents or packed blocks, so a batch stays small.
 BATCH_ROWS = 256
+#: Settings while a table is written to the shared folder.
+WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: Text bytes in a piece of a batch.
 PIECE_BYTES = 1 << 20
 #: Words a worker remembers before it starts afresh; bounds its memory, never its results.
@@ -48,15 +51,18 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    While it is written Python gets few rows at a time, as they can be long; the session has its own setting again afterwards.
+    While it is written Python gets few rows at a time, as they can be long, and the shuffle files of this write go as it
+    ends; the session has its own settings again afterwards.
     """
-    path, key = shared_dir(spark, what), "spark.sql.execution.arrow.maxRecordsPerBatch"
-    own = spark.conf.get(key)
-    spark.conf.set(key, str(BATCH_ROWS))
+    path = shared_dir(spark, what)
+    own = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(key, own)
+        for k, v in own.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,6 +82,20 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker gives freed memory back to the system, as idle workers count for their executor too."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+    return whole
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of Spark's batches in smaller ones, of about size bytes of text each; a longer text is a piece alone.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import crc_mod, pieces, strings, table
+from .common import crc_mod, pieces, strings, table, trimmed
 
 TRAIN_DOCS = 4000
 #: Lines, padded to the longest document, that are worked on together in fitting.
@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, train_docs: int = T
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "quality", "features", "lengths"])
 
     # features of the sample's lines come to the driver, not texts: 120 bytes a line
-    got = rows.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, features binary, lengths binary").orderBy("doc_id").collect()
+    got = rows.select("doc_id", "text", "quality").mapInArrow(trimmed(run), "doc_id long, quality int, features binary, lengths binary").orderBy("doc_id").collect()
     return Crf.fit_features([(np.frombuffer(r.features).reshape(-1, OWN), np.frombuffer(r.lengths)) for r in got], [r.quality for r in got])
 
 
@@ -225,7 +225,7 @@ def classify(docs: DataFrame, crf: Crf) -> DataFrame:
             s = crf.score(strings(b)) if b.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHash, drop_stored, factors, least, mix, pack, pieces, release_shuffles, stored, table, unpack, word_hashes
+from .common import WordHash, drop_stored, factors, least, mix, pack, pieces, release_shuffles, stored, table, trimmed, unpack, word_hashes
 from .components import components
 from .url_filter import BlockedBloom
 
@@ -275,8 +275,8 @@ def shared_signatures(docs: DataFrame) -> DataFrame:
             for at in range(0, len(sig), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)].view(np.int64)) for a in (sig, node)], names=["sig", "node"])
 
-    rows = texts.mapInArrow(emit, PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(meet, "sig long, node long")
+    rows = texts.mapInArrow(trimmed(emit), PACKED).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(trimmed(meet), "sig long, node long")
 
 
 def set_table(docs: DataFrame, bloom: BlockedBloom) -> DataFrame:
@@ -303,7 +303,7 @@ def set_table(docs: DataFrame, bloom: BlockedBloom) -> DataFrame:
             cols = [b.column("doc_id"), b.column("text_key"), pa.array(size, pa.int64()), pa.array(node.view(np.int64), mask=size == 0), members, pa.array(sk, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "n_shingles", "node", "members", "sketch"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long, members array<bigint>, sketch binary")
+    return _texts(docs).mapInArrow(trimmed(run), "doc_id long, text_key long, n_shingles long, node long, members array<bigint>, sketch binary")
 
 
 def likely(pairs: DataFrame, light: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def likely(pairs: DataFrame, light: DataFrame) -> DataFrame:
     x = pairs.join(light.select(F.col("node").alias("a"), "n", F.col("sketch").alias("s")), "a")
     x = x.join(light.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("t")), "b")
     x = x.where("5 * n >= 4 * m AND 5 * m >= 4 * n")
-    return x.select("a", "b", "n", "m", "s", "t").mapInArrow(run, "a long, b long")
+    return x.select("a", "b", "n", "m", "s", "t").mapInArrow(trimmed(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -389,7 +389,7 @@ def in_question(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, group)), pa.array((side[hit] != side[0]).astype(np.int64)), pa.array(label[hit]), pa.array(node[hit])], names=["group", "side", "label", "node"])
 
     dealt = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return dealt.mapInArrow(run, "group long, side long, label long, node long").distinct()
+    return dealt.mapInArrow(trimmed(run), "group long, side long, label long, node long").distinct()
 
 
 def joining_links(rows: DataFrame) -> DataFrame:
@@ -415,7 +415,7 @@ def joining_links(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
     rows = rows.select("group", "side", "label", "node", "n", "sketch", "members")
-    return rows.repartition("group").sortWithinPartitions("group", "side", "node").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("group").sortWithinPartitions("group", "side", "node").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

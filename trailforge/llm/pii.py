@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, strings, table
+from .common import pieces, strings, table, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -245,7 +245,7 @@ def detect(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), schema)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def redacted(docs: DataFrame) -> DataFrame:
             cols[names.index("text")] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    done = docs.mapInArrow(run, docs.schema)
+    done = docs.mapInArrow(trimmed(run), docs.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         done = done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pieces, stored, strings, table
+from .common import pieces, stored, strings, table, trimmed
 
 P31 = (1 << 31) - 1
 BASES = (1_103_515_245, 1_610_612_741)
@@ -205,7 +205,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         if held is not None:
             yield rows(block, [(held.doc_id, *[None] * 8)], "last", held.text)
 
-    done = stored(spark, in_order(docs).mapInArrow(run, "block int, end string, text string, " + SCHEMA), "compared")
+    done = stored(spark, in_order(docs).mapInArrow(trimmed(run), "block int, end string, text string, " + SCHEMA), "compared")
     ends = done.where("end <> ''").select("block", "end", "doc_id", "text")
     first, last = ends.where("end = 'first'"), ends.where("end = 'last'")
     w = W.orderBy("block")  # a number a block
@@ -217,7 +217,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             out = [_Row(i, t).against(_Row(None, a)) for i, t, a in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "after")))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_TYPES)], names=NAMES)
 
-    return done.where("end = ''").select(*NAMES).unionByName(met.select("doc_id", "text", "after").mapInArrow(close, SCHEMA))
+    return done.where("end = ''").select(*NAMES).unionByName(met.select("doc_id", "text", "after").mapInArrow(trimmed(close), SCHEMA))
 
 
 def op2_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, factors, mix, pieces, stored, strings, table
+from .common import WordHash, factors, mix, pieces, stored, strings, table, trimmed
 from .url_filter import BlockedBloom
 
 SPAN = 11
@@ -80,10 +80,10 @@ def item_seeds(items: DataFrame) -> tuple[DataFrame, DataFrame]:
             cols = [pa.array(cat(hs, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(cat(pos, np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=["hash", "item_id", "text_key", "pos"])
 
-    words = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL").mapInArrow(cut, "item_id long, words binary, n int")
+    words = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL").mapInArrow(trimmed(cut), "item_id long, words binary, n int")
     words = words.withColumn("text_key", F.xxhash64("words")).dropDuplicates(["item_id", "text_key"])
     words = stored(items.sparkSession, words, "items")
-    return words, words.select("item_id", "text_key", "words").mapInArrow(seeds, "hash long, item_id long, text_key long, pos int")
+    return words, words.select("item_id", "text_key", "words").mapInArrow(trimmed(seeds), "hash long, item_id long, text_key long, pos int")
 
 
 def _segments(hits: np.ndarray, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -159,7 +159,7 @@ def overlaps(docs: DataFrame, items: DataFrame, blooms: int | None = None) -> Da
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    found = texts.mapInArrow(scan, "doc_id long, start int, words binary, hashes array<bigint>, places array<int>")
+    found = texts.mapInArrow(trimmed(scan), "doc_id long, start int, words binary, hashes array<bigint>, places array<int>")
     found = stored(spark, found.withColumn("segment", F.xxhash64("start", "words")), "segments")
     hits = found.select("doc_id", "segment", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("doc_id", "segment", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
     # a hash that a text and an item repeat joins once, and gives no more diagonals than both have places
@@ -184,7 +184,7 @@ def overlaps(docs: DataFrame, items: DataFrame, blooms: int | None = None) -> Da
                         out.append((r["doc_id"], r["item_id"], r["start"] + lo + a, e - a, m))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(5)], names=["doc_id", "item_id", "start_word", "n_words", "n_matched"])
 
-    checked = pairs.mapInArrow(verify, "doc_id long, item_id long, start_word long, n_words long, n_matched long")
+    checked = pairs.mapInArrow(trimmed(verify), "doc_id long, item_id long, start_word long, n_words long, n_matched long")
     best = checked.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("n_matched")).alias("m"), "start_word", "n_words")).alias("b"))
     return best.select("doc_id", "item_id", "b.start_word", "b.n_words", (-F.col("b.m")).alias("n_matched"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, table, trimmed
 
 #: Bits of a block.
 BLOCK = 1 << 17
@@ -311,7 +311,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, shard_bytes:
             cols = [pa.array([docs_], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([sum(lens)], pa.int64()), pa.array([blob], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_ids", "lengths", "n_ids", "blob"])
 
-    made = dealt.mapInArrow(run, "doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, blob binary")
+    made = dealt.mapInArrow(trimmed(run), "doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, blob binary")
     path = shared_dir(spark, "wavelet")
     made.withColumn("shard", F.spark_partition_id()).write.parquet(path)
     return spark.read.schema("doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, blob binary, shard int").parquet(path)
@@ -339,7 +339,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     joined = shards.join(starts(shards), "shard").select("doc_ids", "lengths", "before", "blob")
-    return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return joined.mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
