@@ -1,11 +1,13 @@
 """What operators leave on disk and in memory while they run."""
 
 import os
+import random
+import string
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from trailforge.llm import common
+from trailforge.llm import common, partenum
 
 
 def shuffle_files(spark) -> set[str]:
@@ -34,3 +36,16 @@ def test_workers_give_memory_back(monkeypatch):
     monkeypatch.setattr(common.ctypes, "CDLL", lambda name: type("C", (), {"malloc_trim": staticmethod(asked.append)}))
     b = pa.RecordBatch.from_arrays([pa.array([1, 2])], names=["x"])
     assert list(common.trimmed(lambda batches: (x for x in batches))(iter([b, b]))) == [b, b] and asked == [0]
+
+
+def test_signature_buckets_are_no_more_than_needed(spark):
+    rng = random.Random(7)
+    vocab = ["".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(n)) for n in (40, 150, 400, 1200) for _ in range(20)]
+    wh = common.WordHash()
+    x, owner = partenum.shingle_sets(*common.word_hashes(pa.array(texts), wh))
+    import numpy as np
+
+    sig, _ = partenum.all_signatures(x, owner, np.bincount(owner, minlength=len(texts)))
+    per = sum(map(len, texts)) / len(sig)
+    assert per / 2 < partenum.BYTES_PER_SIGNATURE < 2 * per

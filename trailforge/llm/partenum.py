@@ -42,8 +42,9 @@ WIDTH = 5
 #: Signatures of a chunk, within which sets with a common one are brought together before the shuffle; of a bucket; and bits of
 #: each that are kept, as a chance meeting costs a comparison, not a link.
 CHUNK, BUCKET, SIG_BITS = 1 << 19, 1 << 20, 48
-#: About how many bytes of text make a signature; it only sets the number of buckets.
-BYTES_PER_SIGNATURE = 5
+#: About how many bytes of text make a signature; it only sets the number of buckets. A chunk names its sets once in every bucket, so
+#: more buckets than needed cost disk.
+BYTES_PER_SIGNATURE = 16
 #: Nodes whose sets a task remembers having sent, to send copies once.
 SENT = 500_000
 #: Sets, and their elements, in a block of a group; larger groups are cut into several.
