@@ -7,7 +7,7 @@ import string
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from trailforge.llm import common, partenum
+from trailforge.llm import common, ef_trie, partenum
 
 
 def shuffle_files(spark) -> set[str]:
@@ -38,6 +38,22 @@ def test_workers_give_memory_back(monkeypatch):
     assert list(common.trimmed(lambda batches: (x for x in batches))(iter([b, b]))) == [b, b] and asked == [0]
 
 
+def test_trie_shuffles_a_part_at_a_time(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(60)) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(ef_trie, "CHUNK_TOKENS", 100)
+    made = []
+    monkeypatch.setattr(ef_trie, "stored", lambda s, df, what: made.append((what, out := common.stored(s, df, what), out.count())) or out)
+    cut = {r.doc_id: r.score for r in ef_trie.score(docs, ef_trie.crc_mod(10) == 0, 300).collect()}
+    assert sum(w == "grams" for w, *_ in made) == ef_trie.ROUNDS
+    rows = [n for w, _, n in made if w == "found"]
+    assert len(rows) == ef_trie.ROUNDS and max(rows) < 0.7 * sum(rows)
+    monkeypatch.setattr(ef_trie, "ROUNDS", 10**9)  # all at once
+    whole = {r.doc_id: r.score for r in ef_trie.score(docs, ef_trie.crc_mod(10) == 0, 300).collect()}
+    assert set(cut) == set(range(80)) and all(abs(cut[k] - whole[k]) < 1e-9 for k in cut)
+
+
 def test_signature_buckets_are_no_more_than_needed(spark):
     rng = random.Random(7)
     vocab = ["".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9))) for _ in range(3000)]

@@ -17,8 +17,9 @@ Flow: documents are tokenised once into chunks with a vocabulary of their own (s
 in packed rows, one a bucket that they meet, and get back total counts, and for a word its rank among those of its count,
 from which its global id follows; ids show their words' counts. Then every chunk sends its distinct trigrams, with
 training counts, to the shards of their contexts. A shard is chosen by the middle word v, for a frequent v by u too, and for a
-frequent (u, v) by w too, so that none is larger than the others; totals travel with the trigrams. Shards are stored, one row each, for
-the fit of l3 and the look-ups; these return a code for each trigram, and a chunk sums them by document.
+frequent (u, v) by w too, so that none is larger than the others; totals travel with the trigrams. Blocks of trigrams are stored
+and meet in their shards twice, for the fit of l3 and for the look-ups; these return a code for each trigram, and a chunk sums them
+by document. What is shuffled beside stored tables is a quarter of the chunks, or of the shards, at a time.
 
 Defined results: a null or empty text is one end token; rows with a null doc_id train and are scored, held_out
 false; repeated rows each get a row; with no training tokens every probability is the base one (V = N = 0); an empty table gives
@@ -31,13 +32,14 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, crc_mod, drop_stored, least, mix, pack, pieces, release_shuffles, stored, table, unpack, word_hashes
+from .common import WordHash, crc_mod, drop_stored, least, mix, pack, pieces, release_shuffles, stored, table, trimmed, unpack, word_hashes
 
 #: Tokens in a chunk, tokens in a shard, words or bigrams in a bucket.
 CHUNK_TOKENS = 750_000
@@ -46,6 +48,8 @@ BUCKET = 1_000_000
 BOS, END = np.uint64(1), np.uint64(2)
 #: Ids of words that training lacks, of the begin and the end of a text; other words' ids follow.
 UNKNOWN, BEGIN, STOP, FIRST_ID = 0, 1, 2, 3
+#: Parts that the shuffles of trigrams are cut into.
+ROUNDS = 4
 #: Counts up to EXACT are classes of their own; beyond, classes are 1/STEP of a decade.
 EXACT = 4096
 #: Half octaves of context counts; bins of the likelihood ratio: none, then FINE to an octave round 1.
@@ -353,7 +357,7 @@ def _by_frequency(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _rows(schema: str, batches: list[tuple]) -> pa.RecordBatch:
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<binary>": pa.list_(pa.binary()), "array<bigint>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
     types = [kinds[c.split()[1]] for c in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in batches], t) for i, t in enumerate(types)], names=names)
 
@@ -395,7 +399,7 @@ def tokenised(docs: DataFrame, held_out) -> DataFrame:
         if ids:
             yield close()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out")).mapInArrow(run, CHUNKS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out")).mapInArrow(trimmed(run), CHUNKS)
 
 
 class Chunk:
@@ -483,8 +487,8 @@ def totals_of(chunks: DataFrame, word_buckets: int, pair_buckets: int) -> DataFr
                 out.append((chunk, key, 0, 0, pack(least(c[i]), least(rank[i])) if key % 2 == 0 else pack(least(c[i]))))
             yield _rows(TOTALS, out)
 
-    sent = chunks.select("chunk", "blob").mapInArrow(emit, TOTALS)
-    return sent.repartition(word_buckets + pair_buckets, "key").sortWithinPartitions("key").mapInArrow(total, TOTALS)
+    sent = chunks.select("chunk", "blob").mapInArrow(trimmed(emit), TOTALS)
+    return sent.repartition(word_buckets + pair_buckets, "key").sortWithinPartitions("key").mapInArrow(trimmed(total), TOTALS)
 
 
 def words_of(totals: DataFrame, buckets: int, docs: int) -> Words:
@@ -516,7 +520,6 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[tuple]]:
 
 
 GRAMS = "chunk long, shard int, blob binary"
-SHARDS = "shard int, chunks array<bigint>, blobs array<binary>"
 #: Rows of grams_of() beside those of shards: documents' figures, and a histogram of ratios.
 DOCS, RATIOS = -1, -2
 
@@ -644,37 +647,36 @@ def score(docs: DataFrame, held_out, shard_tokens: int = SHARD_TOKENS) -> DataFr
             for row in grams_of(rows[0][0], rows[0][2], [(r[1], r[2]) for r in rows[1:]], words, home):
                 yield _rows(GRAMS, [row])
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row a shard; rows that belong to no shard stay alone."""
-        for rows in _runs(batches, "shard"):
-            if rows[0][1] >= 0:
-                yield _rows(SHARDS, [(rows[0][1], [r[0] for r in rows], [r[2] for r in rows])])
-            else:
-                for r in rows:
-                    yield _rows(SHARDS, [(r[1], [r[0]], [r[2]])])
-
+    # what is shuffled is a part of the chunks or of the shards at a time, as its files lie beside the stored tables
+    rounds = ROUNDS if home.n >= ROUNDS else 1
     both = chunks.select("chunk", F.lit(-1).cast("long").alias("key"), "blob").unionByName(totals.where("chunk <> -1").select("chunk", "key", "blob"))
-    grams = both.repartition("chunk").sortWithinPartitions("chunk", "key").mapInArrow(emit, GRAMS)
-    # what belongs to a chunk goes by its number, so that it does not meet in one task
-    to = F.when(F.col("shard") < 0, F.col("chunk")).otherwise(F.col("shard").cast("long"))
-    shards = grams.withColumn("to", to).repartition("to").sortWithinPartitions("shard", "chunk").select("chunk", "shard", "blob").mapInArrow(keep, SHARDS)
-    shards = stored(spark, shards, "shards")
+    made = []
+    for r in range(rounds):
+        mine = both.where(F.pmod("chunk", F.lit(rounds)) == r).repartition("chunk").sortWithinPartitions("chunk", "key")
+        made.append(stored(spark, mine.mapInArrow(trimmed(emit), GRAMS), "grams"))
+    grams = reduce(DataFrame.unionByName, made)
     drop_stored(spark, chunks, totals)
     release_shuffles(spark)
 
+    def shards(r: int) -> DataFrame:
+        """The blocks of a round's shards, each shard's one after the other."""
+        return grams.where((F.col("shard") >= 0) & (F.col("shard") % rounds == r)).repartition("shard").sortWithinPartitions("shard", "chunk")
+
     def histogram(rows: DataFrame, of) -> np.ndarray:
         """Sum of histograms over rows: at most HALVES * BINS sums come to the driver."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(HALVES * BINS)
-            for b in pieces(batches, 1):
-                total += of(b.column("blobs")[0].as_py())
+            for held in _runs(batches, "shard"):
+                total += of([x[2] for x in held])
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.float64())], names=["cell", "n"])
 
         out = np.zeros(HALVES * BINS)
-        sums = rows.select("blobs").mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-        out[sums["cell"].to_numpy(np.int64)] = sums["n"].to_numpy(np.float64)
+        sums = stored(spark, rows.mapInArrow(trimmed(run), "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")), "histogram")
+        found = sums.toPandas()
+        drop_stored(spark, sums)
+        out[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
         return out
 
     def sent(blobs: list[bytes]) -> np.ndarray:
@@ -683,14 +685,13 @@ def score(docs: DataFrame, held_out, shard_tokens: int = SHARD_TOKENS) -> DataFr
             out[at] += n
         return out
 
-    l2 = fitted_weights(histogram(shards.where(F.col("shard") == RATIOS), sent))
-    l3 = fitted_weights(histogram(shards.where("shard >= 0"), lambda blobs: ratios_of(blobs, words, l2)))
+    l2 = fitted_weights(histogram(grams.where(F.col("shard") == RATIOS), sent))
+    l3 = fitted_weights(sum(histogram(shards(r), lambda blobs: ratios_of(blobs, words, l2)) for r in range(rounds)))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 1):
-            shard, numbers, blobs = (c[0].as_py() for c in b.columns)
-            for number, found in zip(numbers, answer(blobs, words, l2, l3) if shard >= 0 else blobs):
-                yield _rows(GRAMS, [(number, shard, found)])
+        for rows in _runs(batches, "shard"):
+            for row, found in zip(rows, answer([x[2] for x in rows], words, l2, l3)):
+                yield _rows(GRAMS, [(row[0], row[1], found)])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "chunk"):
@@ -702,9 +703,10 @@ def score(docs: DataFrame, held_out, shard_tokens: int = SHARD_TOKENS) -> DataFr
                 names=[c.split()[0] for c in SCORES.split(", ")],
             )
 
-    found = shards.where(F.col("shard") != RATIOS).mapInArrow(look_up, GRAMS)
-    out = stored(spark, found.repartition("chunk").sortWithinPartitions("chunk", "shard").mapInArrow(gather, SCORES), "scores")
-    drop_stored(spark, shards)
+    found = [stored(spark, shards(r).mapInArrow(trimmed(look_up), GRAMS), "found") for r in range(rounds)]
+    every = reduce(DataFrame.unionByName, found, grams.where(F.col("shard") == DOCS))
+    out = stored(spark, every.repartition("chunk").sortWithinPartitions("chunk", "shard").mapInArrow(trimmed(gather), SCORES), "scores")
+    drop_stored(spark, *made, *found)
     return out
 
 
