@@ -7,7 +7,7 @@ import string
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from trailforge.llm import common, ef_trie, partenum
+from trailforge.llm import common, ef_trie, partenum, prefix_hash
 
 
 def shuffle_files(spark) -> set[str]:
@@ -54,6 +54,16 @@ def test_trie_shuffles_a_part_at_a_time(spark, monkeypatch):
     assert set(cut) == set(range(80)) and all(abs(cut[k] - whole[k]) < 1e-9 for k in cut)
 
 
+def test_fingerprints_are_stored_in_half(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(string.ascii_letters) for _ in range(400)) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    made = []
+    monkeypatch.setattr(prefix_hash, "stored", lambda s, df, what: made.append(out := common.stored(s, df, what)) or out)
+    n = prefix_hash.compare_with_next(docs).count()
+    assert n == 600 and stored_bytes(made[0]) < 0.75 * 600 * (2 * (2 * 4 * prefix_hash.SKETCH + 20) + 64)
+
+
 def test_signature_buckets_are_no_more_than_needed(spark):
     rng = random.Random(7)
     vocab = ["".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9))) for _ in range(3000)]
