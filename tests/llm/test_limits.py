@@ -4,6 +4,7 @@ import os
 import random
 import string
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -75,3 +76,50 @@ def test_signature_buckets_are_no_more_than_needed(spark):
     sig, _ = partenum.all_signatures(x, owner, np.bincount(owner, minlength=len(texts)))
     per = sum(map(len, texts)) / len(sig)
     assert per / 2 < partenum.BYTES_PER_SIGNATURE < 2 * per
+
+
+def test_trie_looks_up_each_trigram_of_a_shard_once(monkeypatch):
+    """Copies of a block in other chunks cost no look-ups, and as many look-ups as elements none on single bits."""
+    r = np.random.default_rng(11)
+    v, u, w = np.unique(r.integers(ef_trie.FIRST_ID, 60, (3, 4000)), axis=1)
+    c2, t3 = 40 + v % 7 + w % 5, 30 + v % 7 + u % 5
+    parts = [np.arange(len(v)), *(np.flatnonzero(r.random(len(v)) < 0.7) for _ in range(5))]
+    blobs = [common.pack(common.least(np.diff(v[at], prepend=0)), *(common.least(x[at]) for x in (u, w, 1 + u % 3, c2, t3))) for at in parts]
+    words = ef_trie.Words(np.array([500]), np.array([60]), 1, 60, 30000, 10)
+    half = np.full(ef_trie.HALVES, 0.5)
+    looked, selected, known = [], [], ef_trie.Trie.probability
+    monkeypatch.setattr(ef_trie.Trie, "probability", lambda self, *x: looked.append(len(x[0])) or known(self, *x))
+    select = ef_trie.EliasFano._select
+    monkeypatch.setattr(ef_trie.EliasFano, "_select", lambda self, k, one: selected.append(len(k)) or select(self, k, one))
+    got = [common.unpack(b)[0] for b in ef_trie.answer(blobs, words, half, half)]
+    assert sum(looked) == len(v) and sum(selected) == 0
+    assert all((g == got[0][at]).all() for g, at in zip(got, parts))
+    c3 = sum(np.bincount(at, minlength=len(v)) for at in parts) * (1 + u % 3)
+    want = 0.5 * c3 / t3 + 0.5 * (0.5 * c2 / 500 + 0.5 * words.p1(words.counts(w)))
+    assert np.abs(got[0] / -ef_trie.STEP - np.log10(want)).max() < 1e-3
+    monkeypatch.setattr(ef_trie, "DENSE", 0)  # the same, by search in the packed bits
+    assert all((common.unpack(b)[0] == g).all() for b, g in zip(ef_trie.answer(blobs, words, half, half), got)) and sum(selected) > 0
+
+
+def test_words_are_hashed_without_a_dictionary():
+    r = random.Random(13)
+    ws = ["".join(r.choice("abé") for _ in range(n)) for n in range(1, 45) for _ in range(40)]
+    texts = [None, "", " \t", *(" ".join(r.choice(ws) for _ in range(50)) + r.choice(["", " ", "\n"]) for _ in range(80))]
+    known = common.WordHash()
+    h, bounds = common.word_hashes(pa.array(["x", *texts]).slice(1), known)
+    plain = [common.words(t or "") for t in texts]
+    assert np.diff(bounds).tolist() == [len(p) for p in plain]
+    of = {}
+    for w, x in zip((w for p in plain for w in p), h.tolist()):
+        assert of.setdefault(w, x) == x
+    assert len(set(of.values())) == len(of) and known.keys() == {w for w in of if len(w) > common.SHORT_WORD}
+    alone = common.word_hashes(pa.array(list(of), pa.binary()).cast(pa.string()), known)[0]
+    assert alone.tolist() == list(of.values())
+
+
+def test_order_of_columns():
+    r = np.random.default_rng(17)
+    for top in (1, 5, 1 << 30, (1 << 64) - 1):  # the last leaves no room for rows' numbers
+        a, b = r.integers(0, top, (2, 500), np.uint64, endpoint=True)
+        assert (common.order_of(a, b) == np.lexsort((b, a))).all() and (common.order_of(a % np.uint64(9), b) == np.lexsort((b, a % np.uint64(9)))).all()
+    assert len(common.order_of(np.empty(0, np.int64))) == 0 and [x.tolist() for x in common.numbered(np.array([7, 3, 7]))] == [[3, 7], [1, 0, 1]]

@@ -115,17 +115,32 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int
             at = end
 
 
+#: Bytes of a word up to which it is hashed with all others at once.
+SHORT_WORD = 32
+
+
 def word_hashes(texts: pa.Array, known: WordHash) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of the words of texts in turn, where each text's words begin, and the last ones end); null is empty."""
     cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     bounds = cut.offsets.to_numpy().astype(np.int64)
-    coded = cut.flatten().dictionary_encode()
-    if not len(coded):
+    flat = cut.flatten()
+    if not len(flat):
         return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
-    at = coded.indices.to_numpy()
-    full = np.fromiter(map(len, distinct), np.int64, len(distinct))[at] > 0  # white space at an end leaves an empty word
-    return known.array(distinct)[at[full]], np.concatenate([[0], np.cumsum(full)])[bounds - bounds[0]]
+    _, offsets, raw = flat.buffers()
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(flat.type) else np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
+    full = ends[1:] > ends[:-1]  # white space at an end leaves an empty word
+    begin, n, size = ends[:-1][full], np.diff(ends)[full], int(ends[-1])
+    data = np.zeros(size + 8, np.uint8)
+    data[:size] = np.frombuffer(raw, np.uint8, size) if size else 0
+    eight = np.ndarray(size + 1, "<u8", data, 0, (1,))  # the eight bytes from each place on
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    h = mix((eight[begin] & masks[np.minimum(n, 8)]) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for at in range(8, SHORT_WORD, 8):
+        more = np.flatnonzero((n > at) & (n <= SHORT_WORD))
+        h[more] = mix(h[more] * np.uint64(0xA0761D6478BD642F) + (eight[begin[more] + at] & masks[np.minimum(n[more] - at, 8)]))
+    long = np.flatnonzero(n > SHORT_WORD)
+    h[long] = known.array([data[b : b + k].tobytes() for b, k in zip(begin[long].tolist(), n[long].tolist())])
+    return h, np.concatenate([[0], np.cumsum(full)])[bounds - bounds[0]]
 
 
 def strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -193,3 +208,43 @@ def least(x: np.ndarray) -> np.ndarray:
     """Non-negative integers in the narrowest type that holds them."""
     top = int(x.max()) if len(x) else 0
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def order_of(*keys: np.ndarray) -> np.ndarray:
+    """Stable order of rows by columns of non-negative integers, the first one leading.
+
+    A column that leaves room in 64 bits is sorted together with the rows' numbers, which is much faster than to sort those by it.
+    """
+    n, order = len(keys[0]), None
+    bits = np.uint64(max(1, n).bit_length())
+    for key in reversed(keys):
+        x = key if order is None else key[order]
+        if n and int(x.max()) < 1 << 64 - int(bits):
+            x = x.astype(np.uint64) << bits
+            x |= np.arange(n, dtype=np.uint64)
+            x.sort()
+            x &= (np.uint64(1) << bits) - np.uint64(1)
+            at = x.view(np.int64)
+        else:
+            at = np.argsort(x, kind="stable")
+        order = at if order is None else order[at]
+    return order
+
+
+def changes(*keys: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before it."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = keys[0][1:] != keys[0][:-1]
+    for key in keys[1:]:
+        new[1:] |= key[1:] != key[:-1]
+    return new
+
+
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending distinct values, number of each element among them) of non-negative integers."""
+    order = order_of(x)
+    x = x[order]
+    new = changes(x)
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return x[new], at

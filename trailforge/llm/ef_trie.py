@@ -11,14 +11,15 @@ A shard's trie is a file of levels: word ids; contexts v; below them followers w
 followers again. Every level is a monotone sequence in Elias-Fano form: ids are made monotone by adding the base of
 their parent's range, pointers are monotone already. A follower below (v, u) is stored as its rank among the followers of v,
 which is all that it can be, and looked up by successor search in the parent's range. The terms a and g are 16-bit codes of
-their logarithms. Readers map the file into memory (in scratch space of the task) and work on the packed bits.
+their logarithms. Readers map the file into memory (in scratch space of the task). Few look-ups work on the packed bits; where
+they are about as many as a sequence's elements, it is decoded in one go and they are searched in what was decoded.
 
 Flow: documents are tokenised once into chunks with a vocabulary of their own (stored). Chunks send their distinct words and bigrams
 in packed rows, one a bucket that they meet, and get back total counts, and for a word its rank among those of its count,
 from which its global id follows; ids show their words' counts. Then every chunk sends its distinct trigrams, with
 training counts, to the shards of their contexts. A shard is chosen by the middle word v, for a frequent v by u too, and for a
 frequent (u, v) by w too, so that none is larger than the others; totals travel with the trigrams. Blocks of trigrams are stored
-and meet in their shards twice, for the fit of l3 and for the look-ups; these return a code for each trigram, and a chunk sums them
+and meet in their shards twice, for the fit of l3 and for the look-ups, one for each distinct trigram of a shard; these return a code for each trigram of a block, and a chunk sums them
 by document. What is shuffled beside stored tables is a quarter of the chunks, or of the shards, at a time.
 
 Defined results: a null or empty text is one end token; rows with a null doc_id train and are scored, held_out
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, crc_mod, drop_stored, least, mix, pack, pieces, release_shuffles, stored, table, trimmed, unpack, word_hashes
+from .common import WordHash, changes, crc_mod, drop_stored, least, mix, numbered, order_of, pack, pieces, release_shuffles, stored, table, trimmed, unpack, word_hashes
 
 #: Tokens in a chunk, tokens in a shard, words or bigrams in a bucket.
 CHUNK_TOKENS = 750_000
@@ -55,6 +56,8 @@ EXACT = 4096
 #: Half octaves of context counts; bins of the likelihood ratio: none, then FINE to an octave round 1.
 HALVES, BINS, FINE = 80, 4096, 64
 STEP = 4096.0  # codes a decade
+#: A sequence with fewer elements than DENSE to a look-up is decoded; ids below TABLE are numbered by a table.
+DENSE, TABLE = 8, 1 << 22
 
 
 class Bits:
@@ -128,6 +131,30 @@ class EliasFano:
         high = self._select(i, True) - i
         return (high.astype(np.uint64) << np.uint64(self.width)) | Bits.get(self.low, i, self.width)
 
+    def all(self) -> np.ndarray:
+        """The whole sequence."""
+        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
+        at = np.arange(self.n)
+        return ((ones - at).astype(np.uint64) << np.uint64(self.width)) | Bits.get(self.low, at, self.width)
+
+    def take(self, i: np.ndarray) -> np.ndarray:
+        """at(), for few or many."""
+        return self.all()[i] if len(i) * DENSE >= self.n else self.at(i)
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """Index of each value, -1 where it is not an element."""
+        x = np.asarray(x, np.uint64)
+        if not self.n:
+            return np.full(len(x), -1, np.int64)
+        if len(x) * DENSE >= self.n:
+            every = self.all()
+            i = np.searchsorted(every, x)
+            return np.where(every[np.minimum(i, self.n - 1)] == x, i, -1)
+        i = self.successor(x)
+        hit = i < self.n
+        hit[hit] = self.at(i[hit]) == x[hit]
+        return np.where(hit, i, -1)
+
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Index of the first element that is not below x; n if there is none."""
         x = np.asarray(x, np.uint64)
@@ -165,15 +192,48 @@ class Level:
 
     def find(self, parent: np.ndarray, child: np.ndarray) -> np.ndarray:
         """Index of each child below its parent by successor search, -1 where there is none."""
-        ok = (parent >= 0) & (child >= 0)
+        ok = np.flatnonzero((parent >= 0) & (child >= 0))
         out = np.full(len(parent), -1, np.int64)
-        if not self.ids.n or not ok.any():
-            return out
-        key = parent[ok].astype(np.uint64) * np.uint64(self.span) + child[ok].astype(np.uint64)
-        i = self.ids.successor(key)
-        hit = i < self.ids.n
-        hit[hit] = self.ids.at(i[hit]) == key[hit]
-        out[ok] = np.where(hit, i, -1)
+        out[ok] = self.ids.places(parent[ok].astype(np.uint64) * np.uint64(self.span) + child[ok].astype(np.uint64))
+        return out
+
+
+class Numbers:
+    """Places of ids in ascending distinct ones. Most ids that occur are small, and these are read from a table."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values.astype(np.int64)
+        small = np.searchsorted(self.values, TABLE)
+        self.table = np.full(int(self.values[small - 1]) + 1 if small else 0, -1, np.int32)
+        self.table[self.values[:small]] = np.arange(small)
+
+    @staticmethod
+    def among(*ids: np.ndarray) -> Numbers:
+        """The distinct ones of arrays of ids."""
+        seen, large = np.zeros(TABLE, bool), []
+        for x in ids:
+            low = x < TABLE
+            if low.all():
+                seen[x] = True
+            else:
+                seen[x[low]] = True
+                large.append(np.sort(x[~low]))
+        high = np.sort(np.concatenate(large)) if large else np.empty(0, np.int64)
+        return Numbers(np.concatenate([np.flatnonzero(seen), high[changes(high)]]))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Place of each id, -1 where it is none of the values."""
+        if not len(x):
+            return np.empty(0, np.int64)
+        if x.max() < len(self.table):
+            return self.table[x].astype(np.int64)
+        low = x < len(self.table)
+        out = np.full(len(x), -1, np.int64)
+        out[low] = self.table[x[low]]
+        high = x[~low].astype(np.int64)
+        if len(self.values):
+            i = np.minimum(np.searchsorted(self.values, high), len(self.values) - 1)
+            out[~low] = np.where(self.values[i] == high, i, -1)
         return out
 
 
@@ -181,8 +241,8 @@ def _codes(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(p, 1e-16)) * STEP), 0, 65535).astype(np.uint16)
 
 
-def _values(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (-code.astype(np.float64) / STEP)
+#: What each code stands for.
+_VALUES = 10.0 ** (-np.arange(65536) / STEP)
 
 
 def count_class(c: np.ndarray) -> np.ndarray:
@@ -233,6 +293,7 @@ class Words:
         order = np.argsort(-classes)
         self.classes, sizes = classes[order], widths[order].astype(np.int64) * buckets
         self.base = FIRST_ID + np.cumsum(sizes) - sizes
+        self.shown = class_count(self.classes)
         self.buckets, self.words, self.tokens, self.docs = buckets, words, tokens, docs
 
     def ids(self, c: np.ndarray, rank: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -247,7 +308,7 @@ class Words:
         out = np.where(ids == UNKNOWN, 0.0, float(self.docs))
         word = ids >= FIRST_ID
         if word.any():
-            out[word] = class_count(self.classes[np.searchsorted(self.base, ids[word], side="right") - 1])
+            out[word] = self.shown[np.searchsorted(self.base, ids[word], side="right") - 1]
         return out
 
     def p1(self, c: np.ndarray) -> np.ndarray:
@@ -264,24 +325,35 @@ class Trie:
     @staticmethod
     def build(v: np.ndarray, u: np.ndarray, w: np.ndarray, c3: np.ndarray, c2: np.ndarray, t3: np.ndarray, words: Words, l2: np.ndarray, l3: np.ndarray) -> bytes:
         """File of a shard from distinct trigrams (v, u, w), given as ids and sorted, with the counts of the trigram, of (v, w) and of (u, v)."""
-        vocab = np.unique(np.concatenate([v, u, w]))
+        numbers = Numbers.among(v, u, w)
+        vocab = numbers.values
         k = max(len(vocab), 1)
-        v, u, w = (np.searchsorted(vocab, x).astype(np.int64) for x in (v, u, w))
+        v, u, w = (numbers.of(x) for x in (v, u, w))
         t2 = words.counts(vocab) if len(vocab) else np.empty(0)
         t2 = np.where(vocab == STOP, 0, t2)  # nothing follows an end
-        ctx = np.unique(v[t2[v] > 0])
-        key2, at2 = np.unique(v * k + w, return_index=True)
-        known2 = (c2[at2] > 0) & (t2[key2 // k] > 0)
-        key2, n2 = key2[known2], c2[at2][known2]
-        p2, w2 = np.searchsorted(ctx, key2 // k), key2 % k
+        ctx = v[changes(v)]
+        ctx = ctx[t2[ctx] > 0]
+        key2, order = v * k + w, order_of(v * k + w)
+        new = changes(key2[order])
+        number2 = np.empty(len(v), np.int64)  # of the bigram of each trigram
+        number2[order] = np.cumsum(new) - 1
+        at2 = order[new]
+        known2 = (c2[at2] > 0) & (t2[v[at2]] > 0)
+        place2 = np.cumsum(known2) - 1
+        at2 = at2[known2]
+        key2, n2 = key2[at2], c2[at2]
+        p2, w2 = np.searchsorted(ctx, v[at2]), w[at2]
         starts = np.searchsorted(p2, np.arange(len(ctx) + 1))
-        vu, first = np.unique(v * k + u, return_index=True)
+        new = changes(v, u)
+        number3, first = np.cumsum(new) - 1, np.flatnonzero(new)
         known3 = t3[first] > 0
-        pairs, t_pair = vu[known3], t3[first][known3].astype(np.float64)
-        pv = np.searchsorted(ctx, pairs // k)
+        place3 = np.cumsum(known3) - 1
+        first = first[known3]
+        pairs, t_pair = v[first] * k + u[first], t3[first].astype(np.float64)
+        pv = np.searchsorted(ctx, v[first])
         seen = c3 > 0
-        p3 = np.searchsorted(pairs, v[seen] * k + u[seen])
-        rank = np.searchsorted(key2, v[seen] * k + w[seen]) - starts[pv[p3]] if seen.any() else np.empty(0, np.int64)
+        p3 = place3[number3[seen]]
+        rank = place2[number2[seen]] - starts[pv[p3]]
         fan = int(np.diff(starts).max()) if len(ctx) else 1
         w2t = l2[half_octave(t2[ctx])]
         a2 = w2t[p2] * n2 / t2[ctx][p2]
@@ -315,31 +387,32 @@ class Trie:
         self.followers, self.predecessors, self.trigrams = level(), level(), level()
         self.a2, self.g2, self.a3, self.g3 = take
 
-    @staticmethod
-    def _index(seq: EliasFano, x: np.ndarray) -> np.ndarray:
-        """Index of each value in a sequence, -1 where it is not; the x that are looked up repeat much."""
-        values, at = np.unique(x, return_inverse=True)
-        i = seq.successor(np.maximum(values, 0).astype(np.uint64))
-        hit = (values >= 0) & (i < seq.n)
-        hit[hit] = seq.at(i[hit]) == values[hit].astype(np.uint64)
-        return np.where(hit, i, -1)[at]
+    def _index(self, *ids: np.ndarray) -> Iterator[np.ndarray]:
+        """Index of each word id, -1 where it is not."""
+        if sum(map(len, ids)) * DENSE >= self.words.n:
+            numbers = Numbers(self.words.all())
+            yield from (numbers.of(x) for x in ids)
+        else:
+            yield from (self.words.places(x) for x in ids)
 
     def probability(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, p1: np.ndarray) -> np.ndarray:
         """P(w | u v) for trigrams of ids, sorted by v and u, whose unigram probabilities are p1."""
         if not len(v):
             return np.empty(0)
-        new = np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]))
+        new = changes(v, u)
         run = np.cumsum(new) - 1
-        c = self._index(self.contexts, self._index(self.words, v[new]))
-        below = self.predecessors.find(c, self._index(self.words, u[new]))
-        begin = self.followers.starts.at(np.maximum(c, 0)).astype(np.int64) if self.contexts.n else np.zeros(len(c), np.int64)
+        v, u, w = self._index(v[new], u[new], w)
+        c = np.full(len(v), -1, np.int64)
+        c[v >= 0] = self.contexts.places(v[v >= 0])
+        below = self.predecessors.find(c, u)
+        begin = self.followers.starts.take(np.maximum(c, 0)).astype(np.int64) if self.contexts.n else np.zeros(len(c), np.int64)
         c, below, begin = c[run], below[run], begin[run]
-        follow = self.followers.find(c, self._index(self.words, w))
+        follow = self.followers.find(c, w)
         tri = self.trigrams.find(below, np.where(follow >= 0, follow - begin, -1))
 
         def pick(code: np.ndarray, i: np.ndarray, other: float) -> np.ndarray:
             out = np.full(len(i), other)
-            out[i >= 0] = _values(code[i[i >= 0]])
+            out[i >= 0] = _VALUES[code[i[i >= 0]]]
             return out
 
         low = pick(self.a2, follow, 0.0) + pick(self.g2, c, 1.0) * p1
@@ -348,8 +421,9 @@ class Trie:
 
 def _by_frequency(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes, the most frequent first so that their numbers pack well, and the number of each element."""
-    vocab, at, c = np.unique(h, return_inverse=True, return_counts=True)
-    order = np.argsort(-c, kind="stable")
+    vocab, at = numbered(h)
+    c = np.bincount(at, minlength=len(vocab))
+    order = order_of(c.max() - c) if len(c) else c
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     return vocab[order], rank[at]
@@ -424,7 +498,7 @@ class Chunk:
         mixed = mix(vocab)
         self.word_order = np.argsort(mixed, kind="stable")
         self.word_keys = mixed[self.word_order]
-        pair, at2 = np.unique(self.prev * (len(vocab) + 2) + self.seq, return_inverse=True)
+        pair, at2 = numbered(self.prev * (len(vocab) + 2) + self.seq)
         keys = mix(mix(hashes[pair // (len(vocab) + 2)]) * np.uint64(0x9E3779B97F4A7C15) + hashes[pair % (len(vocab) + 2)]) >> np.uint64(8)
         order = np.argsort(keys, kind="stable")
         self.pair_keys, place = keys[order], np.empty(len(order), np.int64)
@@ -471,19 +545,18 @@ def totals_of(chunks: DataFrame, word_buckets: int, pair_buckets: int) -> DataFr
             for r in rows:
                 first, steps, n = unpack(r[4])
                 got.append((r[0], np.cumsum(np.concatenate([first, steps.astype(np.uint64)])), n))
-            every, at = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
+            every, at = numbered(np.concatenate([g[1] for g in got]))
             c = np.bincount(at, weights=np.concatenate([g[2] for g in got]), minlength=len(every)).astype(np.int64)
             key, out = rows[0][1], []
             if key % 2 == 0:
                 kind = count_class(c)
-                order = np.argsort(kind, kind="stable")
+                order = order_of(kind)
                 rank = np.empty(len(c), np.int64)
                 first = np.searchsorted(kind[order], kind[order])
                 rank[order] = np.arange(len(c)) - first
                 classes, widths = np.unique(kind[c > 0], return_counts=True)
                 out.append((-1, key, int((c > 0).sum()), int(c.sum()), pack(classes, widths)))
-            for chunk, keys, _ in got:
-                i = np.searchsorted(every, keys)
+            for (chunk, *_), i in zip(got, np.split(at, np.cumsum([len(g[1]) for g in got])[:-1])):
                 out.append((chunk, key, 0, 0, pack(least(c[i]), least(rank[i])) if key % 2 == 0 else pack(least(c[i]))))
             yield _rows(TOTALS, out)
 
@@ -556,28 +629,30 @@ def grams_of(number: int, blob: bytes, totals: list[tuple[int, bytes]], words: W
 
     base = np.bincount(ch.doc, weights=np.log10(words.p1(c1[ch.seq])), minlength=n)
     n_known = np.bincount(ch.doc, weights=c1[ch.seq] > 0, minlength=n).astype(np.int64)
-    first, n_train = np.unique(ch.pair_of[ch.train], return_index=True, return_counts=True)[1:]
-    v, w, c = ch.prev[ch.train][first], ch.seq[ch.train][first], c2[ch.train][first]
+    n_train = ch.pair_counts()
+    one = np.empty(len(n_train), np.int64)
+    one[ch.pair_of] = np.arange(len(ch.seq))
+    one, n_train = one[n_train > 0], n_train[n_train > 0]
+    v, w, c = ch.prev[one], ch.seq[one], c2[one]
     t = c1[v] - 1
     ok = t > 0
     cells = ratio_cells(t[ok], (c[ok] - 1) / t[ok], words.p1_without(c1[w[ok]]), n_train[ok])
     some = np.flatnonzero(cells)
     yield number, RATIOS, pack(some, cells[some])
 
-    every, at = np.unique(ids, return_inverse=True)  # words that training lacks are one
-    k = np.uint64(len(every))
+    every, at = numbered(ids)  # words that training lacks are one
     v, w = at[ch.prev], at[ch.seq]
     u = np.append(at[ch.bos], v)[:-1]
     u[ch.begin] = at[ch.bos]
-    key = (v.astype(np.uint64) * k + u.astype(np.uint64)) * k + w.astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    head = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.empty(0, np.int64)
+    key = v * len(every) + u
+    order = order_of(key, w)
+    head = np.flatnonzero(changes(key[order], w[order]))
     c3 = np.add.reduceat(ch.train[order].astype(np.int64), head) if len(head) else head
     run = np.diff(np.append(head, len(key)))
     one = order[head]
     gv, gu, gw, c2, t3 = every[v[one]], every[u[one]], every[w[one]], c2[one], t3[one]
-    shard = home.of(gv, gu, gw, words.counts(gv), t3)
-    by = np.argsort(shard, kind="stable")
+    shard = home.of(gv, gu, gw, words.counts(every)[v[one]], t3)
+    by = order_of(shard)
     starts = head[by]
     docs = ch.doc[order][np.repeat(starts - (np.cumsum(run[by]) - run[by]), run[by]) + np.arange(len(key))] if len(key) else ch.doc
     yield number, DOCS, pack(ch.ids, ch.none, ch.held, ch.lens + 1, n_known, base, least(run[by]), least(docs))
@@ -585,27 +660,32 @@ def grams_of(number: int, blob: bytes, totals: list[tuple[int, bytes]], words: W
         yield number, int(shard[g[0]]), pack(least(np.diff(gv[g], prepend=0)), least(gu[g]), least(gw[g]), least(c3[g]), least(c2[g]), least(t3[g]))
 
 
-def _block(blob: bytes) -> list[np.ndarray]:
-    dv, *rest = unpack(blob)
-    return [np.cumsum(dv.astype(np.int64)), *(x.astype(np.int64) for x in rest)]
-
-
-def _distinct(blocks: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Distinct trigrams of a shard's blocks, sorted: v, u, w, training count, count of (v, w), count of (u, v)."""
-    v, u, w, c3, c2, t3 = (np.concatenate(x) for x in zip(*blocks))
-    vocab = np.unique(np.concatenate([v, u, w]))
-    k = np.uint64(max(len(vocab), 1))
-    key = (np.searchsorted(vocab, v).astype(np.uint64) * k + np.searchsorted(vocab, u).astype(np.uint64)) * k + np.searchsorted(vocab, w).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+def _blocks(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """A shard's trigrams, block after block (v, u, w, training count, count of (v, w), count of (u, v)), and how many each block has."""
+    parts = []
+    for b in blobs:
+        dv, *rest = unpack(b)
+        parts.append([least(np.cumsum(dv.astype(np.int64))), *rest])
+    return [np.concatenate(x).astype(np.int64) for x in zip(*parts)], np.array([len(p[0]) for p in parts])
+
+
+def _distinct(v: np.ndarray, u: np.ndarray, w: np.ndarray, c3: np.ndarray, c2: np.ndarray, t3: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct trigrams of a shard, sorted, in the same columns, and the number of each given one among them."""
+    numbers = Numbers.among(v, u, w)
+    k = max(len(numbers.values), 1)
+    key, last = numbers.of(v) * k + numbers.of(u), numbers.of(w)
+    order = order_of(key, last)
+    new = changes(key[order], last[order])
+    first, number = np.flatnonzero(new), np.empty(len(v), np.int64)
+    number[order] = np.cumsum(new) - 1
     one = order[first]
     # what the counts of (v, w) and (u, v) are does not depend on the block, but for words that training lacks: there they are 0
-    return [v[one], u[one], w[one], np.add.reduceat(c3[order], first), c2[one], t3[one]]
+    return [v[one], u[one], w[one], np.add.reduceat(c3[order], first), c2[one], t3[one]], number
 
 
 def ratios_of(blobs: list[bytes], words: Words, l2: np.ndarray) -> np.ndarray:
     """A shard's histogram for order 3."""
-    v, _, w, c3, c2, t3 = _distinct([_block(b) for b in blobs])
+    v, _, w, c3, c2, t3 = _distinct(*_blocks(blobs)[0])[0]
     ok = (c3 > 0) & (t3 > 1)
     v, w, c3, c2, t3 = v[ok], w[ok], c3[ok], c2[ok], t3[ok]
     t2 = words.counts(v) - 1
@@ -616,16 +696,20 @@ def ratios_of(blobs: list[bytes], words: Words, l2: np.ndarray) -> np.ndarray:
 
 
 def answer(blobs: list[bytes], words: Words, l2: np.ndarray, l3: np.ndarray) -> Iterator[bytes]:
-    """Builds the trie of a shard from its blocks and returns, for each block, the codes of its trigrams' probabilities."""
-    blocks = [_block(b) for b in blobs]
-    data = Trie.build(*_distinct(blocks), words, l2, l3)
+    """Builds the trie of a shard from its blocks, looks up each distinct trigram, and returns for each block the codes of its trigrams' probabilities."""
+    rows, sizes = _blocks(blobs)
+    grams, number = _distinct(*rows)
+    del rows
+    data = Trie.build(*grams, words, l2, l3)
+    v, u, w = grams[:3]
+    del grams
     with tempfile.TemporaryFile() as f:  # scratch of this task only
         f.write(data)
         f.flush()
         del data
-        trie = Trie(np.memmap(f, np.uint8, mode="r").view(np.ndarray))
-        for v, u, w, *_ in blocks:
-            yield pack(_codes(trie.probability(v, u, w, words.p1(words.counts(w)))))
+        codes = _codes(Trie(np.memmap(f, np.uint8, mode="r").view(np.ndarray)).probability(v, u, w, words.p1(words.counts(w))))
+    for mine in np.split(number, np.cumsum(sizes)[:-1]):
+        yield pack(codes[mine])
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
