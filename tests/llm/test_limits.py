@@ -123,3 +123,19 @@ def test_order_of_columns():
         a, b = r.integers(0, top, (2, 500), np.uint64, endpoint=True)
         assert (common.order_of(a, b) == np.lexsort((b, a))).all() and (common.order_of(a % np.uint64(9), b) == np.lexsort((b, a % np.uint64(9)))).all()
     assert len(common.order_of(np.empty(0, np.int64))) == 0 and [x.tolist() for x in common.numbered(np.array([7, 3, 7]))] == [[3, 7], [1, 0, 1]]
+
+
+def test_sets_of_all_documents_are_not_stored(spark, monkeypatch):
+    """Only sets that are compared exactly are written with their elements."""
+    r = random.Random(19)
+    texts = []
+    for _ in range(20):
+        shared = [f"{r.random():.9f}" for _ in range(400)]
+        texts += [" ".join(shared + [f"{r.random():.9f}" for _ in range(n)]) for n in (400, 400, 0, 3)]  # two half alike, two linked
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    made = []
+    monkeypatch.setattr(partenum, "stored", lambda s, df, what: made.append((what, out := common.stored(s, df, what), stored_bytes(out))) or out)
+    got = {x.doc_id: x.component_id for x in partenum.near_duplicates(docs).collect()}
+    assert got == {i: i - 1 if i % 4 == 3 else i for i in range(80)}
+    size = {w: n for w, _, n in made if w == "sets"}
+    assert size["sets"] < 40 * 400 * 8 / 2

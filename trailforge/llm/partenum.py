@@ -280,31 +280,49 @@ def shared_signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(trimmed(meet), "sig long, node long")
 
 
+def _sets(batches: Iterator[pa.RecordBatch], f: BlockedBloom) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, sizes of their sets, nodes, whether a node is in the filter and new to the task, elements of those that are)."""
+    wh, sent = WordHash(), set()
+    for b in pieces(batches):
+        x, owner = shingle_sets(*word_hashes(b.column("text"), wh))
+        size = np.bincount(owner, minlength=b.num_rows)
+        node = nodes_of(x, size)
+        want = (size > 0) & f.may_hold(node)
+        for i in np.flatnonzero(want).tolist():
+            if int(node[i]) in sent:
+                want[i] = False
+            elif len(sent) < SENT:
+                sent.add(int(node[i]))
+        yield b, size, node, want, x[want[owner]]
+
+
 def set_table(docs: DataFrame, bloom: BlockedBloom) -> DataFrame:
-    """(doc_id, text_key, n_shingles, node, members, sketch) of all documents; the last two only for nodes in the filter, once a task."""
+    """(doc_id, text_key, n_shingles, node, sketch) of all documents; the last only for nodes in the filter, once a task."""
     data, blocks = docs.sparkSession.sparkContext.broadcast(bloom.bits.tobytes()), bloom.blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wh, f, sent = WordHash(), BlockedBloom(blocks, data.value), set()
-        for b in pieces(batches):
-            x, owner = shingle_sets(*word_hashes(b.column("text"), wh))
-            size = np.bincount(owner, minlength=b.num_rows)
-            node = nodes_of(x, size)
-            want = (size > 0) & f.may_hold(node)
-            for i in np.flatnonzero(want).tolist():
-                if int(node[i]) in sent:
-                    want[i] = False
-                elif len(sent) < SENT:
-                    sent.add(int(node[i]))
-            mine = x[want[owner]]
+        for b, size, node, want, x in _sets(batches, BlockedBloom(blocks, data.value)):
             sk = np.full(b.num_rows, None, object)
-            sk[want] = sketches(mine, size[want])
-            ends = np.cumsum(np.where(want, size, 0))
-            members = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(mine.view(np.int64)), mask=pa.array(~want))
-            cols = [b.column("doc_id"), b.column("text_key"), pa.array(size, pa.int64()), pa.array(node.view(np.int64), mask=size == 0), members, pa.array(sk, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "n_shingles", "node", "members", "sketch"])
+            sk[want] = sketches(x, size[want])
+            cols = [b.column("doc_id"), b.column("text_key"), pa.array(size, pa.int64()), pa.array(node.view(np.int64), mask=size == 0), pa.array(sk, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", "n_shingles", "node", "sketch"])
+
+    return _texts(docs).mapInArrow(trimmed(run), "doc_id long, text_key long, n_shingles long, node long, sketch binary")
+
+
+def member_table(docs: DataFrame, bloom: BlockedBloom) -> DataFrame:
+    """(node, members) of the nodes in the filter, once a task, made from the texts again.
+
+    Few sets are ever compared exactly; to store those of all documents would take more disk than the documents.
+    """
+    data, blocks = docs.sparkSession.sparkContext.broadcast(bloom.bits.tobytes()), bloom.blocks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, size, node, want, x in _sets(batches, BlockedBloom(blocks, data.value)):
+            members = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size[want])), pa.int32()), pa.array(x.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[want].view(np.int64)), members], names=["node", "members"])
 
-    return _texts(docs).mapInArrow(trimmed(run), "doc_id long, text_key long, n_shingles long, node long, members array<bigint>, sketch binary")
+    return _texts(docs).mapInArrow(trimmed(run), "node long, members array<bigint>")
 
 
 def likely(pairs: DataFrame, light: DataFrame) -> DataFrame:
@@ -447,7 +465,7 @@ def groups_of(docs: DataFrame) -> DataFrame:
     def members(of: DataFrame) -> DataFrame:
         of = stored(spark, of, "wanted")
         few = F.broadcast(of) if of.count() <= BROADCAST else of  # beyond, sets are shuffled to their nodes
-        mine = all_docs.where("members IS NOT NULL").select("node", "members").join(few, "node", "left_semi")
+        mine = member_table(docs, BlockedBloom.of(of, "node")).join(few, "node", "left_semi")
         out = stored(spark, mine.dropDuplicates(["node"]), "members")
         drop_stored(spark, of)
         return out
